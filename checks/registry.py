@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import reports  # noqa: F401
+from checks import features, quality, reports, tables  # noqa: F401
 from checks.base import QUERIES, SQL  # noqa: F401

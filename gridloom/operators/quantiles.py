@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IN_MEMORY_ROWS = 200_000
+BROADCAST_GROUPS = 20_000
 _STEPS = 200
 _ACCURACY = 2000
 
@@ -163,6 +164,8 @@ def _pass(work, by, open_ranks, gather):
             limits = {(c, a): (lo, hi) for c, a, lo, hi in mine}
             rows.append((*group, *[x for s in names for x in limits.get(s, (None, None))]))
         table = spark.createDataFrame(rows, schema)
+        if len(rows) <= BROADCAST_GROUPS:
+            table = F.broadcast(table)
         work = work.join(table, _null_safe(work, table, by)).drop(*[table[b] for b in by])
         limit = {(c, a): (F.col(f"_lo_{c}_{a}"), F.col(f"_hi_{c}_{a}")) for c, a in names}
     else:
