@@ -352,13 +352,17 @@ def _(spark, sf):
     return out.select("reading_id", half_even(F.col("rolled"), 6).alias("rolled"))
 
 
-@check("w10_lag_matrix", with_sql("""
-select datetime, reading_id, lags, target from (
-  select datetime, reading_id, array_agg(total_load_mw) over (order by datetime, reading_id rows between 24 preceding and 1 preceding) as lags,
-    total_load_mw as target, row_number() over (order by datetime, reading_id) as i, count(*) over () as n from grid_readings)
+_W10_LAGS = ", ".join(f"lag(total_load_mw, {24 - i}) over (order by datetime, reading_id) as step_{i + 1}" for i in range(24))
+
+
+@check("w10_lag_matrix", with_sql(f"""
+select reading_id, target, {', '.join(f'step_{i + 1}' for i in range(24))} from (
+  select reading_id, total_load_mw as target, {_W10_LAGS},
+    row_number() over (order by datetime, reading_id) as i, count(*) over () as n from grid_readings)
 where i > 24 and i <= n - 5"""))
 def _(spark, sf):
-    return windows.lag_matrix(readings(spark, sf), "total_load_mw", ORDER, block_rows=2000)
+    out = windows.lag_matrix(readings(spark, sf), "total_load_mw", ORDER, block_rows=2000)
+    return out.select("reading_id", "target", *[F.col("lags")[i].alias(f"step_{i + 1}") for i in range(24)])
 
 
 @check("w11_centred_two_by_period", with_sql(f"""

@@ -60,14 +60,14 @@ def columns_with_nulls(df: DataFrame, columns: list[str]) -> list[str]:
 
 def handle_missing(
     df: DataFrame, ts: str = "datetime", order: list[str] | None = None, by: list[str] = (),
-    block_rows: int | None = None,
+    block_rows: int | None = None, index: str | None = None,
 ) -> DataFrame:
     """Impute by kind: events by a constant, numbers in time, other text by the mode."""
     df = fill_event(df)
     order = order or [ts]
-    gaps = columns_with_nulls(df, [c for c in numeric_columns(df) if c not in order])
+    gaps = columns_with_nulls(df, [c for c in numeric_columns(df) if c not in (*order, index)])
     if gaps:
-        df = interpolate_time(df, gaps, ts, order, by, block_rows)
+        df = interpolate_time(df, gaps, ts, order, by, block_rows, index)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return fill_mode(df, columns_with_nulls(df, text))
 
@@ -140,11 +140,11 @@ def handle_outliers(df: DataFrame, strategy: str = "clip") -> DataFrame:
 
 
 def fill_remaining(
-    df: DataFrame, order: list[str], by: list[str] = (), block_rows: int | None = None,
+    df: DataFrame, order: list[str], by: list[str] = (), block_rows: int | None = None, index: str | None = None,
 ) -> DataFrame:
     """Numeric nulls take the next value in order, then 0."""
-    gaps = columns_with_nulls(df, [c for c in numeric_columns(df) if c not in order])
-    return fill_next(df, gaps, order, by, block_rows)
+    gaps = columns_with_nulls(df, [c for c in numeric_columns(df) if c not in (*order, index)])
+    return fill_next(df, gaps, order, by, block_rows, index=index)
 
 
 def zero_fill(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -48,6 +48,11 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_index") -> Dat
     )
 
 
+def _positions(df: DataFrame, order: list[str], index: str | None) -> DataFrame:
+    """Rows with ``_idx``: an existing position column, or a fresh numbering."""
+    return df.withColumn("_idx", F.col(index)) if index else number_rows(df, order, "_idx")
+
+
 def _block_rows(df: DataFrame, least: int, block_rows: int | None) -> int:
     """Block length: long enough for the frame and for at most MAX_BLOCKS blocks."""
     if block_rows is None:
@@ -63,16 +68,18 @@ def bounded_windows(
     before: int = 24,
     after: int = 0,
     block_rows: int | None = None,
-    keep_index: str | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
     ``columns`` receives the window specification (partitioned by block and
     ``by``, ordered by position) and returns the new columns. With ``by`` the
     frames stay within the key, and a hot key is spread over its blocks.
+    ``index`` names a column that already holds the position in (by, order),
+    as ``number_rows`` makes it; the sort is then skipped.
     """
     by = list(by)
-    numbered = number_rows(df, by + list(order), "_idx")
+    numbered = _positions(df, by + list(order), index)
     size = _block_rows(numbered, before + after + 1, block_rows)
     home = (F.col("_idx") / F.lit(size)).cast("long")
     place = F.col("_idx") % F.lit(size)
@@ -85,8 +92,8 @@ def bounded_windows(
     )
     spread = numbered.withColumn("_home", home).withColumn("_block", F.explode(visits))
     window = Window.partitionBy("_block", *by).orderBy("_idx")
-    out = spread.withColumns(columns(window)).filter(F.col("_block") == F.col("_home")).drop("_block", "_home")
-    return out.withColumnRenamed("_idx", keep_index) if keep_index else out.drop("_idx")
+    out = spread.withColumns(columns(window)).filter(F.col("_block") == F.col("_home"))
+    return out.drop("_block", "_home", "_idx")
 
 
 def _anchor(ts: str | None, column: str) -> Column:
@@ -97,10 +104,10 @@ def _anchor(ts: str | None, column: str) -> Column:
 
 def _neighbours(
     df: DataFrame, order: list[str], columns: list[str], ts: str | None, by: list[str],
-    block_rows: int | None, backward: bool,
+    block_rows: int | None, backward: bool, index: str | None,
 ) -> DataFrame:
     """Add ``_next_c`` (and ``_prev_c``): nearest non-null (t, v) at or after (before) the row."""
-    numbered = number_rows(df, by + order, "_idx")
+    numbered = _positions(df, by + order, index)
     size = _block_rows(numbered, 1, block_rows)
     blocked = numbered.withColumn("_block", (F.col("_idx") / F.lit(size)).cast("long"))
     ends = blocked.groupBy("_block", *by).agg(
@@ -137,12 +144,15 @@ def _neighbours(
 
 def fill_next(
     df: DataFrame, columns: list[str], order: list[str], by: list[str] = (),
-    block_rows: int | None = None, last_resort: float | None = 0,
+    block_rows: int | None = None, last_resort: float | None = 0, index: str | None = None,
 ) -> DataFrame:
-    """Replace nulls by the next non-null value, then by ``last_resort``."""
+    """Replace nulls by the next non-null value, then by ``last_resort``.
+
+    The rows are read twice; with ``index`` pass a written table.
+    """
     if not columns:
         return df
-    near = _neighbours(df, list(order), list(columns), None, list(by), block_rows, backward=False)
+    near = _neighbours(df, list(order), list(columns), None, list(by), block_rows, False, index)
     types = dict(df.dtypes)
     filled = {}
     for c in columns:
@@ -153,7 +163,7 @@ def fill_next(
 
 def interpolate_time(
     df: DataFrame, columns: list[str], ts: str, order: list[str], by: list[str] = (),
-    block_rows: int | None = None,
+    block_rows: int | None = None, index: str | None = None,
 ) -> DataFrame:
     """Fill nulls on the straight line in time between the neighbouring values.
 
@@ -161,7 +171,7 @@ def interpolate_time(
     """
     if not columns:
         return df
-    near = _neighbours(df, list(order), list(columns), ts, list(by), block_rows, backward=True)
+    near = _neighbours(df, list(order), list(columns), ts, list(by), block_rows, True, index)
     types = dict(df.dtypes)
     filled = {c: _on_line(F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(ts)).cast(types[c]) for c in columns}
     kept = {c: F.coalesce(F.col(c), filled[c]) for c in columns}

@@ -55,10 +55,10 @@ def lag_feature_columns(window: WindowSpec, load: str = "total_load_mw", risk: s
 
 
 def with_lag_features(
-    df: DataFrame, order: list[str], by: list[str] = (), block_rows: int | None = None,
+    df: DataFrame, order: list[str], by: list[str] = (), block_rows: int | None = None, index: str | None = None,
 ) -> DataFrame:
     """Add the lag and rolling columns; ``by=[]`` runs over the whole table in order."""
-    return bounded_windows(df, order, lag_feature_columns, by, before=24, block_rows=block_rows)
+    return bounded_windows(df, order, lag_feature_columns, by, before=24, block_rows=block_rows, index=index)
 
 
 def lag_matrix(
