@@ -13,7 +13,7 @@ from gridloom.functions.rounding import half_even
 from gridloom.operators import anomaly, encode, metrics, models
 from gridloom.operators.windows import with_lag_features
 from gridloom.schema import ANOMALY_FEATURES
-from gridloom.session import materialize
+from gridloom.session import materialize, spread
 
 # Trees per forest and boosting rounds in the registered model queries; the
 # presets' own default is 200. Rows and features are always all of them.
@@ -22,11 +22,17 @@ TREES = 10
 ORDER = ["datetime", "reading_id"]
 
 
+_BUILT: dict[tuple[str, str], object] = {}
+
+
 def features(spark, sf):
-    """Feature table of the readings: calendar, energy, lags, codes; nulls as 0."""
-    df = with_energy(with_calendar(readings(spark, sf)))
-    df = encode.label_encode(with_lag_features(df, ORDER))
-    return materialize(df.fillna(0), "check-features")
+    """Feature table of the readings, written once per application and folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _BUILT:
+        df = with_energy(with_calendar(readings(spark, sf)))
+        df = encode.label_encode(with_lag_features(df, ORDER))
+        _BUILT[at] = materialize(df.fillna(0), "check-features")
+    return _BUILT[at]
 
 
 def _codes(c: str) -> str:
@@ -62,12 +68,14 @@ def _(spark, sf):
 _KBEST = ["temperature", "total_load_mw", "voltage", "outage_risk", "humidity", "fuel_cost", "load_shedding_mw"]
 
 
+def _anova(c: str) -> str:
+    return f"""select '{c}' as feature, (sum(n*(m-g)*(m-g))/(count(*)-1))/(sum(n*v)/(sum(n)-count(*))) as f from (
+  select count(*) as n, avg({c}) as m, var_pop({c}) as v, (select avg({c}) from grid_readings) as g from grid_readings group by blackout)"""
+
+
 @check("m04_select_k_best", with_sql(
-    "select feature, score_6 as score, cast(row_number() over (order by score desc, feature) as int) as rank from (" + " union all ".join(
-        f"""select '{c}' as feature, sb/(sum(n)-2) as unused, {even('b/(w/(rows-2))', 4)} as score_6, b/(w/(rows-2)) as score from (
-        select sum(n*(m-g)*(m-g)) as b, sum(n*v) as w, sum(n) as rows, 0 as sb, 3 as n from (
-          select blackout, count(*) as n, avg({c}) as m, var_pop({c}) as v, (select avg({c}) from grid_readings) as g from grid_readings group by 1)) group by all"""
-        for c in _KBEST) + ") qualify rank <= 5"))
+    f"select feature, {even('f', 4)} as score, cast(row_number() over (order by f desc, feature) as int) as rank from ("
+    + " union all ".join(_anova(c) for c in _KBEST) + ") qualify rank <= 5"))
 def _(spark, sf):
     best = encode.select_k_best(readings(spark, sf), _KBEST, "blackout", 5)
     return best.select("feature", half_even(F.col("score"), 4).alias("score"), "rank")
@@ -177,7 +185,7 @@ def _(spark, sf):
 
     table = features(spark, sf)
     train, test = stratified_split(table, "reading_id", "blackout")
-    ensemble = models.train_ensemble(train.cache(), list(models.BLACKOUT_FEATURES), "blackout", TREES)
+    ensemble = models.train_ensemble(spread(train).cache(), list(models.BLACKOUT_FEATURES), "blackout", TREES)
     return ensemble.predict(test).select("reading_id", "blackout", "score", "prediction")
 
 
@@ -206,7 +214,7 @@ def _(spark, sf):
 
 def _prepared(spark, sf):
     df, columns, _ = anomaly.prepare(with_energy(readings(spark, sf)))
-    return df.select("reading_id", *columns), columns
+    return materialize(df.select("reading_id", *columns), "check-scaled"), columns
 
 
 @check("a01_isolation_forest")

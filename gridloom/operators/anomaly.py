@@ -15,7 +15,7 @@ from gridloom.operators.encode import Scaler, fit_pca, fit_scaler
 from gridloom.operators.forest import isolation_flags
 from gridloom.operators.quantiles import quantiles
 from gridloom.schema import ANOMALY_FEATURES, LIVE_ANOMALY_FEATURES
-from gridloom.session import materialize
+from gridloom.session import materialize, spread
 
 _Z = "_z_"
 
@@ -76,7 +76,7 @@ def boundary_flags(
             if len(frame):
                 yield pd.DataFrame({"wave": np.arange(waves), "s": features(frame).sum(axis=0), "n": len(frame)})
 
-    sums = df.select(*columns).mapInPandas(partial_sums, "wave int, s double, n long")
+    sums = spread(df.select(*columns)).mapInPandas(partial_sums, "wave int, s double, n long")
     means = sums.groupBy("wave").agg((F.sum("s") / F.sum("n")).alias("m")).collect()
     centre = np.zeros(waves)
     for row in means:
@@ -87,7 +87,7 @@ def boundary_flags(
         frame = pd.concat(parts, axis=1, keys=columns)
         return pd.Series(features(frame) @ centre)
 
-    scored = materialize(df.withColumn(score, similarity(*[F.col(c) for c in columns])), "boundary-scores")
+    scored = materialize(spread(df).withColumn(score, similarity(*[F.col(c) for c in columns])), "boundary-scores")
     cut = quantiles(scored, [score], [nu]).first()["quantiles"][0]
     return scored.withColumn(flag, (F.col(score) < F.lit(cut)).cast("int"))
 
@@ -144,7 +144,8 @@ def detect_anomalies(
 def live_anomalies(df: DataFrame, key: str, trees: int = 100, contamination: float = 0.05) -> DataFrame:
     """The short form: one forest over six measured columns."""
     prepared, columns, _ = prepare(df, LIVE_ANOMALY_FEATURES)
-    out = isolation_flags(prepared.select(key, *columns), key, columns, contamination, trees, score="anomaly_score", flag="is_anomaly")
+    narrow = materialize(prepared.select(key, *columns), "anomaly-features")
+    out = isolation_flags(narrow, key, columns, contamination, trees, score="anomaly_score", flag="is_anomaly")
     return df.join(out.drop(*columns), key)
 
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import materialize
+from gridloom.session import materialize, spread
 
 LEVELS = 3
 BROADCAST_ROWS = 200_000
@@ -127,6 +127,7 @@ def noise_points(df: DataFrame, key: str, coords: list[str], eps: float, min_poi
         few.filter(F.col("_shown") < min_points).drop("_r", "_shown").withColumns(grid.coarse_columns()),
         "density-candidates",
     )
+    candidates = spread(candidates)
     probes = grid.probes(candidates, key)
     limit = F.lit(eps * eps)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import quantiles
 from gridloom.operators.sampling import hash_rank
-from gridloom.session import materialize
+from gridloom.session import materialize, spread
 
 _NODE = "tree int, node int, feature int, threshold double, low int, high int, path double"
 
@@ -55,7 +55,7 @@ def _tree_rows(df: DataFrame, key: str, columns: list[str], trees: int, rows: in
     lends its rows to several trees.
     """
     pool = df.select(key, *columns).withColumn("_h", hash_rank(key, seed)).orderBy("_h", key).limit(trees * rows)
-    pool = materialize(pool, "forest-pool")
+    pool = spread(materialize(pool, "forest-pool"))
     n = pool.count()
     if n >= trees * rows:
         dealt = Window.orderBy("_h", key)  # trees * rows rows
@@ -134,8 +134,11 @@ def isolation_flags(
     df: DataFrame, key: str, columns: list[str], contamination: float = 0.05, trees: int = 200, seed: int = 42,
     score: str = "if_score", flag: str = "if_anomaly",
 ) -> DataFrame:
-    """Add score and 0/1 flag; the ``contamination`` share with the lowest scores is flagged."""
+    """Add score and 0/1 flag; the ``contamination`` share with the lowest scores is flagged.
+
+    ``df`` is read twice: for the trees' rows and for scoring.
+    """
     forest = fit_isolation_forest(df, key, columns, trees, seed=seed)
-    scored = materialize(df.withColumn(score, forest.score(df)), "forest-scores")
+    scored = materialize(spread(df).withColumn(score, forest.score(df)), "forest-scores")
     cut = quantiles(scored, [score], [contamination]).first()["quantiles"][0]
     return scored.withColumn(flag, (F.col(score) < F.lit(cut)).cast("int"))

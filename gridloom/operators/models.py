@@ -18,6 +18,7 @@ from gridloom.operators.encode import Scaler, class_weights, feature_matrix, fit
 from gridloom.operators.metrics import classification_metrics, regression_metrics
 from gridloom.operators.sampling import chronological_split, stratified_split
 from gridloom.schema import BLACKOUT_FEATURES, DEMAND_FEATURES, OVERLOAD_FEATURES
+from gridloom.session import spread
 
 log = logging.getLogger(__name__)
 
@@ -48,7 +49,7 @@ def classifier_presets(trees: int = 200, n_rows: int | None = None) -> dict[str,
     return {
         "logistic_regression": Preset(
             LogisticRegression(
-                maxIter=1000, regParam=1.0 / (0.1 * (n_rows or 1)), elasticNetParam=0.0, standardization=False,
+                maxIter=1000, tol=1e-4, regParam=1.0 / (0.1 * (n_rows or 1)), elasticNetParam=0.0, standardization=False,
                 labelCol="label", featuresCol="features",
             ), "balanced", scaled=True,
         ),
@@ -224,7 +225,7 @@ def compare_classifiers(
     """
     rows, present = _table(df, features, target, key)
     train_df, test_df = stratified_split(rows, key, target)
-    train_df, test_df = train_df.cache(), test_df.cache()
+    train_df, test_df = spread(train_df).cache(), test_df.cache()
     n = train_df.count()
     presets = classifier_presets(trees, n)
     done = [
@@ -247,7 +248,7 @@ def compare_regressors(
     """Train on the first 80 % in time, rank by RMSE on the rest."""
     rows, present = _table(df, features, target, ts, key)
     train_df, test_df = chronological_split(rows, ts, key)
-    train_df, test_df = train_df.cache(), test_df.cache()
+    train_df, test_df = spread(train_df).cache(), test_df.cache()
     size = train_df.agg(F.count("*").alias("n"), F.stddev_samp(target).alias("s")).first()
     presets = regressor_presets(trees, size["n"], size["s"] or 1.0)
     done = [

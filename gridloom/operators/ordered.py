@@ -115,23 +115,24 @@ def _neighbours(
         *[F.max_by(_anchor(ts, c), F.when(F.col(c).isNotNull(), F.col("_idx"))).alias(f"_last_{c}") for c in columns],
     )
     # One row per block and key: at most MAX_BLOCKS rows per key.
-    across = Window.partitionBy(*by).orderBy("_block")
-    ahead = across.rowsBetween(1, Window.unboundedFollowing)
-    behind = across.rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         F.col("_block").alias("_b"), *[F.col(b).alias(f"_by_{b}") for b in by],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(ahead).alias(f"_ahead_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(ahead).alias(f"_ahead_{c}") for c in columns],
         *([F.last(f"_last_{c}", ignorenulls=True).over(behind).alias(f"_behind_{c}") for c in columns] if backward else []),
     )
     match = blocked["_block"] == carried["_b"]
     for b in by:
         match = match & blocked[b].eqNullSafe(carried[f"_by_{b}"])
     joined = blocked.join(carried, match, "left")
-    within = Window.partitionBy("_block", *by).orderBy("_idx")
-    onward = within.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    past = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Looking ahead is looking back in descending order: a frame that grows is
+    # kept up row by row, a frame that shrinks would be recomputed for each row.
+    so_far = Window.unboundedPreceding, Window.currentRow
+    past = Window.partitionBy("_block", *by).orderBy("_idx").rowsBetween(*so_far)
+    onward = Window.partitionBy("_block", *by).orderBy(F.desc("_idx")).rowsBetween(*so_far)
     found = {
-        f"_next_{c}": F.coalesce(F.first(_anchor(ts, c), ignorenulls=True).over(onward), F.col(f"_ahead_{c}"))
+        f"_next_{c}": F.coalesce(F.last(_anchor(ts, c), ignorenulls=True).over(onward), F.col(f"_ahead_{c}"))
         for c in columns
     }
     if backward:

@@ -68,7 +68,8 @@ def interpolate(series: DataFrame) -> DataFrame:
     placed = series.withColumn("_i", F.row_number().over(w))
     anchor = F.when(F.col(VALUE).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(VALUE).alias("v")))
     prev = F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(anchor, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy(KEY).orderBy(F.desc(TS)).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.last(anchor, ignorenulls=True).over(backwards)
     p, n = F.col("_p"), F.col("_n")
     line = p["v"] + (n["v"] - p["v"]) * F.try_divide((F.col("_i") - p["i"]).cast("double"), (n["i"] - p["i"]).cast("double"))
     return placed.withColumns({"_p": prev, "_n": nxt}).withColumn(VALUE, F.coalesce(VALUE, line, p["v"])).select(KEY, TS, VALUE)
@@ -348,7 +349,7 @@ def fit_window_ridge(train: DataFrame, lags: int = 24, horizon: int = 6, alpha:
     windows = scaled.withColumns(
         {
             "_lags": F.collect_list("_v").over(w.rowsBetween(-lags, -1)),
-            "_left": F.count("*").over(w.rowsBetween(1, Window.unboundedFollowing)),
+            "_left": F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(TS))) - 1,
         }
     ).filter((F.size("_lags") == lags) & (F.col("_left") >= horizon - 1))
     rows = windows.withColumn("x", F.concat(F.array(F.lit(1.0)), F.col("_lags"), F.array(F.col("_v"))))

@@ -48,3 +48,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark).rstrip('/')}/gridloom/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """At least one partition per core, for CPU-bound work on a table of few files.
+
+    A table of many splits, as on a cluster, is returned as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
