@@ -8,8 +8,8 @@ core, none is noise, and nobody compares them. Only points of the other cells
 * other candidates near it, at most ``min_points - 1`` per cell, and
 * dense cells near it, through their bounding boxes. A box wholly within
   ``eps`` counts with all its points, a box wholly outside with none; a box on
-  the edge is replaced by the smaller boxes of its points. The few small boxes
-  still on the edge after ``LEVELS`` rounds are settled point by point.
+  the edge is settled point by point if it holds few points, and is otherwise
+  replaced by the smaller boxes of its points, for up to ``LEVELS`` rounds.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from gridloom.session import materialize, spread
 
 LEVELS = 3
+LEAF_POINTS = 256
 BROADCAST_ROWS = 200_000
 
 
@@ -80,15 +81,19 @@ class _Grid:
         parts = [(F.col(f"{prefix}{i}") - F.col(x)) * (F.col(f"{prefix}{i}") - F.col(x)) for i, x in enumerate(self.coords)]
         return sum(parts[1:], parts[0])
 
+    def as_probes(self, points: DataFrame, key: str) -> DataFrame:
+        """Points as probes of their own coarse cell."""
+        return points.select(
+            F.col(key).alias("p_key"), *[F.col(x).alias(f"p_{i}") for i, x in enumerate(self.coords)], *self.cells
+        ).withColumns(self.coarse_columns()).drop(*self.cells)
+
     def probes(self, points: DataFrame, key: str) -> DataFrame:
         """One row per coarse cell the eps-ball of a point may touch.
 
         Dimension after dimension, moves whose summed gap exceeds eps are cut.
         """
         width = self.side * self.reach
-        out = points.select(
-            F.col(key).alias("p_key"), *[F.col(x).alias(f"p_{i}") for i, x in enumerate(self.coords)], *self.cells
-        ).withColumns(self.coarse_columns()).drop(*self.cells).withColumn("_room", F.lit(self.eps**2 * (1 + 1e-9)))
+        out = self.as_probes(points, key).withColumn("_room", F.lit(self.eps**2 * (1 + 1e-9)))
         for i, g in enumerate(self.coarse):
             at = F.col(f"p_{i}") - F.col(g) * width
             moves = F.array(
@@ -128,74 +133,72 @@ def noise_points(df: DataFrame, key: str, coords: list[str], eps: float, min_poi
         "density-candidates",
     )
     candidates = spread(candidates)
-    probes = grid.probes(candidates, key)
     limit = F.lit(eps * eps)
-
-    near = probes.join(candidates.drop(*grid.cells), list(grid.coarse)).filter(grid.distance() <= limit)
-    from_sparse = near.groupBy("p_key").agg(F.count("*").alias("_sparse"))
-    from_dense = _dense_neighbours(points, dense, probes, grid, key, limit)
+    targets = candidates.drop(*grid.cells)
+
+    # Most rows prove core inside their own coarse cell; only the others look around.
+    own = grid.as_probes(candidates, key)
+    settled = materialize(_pairs(own, targets, grid, limit).filter(F.col("_sparse") >= min_points), "density-settled")
+    rest = spread(materialize(_without(candidates, settled, key), "density-rest"))
+    from_sparse = materialize(_pairs(grid.probes(rest, key), targets, grid, limit), "density-sparse")
+    unsure = _without(rest, from_sparse.filter(F.col("_sparse") >= min_points), key)
+    unsure = spread(materialize(unsure, "density-unsure"))
+    from_dense = _dense_neighbours(points, dense, grid.probes(unsure, key), grid, key, limit)
     judged = materialize(
-        candidates.join(from_sparse, candidates[key] == from_sparse["p_key"], "left").drop("p_key")
+        rest.join(from_sparse, F.col(key) == from_sparse["p_key"], "left").drop("p_key")
         .join(from_dense, F.col(key) == from_dense["p_key"], "left").drop("p_key")
         .withColumn("_dense", F.coalesce("_dense", F.lit(0).cast("long")))
         .withColumn("_core", F.coalesce("_sparse", F.lit(0).cast("long")) + F.col("_dense") >= min_points),
         "density-judged",
     )
-    core = judged.filter("_core").select(*grid.coarse, *coords)
+    by_own_cell = candidates.join(settled, F.col(key) == F.col("p_key"), "left_semi").select(*grid.coarse, *coords)
+    core = by_own_cell.unionByName(judged.filter("_core").select(*grid.coarse, *coords))
     open_ = judged.filter(~F.col("_core") & (F.col("_dense") == 0)).select(key, *coords, *grid.cells)
     reached = grid.probes(open_, key).join(core, list(grid.coarse)).filter(grid.distance() <= limit)
     return open_.select(key).join(reached.select(F.col("p_key").alias(key)).distinct(), key, "left_anti")
 
 
+def _pairs(probes: DataFrame, targets: DataFrame, grid: _Grid, limit: Column) -> DataFrame:
+    """Number of targets within eps of each probe."""
+    near = probes.join(targets, list(grid.coarse)).filter(grid.distance() <= limit)
+    return near.groupBy("p_key").agg(F.count("*").alias("_sparse"))
+
+
+def _without(points: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return points.join(keys, F.col(key) == F.col("p_key"), "left_anti")
+
+
 def _dense_neighbours(points, dense, probes, grid, key, limit) -> DataFrame:
-    """Number of points of dense cells within eps of each candidate (absent: none)."""
+    """Number of points of dense cells within eps of each probe (absent: none)."""
     p = ["p_key"] + [f"p_{i}" for i in range(grid.d)]
-    met = probes.join(
-        dense.withColumnsRenamed({c: f"_h{i}" for i, c in enumerate(grid.cells)}), list(grid.coarse)
-    ).filter(grid.nearest() <= limit)
-    met = materialize(
-        met.select(*p, "_n", (grid.farthest() <= limit).alias("_inside"), *[f"_h{i}" for i in range(grid.d)]),
-        "density-boxes-0",
-    )
-    counted = [met.filter("_inside").select("p_key", "_n")]
-    edge = met.filter(~F.col("_inside"))
-    for level in range(1, LEVELS + 1):
-        parents = edge.select(*[f"_h{i}" for i in range(grid.d)]).distinct()
-        n = parents.count()
-        if n == 0:
-            return _sum(counted)
-        located = grid.locate(points.select(key, *grid.coords), level).withColumns(
-            {f"_h{i}": F.floor(F.col(c) / 4) for i, c in enumerate(grid.cells)}
-        )
-        if n <= BROADCAST_ROWS:
-            parents = F.broadcast(parents)
-        inside_parents = located.join(parents, [f"_h{i}" for i in range(grid.d)], "left_semi")
-        smaller = grid.boxes(inside_parents).withColumns(
-            {f"_h{i}": F.floor(F.col(c) / 4) for i, c in enumerate(grid.cells)}
-        )
-        met = edge.select(*p, *[f"_h{i}" for i in range(grid.d)]).join(smaller, [f"_h{i}" for i in range(grid.d)])
-        met = met.drop(*[f"_h{i}" for i in range(grid.d)]).filter(grid.nearest() <= limit)
-        met = materialize(
-            met.select(
-                *p, "_n", (grid.farthest() <= limit).alias("_inside"),
-                *[F.col(c).alias(f"_h{i}") for i, c in enumerate(grid.cells)],
-            ),
-            f"density-boxes-{level}",
-        )
+    box = [f"_h{i}" for i in range(grid.d)]  # cell numbers of a box on its level
+    met = probes.join(dense.withColumnsRenamed(dict(zip(grid.cells, box))), list(grid.coarse))
+    counted = []
+    for level in range(LEVELS + 1):
+        met = met.filter(grid.nearest() <= limit).select(*p, *box, "_n", (grid.farthest() <= limit).alias("_inside"))
+        met = materialize(met, f"density-boxes-{level}")
         counted.append(met.filter("_inside").select("p_key", "_n"))
         edge = met.filter(~F.col("_inside"))
-    # The last boxes have sides of eps / (64 * sqrt(d)); what is left lies on the edge itself.
-    located = grid.locate(points.select(key, *grid.coords), LEVELS).withColumnsRenamed(
-        {c: f"_h{i}" for i, c in enumerate(grid.cells)}
-    )
-    ends = edge.select(*p, *[f"_h{i}" for i in range(grid.d)])
-    if ends.count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    hits = located.join(ends, [f"_h{i}" for i in range(grid.d)]).filter(grid.distance() <= limit)
-    counted.append(hits.groupBy("p_key").agg(F.count("*").alias("_n")))
+        # Small boxes are settled point by point, and so is what the last level leaves.
+        few = edge.filter(F.col("_n") <= LEAF_POINTS) if level < LEVELS else edge
+        located = grid.locate(points.select(key, *grid.coords), level).withColumnsRenamed(dict(zip(grid.cells, box)))
+        hits = located.join(_small(few.select(*p, *box)), box).filter(grid.distance() <= limit)
+        counted.append(hits.groupBy("p_key").agg(F.count("*").alias("_n")))
+        edge = edge.filter(F.col("_n") > LEAF_POINTS).select(*p, *box)
+        if level == LEVELS or edge.isEmpty():
+            break
+        parent = {b: F.floor(F.col(c) / 4) for b, c in zip(box, grid.cells)}
+        finer = grid.locate(points.select(key, *grid.coords), level + 1).withColumns(parent)
+        finer = grid.boxes(finer.join(_small(edge.select(*box).distinct()), box, "left_semi")).withColumns(parent)
+        met = edge.join(finer, box).drop(*box).withColumnsRenamed(dict(zip(grid.cells, box)))
     return _sum(counted)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Mark a counted small table for broadcast."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _sum(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
