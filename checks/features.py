@@ -118,11 +118,16 @@ def _(spark, sf):
     return readings(spark, sf).select("reading_id", half_even(ratio, 6).alias("load_ratio"), half_even(stress, 6).alias("stress"))
 
 
+def _exact(expr: str, digits: int) -> str:
+    """Half-even rounding of a row's own value: no sum, so no noise to guard against."""
+    return f"cast(round_even(cast({expr} as decimal(38,14)), {digits}) as double)"
+
+
 @check("p12_risk_score", with_sql(f"""
-select reading_id, cast(risk >= 0.5 as int) as prediction, {even('risk*100', 2)} as probability_pct,
+select reading_id, cast(risk >= 0.5 as int) as prediction, {_exact('risk*100', 2)} as probability_pct,
   case when risk >= 0.75 then 'CRITIQUE' when risk >= 0.5 then 'ELEVE' when risk >= 0.25 then 'MODERE' else 'FAIBLE' end as risk_level,
-  {even('lr', 3)} as load_ratio, {even('available_power_mw - total_load_mw', 1)} as power_margin_mw,
-  {even('st*100', 2)} as grid_stress_pct from p""", **_SCORE_QUIET))
+  {_exact('lr', 3)} as load_ratio, {_exact('available_power_mw - total_load_mw', 1)} as power_margin_mw,
+  {_exact('st*100', 2)} as grid_stress_pct from p""", **_SCORE_QUIET))
 def _(spark, sf):
     return rk.with_risk_score(_quiet(readings(spark, sf))).select(
         "reading_id", "prediction", "probability_pct", "risk_level", "load_ratio", "power_margin_mw", "grid_stress_pct")

@@ -249,7 +249,7 @@ def compare_regressors(
     rows, present = _table(df, features, target, ts, key)
     train_df, test_df = chronological_split(rows, ts, key)
     train_df, test_df = spread(train_df).cache(), test_df.cache()
-    size = train_df.agg(F.count("*").alias("n"), F.stddev_samp(target).alias("s")).first()
+    size = train_df.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("s")).first()
     presets = regressor_presets(trees, size["n"], size["s"] or 1.0)
     done = [
         train_evaluate_regressor(train_df, test_df, present, target, presets[name], name)

@@ -51,7 +51,9 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     the file count stays at the number of salts per month.
     """
     if fmt == "csv":
-        df.write.mode("overwrite").option("header", True).csv(path)
+        # The default text form of a timestamp ends at milliseconds.
+        text = df.write.mode("overwrite").option("header", True)
+        text.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
         return
     df.withColumn("_salt", F.pmod(F.hash("datetime", *_present(df, "city", "region")), F.lit(16))).repartition(
         "year", "month", "_salt"
