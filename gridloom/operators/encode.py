@@ -5,16 +5,18 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.ordered import number_rows
 from gridloom.operators.profile import numeric_columns
 from gridloom.schema import ENCODED_COLUMNS, TASKS, UNSCALED_COLUMNS
+from gridloom.session import materialize
 
 log = logging.getLogger(__name__)
 
+LISTED_CLASSES = 200  # classes of a column that fit into an expression
 SMALL_DICTIONARY = 50_000  # classes of a column that may go to every executor
 
 
@@ -32,22 +34,41 @@ def task_features(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "task string, place int, feature string, target string, kind string")
 
 
-def classes(df: DataFrame, column: str) -> DataFrame:
-    """Sorted classes of a column with their code from 0; a null is the class ``nan``."""
-    found = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("value")).distinct().cache()
-    if found.count() > SMALL_DICTIONARY:
-        return number_rows(found, ["value"], "code").select("value", F.col("code").cast("int").alias("code"))
-    # At most SMALL_DICTIONARY rows in this one-task window, and in the broadcast.
-    coded = found.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
-    return F.broadcast(coded)
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("nan"))
+
+
+def classes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct (column, value) pairs as text, in one pass; a null is the class ``nan``."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in columns])
+    return df.select(F.inline(cells)).distinct()
 
 
 def label_encode(df: DataFrame, columns=ENCODED_COLUMNS) -> DataFrame:
-    """Add ``<column>_enc``: the place of the value among the sorted classes."""
-    for c in [c for c in columns if c in df.columns]:
-        codes = classes(df, c).withColumnsRenamed({"value": "_value", "code": f"{c}_enc"})
-        df = df.join(codes, F.coalesce(df[c].cast("string"), F.lit("nan")) == F.col("_value"), "left").drop("_value")
-    return df
+    """Add ``<column>_enc``: the place of the value among the sorted classes.
+
+    A few classes become a literal list inside the projection, a small
+    dictionary is broadcast, a large one is numbered in parallel and joined.
+    """
+    columns = [c for c in columns if c in df.columns]
+    if not columns:
+        return df
+    found = materialize(classes(df, columns), "classes")
+    sizes = {r["column"]: r["count"] for r in found.groupBy("column").count().collect()}
+    short = [c for c in columns if sizes.get(c, 0) <= LISTED_CLASSES]
+    lists: dict[str, list[str]] = {c: [] for c in short}
+    for row in found.filter(F.col("column").isin(short)).collect() if short else ():
+        lists[row["column"]].append(row["value"])
+    listed = {f"{c}_enc": (F.array_position(F.lit(sorted(v)), _text(c)) - 1).cast("int") for c, v in lists.items() if v}
+    for c in columns:
+        if c in short:
+            continue
+        mine = found.filter(F.col("column") == c).select(F.col("value").alias("_value"))
+        codes = number_rows(mine, ["_value"], f"{c}_enc").withColumn(f"{c}_enc", F.col(f"{c}_enc").cast("int"))
+        if sizes[c] <= SMALL_DICTIONARY:
+            codes = F.broadcast(codes)
+        df = df.join(codes, _text(c) == F.col("_value"), "left").drop("_value")
+    return df.withColumns(listed)
 
 
 @dataclass(frozen=True)
@@ -190,16 +211,25 @@ class Projection:
 
 
 def fit_pca(df: DataFrame, columns: list[str], k: int) -> Projection:
-    """Axes of the covariance matrix; only a columns x columns matrix reaches the driver."""
-    k = min(k, len(columns))
-    row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(
-        VectorAssembler(inputCols=columns, outputCol="_v").transform(df.select(*columns))
-    )
-    axes = model.pc.toArray().T
-    # A component's sign is free: make the largest weight positive.
-    axes = [[float(w) for w in (a if a[abs(a).argmax()] > 0 else -a)] for a in axes]
-    return Projection(list(columns), [float(row[c]) for c in columns], axes, [float(x) for x in model.explainedVariance])
+    """Axes of the covariance matrix, whose entries come from one aggregation.
+
+    Only the columns x columns matrix reaches the driver.
+    """
+    k, d = min(k, len(columns)), len(columns)
+    row = df.agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in columns]).first()
+    mean = [float(row[c]) for c in columns]
+    centred = [F.col(c) - F.lit(m) for c, m in zip(columns, mean)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    products = df.agg(*[F.sum(centred[i] * centred[j]).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    covariance = np.zeros((d, d))
+    for (i, j), value in zip(pairs, products):
+        covariance[i, j] = covariance[j, i] = value / max(row["_n"] - 1, 1)
+    values, vectors = np.linalg.eigh(covariance)
+    largest = np.argsort(values)[::-1][:k]
+    # A component's sign is free: make its largest weight positive.
+    axes = [vectors[:, i] * np.sign(vectors[np.abs(vectors[:, i]).argmax(), i]) for i in largest]
+    whole = float(values.sum()) or 1.0
+    return Projection(list(columns), mean, [[float(w) for w in a] for a in axes], [float(values[i]) / whole for i in largest])
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight", positive: float | None = None) -> DataFrame:

@@ -106,3 +106,14 @@ def test_rounding_sites(spark):
 
     df = spark.createDataFrame([(0.125,), (1.005,)], "x double")
     assert [tuple(r) for r in df.select(half_up(F.col("x"), 2), half_even(F.col("x"), 2)).collect()] == [(0.13, 0.12), (1.01, 1.0)]
+
+
+@pytest.mark.parametrize("listed,small", [(200, 50_000), (1, 50_000), (1, 1)])
+def test_label_codes_do_not_depend_on_the_path(spark, monkeypatch, listed, small):
+    from gridloom.operators import encode
+
+    monkeypatch.setattr(encode, "LISTED_CLASSES", listed)
+    monkeypatch.setattr(encode, "SMALL_DICTIONARY", small)
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", "x"), (3, None, "x"), (4, "z", "x")], "id int, city string, season string")
+    out = encode.label_encode(df).orderBy("id").collect()
+    assert [(r["city_enc"], r["season_enc"]) for r in out] == [(1, 0), (0, 0), (2, 0), (3, 0)]
