@@ -29,9 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """The readings table made from events and the customer, nation, region tables."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     joined = (
         e.join(c, e.user_id == c.c_custkey)

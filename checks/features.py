@@ -119,8 +119,8 @@ def _(spark, sf):
 
 
 def _exact(expr: str, digits: int) -> str:
-    """Half-even rounding of a row's own value: no sum, so no noise to guard against."""
-    return f"cast(round_even(cast({expr} as decimal(38,14)), {digits}) as double)"
+    """Rounding of a row's own value by its exact binary value."""
+    return f"cast(printf('%.{digits}f', {expr}) as double)"
 
 
 @check("p12_risk_score", with_sql(f"""

@@ -282,3 +282,11 @@ def _(spark, sf):
 def _(spark, sf):
     out = anomaly.detect_anomalies(with_energy(readings(spark, sf)), "reading_id")
     return out.select("reading_id", "region", "if_anomaly", "ae_anomaly", "dbscan_anomaly", "anomaly_vote", "is_anomaly", "anomaly_risk_score")
+
+
+@check("o03_top_anomalies", with_sql("""
+select reading_id, datetime, region, city, total_load_mw, outage_risk, total_load_mw as anomaly_risk_score from grid_readings
+where overload = 1 order by total_load_mw desc, reading_id limit 10"""))
+def _(spark, sf):
+    df = readings(spark, sf).withColumns({"is_anomaly": F.col("overload"), "anomaly_risk_score": F.col("total_load_mw")})
+    return anomaly.top_anomalies(df, "reading_id")

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import features, learning, quality, reports, series, tables  # noqa: F401
+from checks import features, learning, quality, reports, series, sources, tables  # noqa: F401
 from checks.base import QUERIES, SQL  # noqa: F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.rounding import exact_half_even
 from gridloom.schema import MAP_RISK, NO_EVENT, NOMINAL_FREQUENCY, NOMINAL_VOLTAGE, RISK_LABELS, SCORE_LEVELS
 
 
@@ -106,10 +107,10 @@ def with_risk_score(df: DataFrame) -> DataFrame:
     return staged.withColumns(
         {
             "prediction": (score >= 0.5).cast("int"),
-            "probability_pct": F.bround(score * 100, 2),
+            "probability_pct": exact_half_even(score * 100, 2),
             "risk_level": score_level(score),
-            "load_ratio": F.bround(F.col("_ratio"), 3),
-            "power_margin_mw": F.bround(available - load, 1),
-            "grid_stress_pct": F.bround(F.col("_stress") * 100, 2),
+            "load_ratio": exact_half_even(F.col("_ratio"), 3),
+            "power_margin_mw": exact_half_even(available - load, 1),
+            "grid_stress_pct": exact_half_even(F.col("_stress") * 100, 2),
         }
     ).drop("_ratio", "_stress", "_score")
