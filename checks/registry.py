@@ -1,4 +1,11 @@
-"""All registered queries."""
+"""All registered queries, the quick ones first."""
 
-from checks import features, learning, quality, reports, series, sources, tables  # noqa: F401
+# isort: skip_file
+from checks import reports  # noqa: F401
+from checks import tables  # noqa: F401
+from checks import features  # noqa: F401
+from checks import quality  # noqa: F401
+from checks import series  # noqa: F401
+from checks import sources  # noqa: F401
+from checks import learning  # noqa: F401
 from checks.base import QUERIES, SQL  # noqa: F401
