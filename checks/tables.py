@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from checks.base import check, even, readings, total, with_sql
 from checks.features import ENERGY_CTES
 from gridloom.functions.calendar import with_calendar
