@@ -1,3 +1,4 @@
+import os
 import sys
 import tempfile
 from pathlib import Path
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from gridloom.session import local_session
 
-    session = local_session("8", "tests")
+    session = local_session(os.environ.get("TEST_CPUS", "8"), "tests")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
