@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, mixing, url_filter
+from gridloom.llm import chat, mixing, ngram_join, url_filter
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ select page_id, host, path, rule, case when rule in ({", ".join(repr(h + p) for
 def _(spark, sf):
     out = url_filter.judge(table(spark, sf, "pages").select("page_id", "url"), RULES)
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+
+
+@query("op4_ngram_jaccard_join")
+def _(spark, sf):
+    return ngram_join.join_documents(table(spark, sf, "documents"))
