@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, mixing, ngram_join, url_filter
+from gridloom.llm import bpe, chat, mixing, ngram_join, url_filter
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,15 @@ def _(spark, sf):
 @query("op4_ngram_jaccard_join")
 def _(spark, sf):
     return ngram_join.join_documents(table(spark, sf, "documents"))
+
+
+def tokenizer_file() -> str:
+    """Ranks of the registered queries; every worker has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op9_byte_bpe")
+def _(spark, sf):
+    return bpe.round_trip(table(spark, sf, "documents"), tokenizer_file())
