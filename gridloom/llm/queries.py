@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, mixing, ngram_join, url_filter
+from gridloom.llm import bpe, chat, mixing, ngram_join, topk, url_filter, vector_join
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,14 @@ def tokenizer_file() -> str:
 @query("op9_byte_bpe")
 def _(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_file())
+
+
+@query("op8_exact_top_k")
+def _(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+@query("op10_embedding_near_dedup")
+def _(spark, sf):
+    return vector_join.range_join(table(spark, sf, "embeddings").select("vec_id", "embedding"))
