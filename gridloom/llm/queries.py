@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, mixing, ngram_join, topk, url_filter, vector_join
+from gridloom.llm import bpe, chat, mixing, ngram_join, topk, toxicity, url_filter, vector_join
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def _(spark, sf):
 @query("op10_embedding_near_dedup")
 def _(spark, sf):
     return vector_join.range_join(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op1_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    score = F.col("toxicity.score")
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
+        "toxicity.hits", "toxicity.misspelt", "toxicity.quoted")
