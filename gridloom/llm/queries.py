@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, mixing, ngram_join, topk, toxicity, url_filter, vector_join
+from gridloom.llm import bpe, chat, mixing, ngram_join, topk, toxicity, url_filter, vector_join, warc
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,14 @@ def _(spark, sf):
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
         "toxicity.hits", "toxicity.misspelt", "toxicity.quoted")
+
+
+@query("op2_warc", f"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select *, case when payload_bytes >= {warc.LEAST} then min(page_id) over (partition by payload_digest) end as least from d)
+select page_id, payload_bytes, payload_digest, case when least is not null and page_id is distinct from least then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from least then least end as refers_to from f""")
+def _(spark, sf):
+    path = warc.write_archives(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return warc.page_records(warc.read_archives(spark, path))
