@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, mixing, ngram_join, topk, toxicity, url_filter, vector_join, warc
+from gridloom.llm import bpe, chat, licenses, mixing, ngram_join, topk, toxicity, url_filter, vector_join, warc
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,11 @@ select page_id, payload_bytes, payload_digest, case when least is not null and p
 def _(spark, sf):
     path = warc.write_archives(table(spark, sf, "pages").select("page_id", "url", "html"))
     return warc.page_records(warc.read_archives(spark, path))
+
+
+@query("op6_license_scan")
+def _(spark, sf):
+    part = F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("null"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("null")), F.coalesce("lang", F.lit("null")), part, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    files = table(spark, sf, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files)
