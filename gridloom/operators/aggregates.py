@@ -11,6 +11,7 @@ from gridloom.functions.risk import map_color, map_label, map_radius, overload_c
 from gridloom.functions.rounding import half_even
 from gridloom.operators.places import with_coordinates
 from gridloom.operators.quantiles import quantiles
+from gridloom.session import small
 
 
 def rate_by(df: DataFrame, key: str, flag: str, digits: int = 2) -> DataFrame:
@@ -200,7 +201,7 @@ def box_summary(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), dig
     ).select(*by, "_x.*")
     value = F.col("value")
     keys = [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by] + [F.col("l.column") == F.col("r.column")]
-    joined = long.alias("l").join(limits.alias("r"), reduce(lambda a, b: a & b, keys))
+    joined = long.alias("l").join(small(limits).alias("r"), reduce(lambda a, b: a & b, keys))
     inside = F.when(value.between(F.col("_low"), F.col("_high")), value)
     return joined.groupBy(*[F.col(f"l.{b}") for b in by], F.col("l.column")).agg(
         F.count(value).alias("n"),

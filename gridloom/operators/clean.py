@@ -12,8 +12,12 @@ from gridloom.operators.quantiles import quantiles
 from gridloom.schema import CATEGORY_COLUMNS, NO_EVENT, PHYSICAL_BOUNDS
 
 
-def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+def drop_duplicate_rows(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Distinct rows. With ``key``, rows that differ in nothing else are duplicates, and the smallest key stays."""
+    if key is None or key not in df.columns:
+        return df.dropDuplicates()
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(*[F.col(f"`{c}`") for c in others]).agg(F.min(key).alias(key)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def normalize_names(df: DataFrame) -> DataFrame:
@@ -24,9 +28,9 @@ def trim_categories(df: DataFrame, columns=CATEGORY_COLUMNS) -> DataFrame:
     return df.withColumns({c: F.trim(F.col(c)) for c in columns if c in df.columns})
 
 
-def clean_basic(df: DataFrame, order: list[str] | None = None, index: str = "row_index") -> DataFrame:
-    """Distinct rows, tidy names, trimmed categories; numbered in time order if asked."""
-    out = trim_categories(normalize_names(drop_duplicate_rows(df)))
+def clean_basic(df: DataFrame, order: list[str] | None = None, index: str = "row_index", key: str | None = None) -> DataFrame:
+    """Distinct rows, tidy names, trimmed categories; numbered in time order if asked. ``key`` doesn't tell rows apart."""
+    out = trim_categories(normalize_names(drop_duplicate_rows(df, key)))
     return number_rows(out, order, index) if order else out
 
 

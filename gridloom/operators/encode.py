@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.ordered import number_rows
 from gridloom.operators.profile import numeric_columns
 from gridloom.schema import ENCODED_COLUMNS, TASKS, UNSCALED_COLUMNS
-from gridloom.session import materialize
+from gridloom.session import materialize, small
 
 log = logging.getLogger(__name__)
 
@@ -100,7 +100,7 @@ def min_max(df: DataFrame, column: str, name: str, by: tuple[str, ...] = ()) ->
     """Add the column scaled to 0..1 over the table or per key; a constant gives 0."""
     span = F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))
     if by:
-        df = df.join(df.groupBy(*by).agg(span.alias("_span")), list(by))
+        df = df.join(small(df.groupBy(*by).agg(span.alias("_span"))), list(by))
         lo, hi = F.col("_span")["lo"], F.col("_span")["hi"]
     else:
         ends = df.agg(span.alias("s")).scalar()
@@ -109,11 +109,6 @@ def min_max(df: DataFrame, column: str, name: str, by: tuple[str, ...] = ()) ->
     return df.withColumn(name, scaled).drop("_span")
 
 
-def _unpivoted(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(*keep, F.inline(cells))
-
-
 def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """F statistic of each feature between the classes of ``label``.
 

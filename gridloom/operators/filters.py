@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import small
+
 ALL = "Toutes"  # fixed value: the "no restriction" choice
 
 
@@ -61,4 +63,4 @@ def groups_larger_than(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
 def long_enough(series: DataFrame, key: str, points: int = 100) -> DataFrame:
     """Drop the series that have fewer than ``points`` points."""
     kept = series.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= points)
-    return series.join(kept.select(key), key, "left_semi")
+    return series.join(small(kept.select(key)), key, "left_semi")

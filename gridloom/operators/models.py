@@ -23,6 +23,8 @@ from gridloom.session import spread
 log = logging.getLogger(__name__)
 
 SEED = 42
+#: Spark's own limit of a tree's depth; stands for "no limit".
+DEEPEST = 30
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ def classifier_presets(trees: int = 200, n_rows: int | None = None) -> dict[str,
         ),
         "gradient_boosting": Preset(_boosted(trees, 5, 0.05, 0.8)),
         "xgboost": Preset(_boosted(trees, 6, 0.05, 0.8, "0.8"), 5.0),
-        "lightgbm": Preset(_boosted(trees, 6, 0.05, 0.8, "0.8"), "balanced"),
+        "lightgbm": Preset(_boosted(trees, 6, 0.05, 1.0, "0.8"), "balanced"),
         "catboost": Preset(_boosted(trees, 6, 0.05), "balanced"),
     }
 
@@ -71,7 +73,7 @@ def ensemble_presets(trees: int = 100) -> dict[str, Preset]:
     return {
         "rf": Preset(
             RandomForestClassifier(
-                numTrees=trees, maxDepth=14, seed=SEED, labelCol="label", featuresCol="features", maxMemoryInMB=512,
+                numTrees=trees, maxDepth=DEEPEST, seed=SEED, labelCol="label", featuresCol="features", maxMemoryInMB=512,
             ), "balanced",
         ),
         "xgb": Preset(_boosted(trees, 6, 0.3), 5.0),
@@ -93,7 +95,8 @@ def regressor_presets(trees: int = 200, n_rows: int | None = None, label_std: fl
         ),
         "random_forest_reg": Preset(
             RandomForestRegressor(
-                numTrees=trees, maxDepth=12, seed=SEED, labelCol="label", featuresCol="features", maxMemoryInMB=512,
+                numTrees=trees, maxDepth=12, featureSubsetStrategy="all", seed=SEED, labelCol="label", featuresCol="features",
+                maxMemoryInMB=512,
             )
         ),
         "xgboost_reg": Preset(boosted),

@@ -168,14 +168,16 @@ def interpolate_time(
 ) -> DataFrame:
     """Fill nulls on the straight line in time between the neighbouring values.
 
-    Before the first and after the last value the nearest value is taken.
+    Before the first and after the last value the nearest value is taken. An
+    integer column becomes double, as the line has fractions.
     """
     if not columns:
         return df
     near = _neighbours(df, list(order), list(columns), ts, list(by), block_rows, True, index)
     types = dict(df.dtypes)
-    filled = {c: _on_line(F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(ts)).cast(types[c]) for c in columns}
-    kept = {c: F.coalesce(F.col(c), filled[c]) for c in columns}
+    kind = {c: types[c] if types[c] in ("float", "double") or types[c].startswith("decimal") else "double" for c in columns}
+    filled = {c: _on_line(F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(ts)).cast(kind[c]) for c in columns}
+    kept = {c: F.coalesce(F.col(c).cast(kind[c]), filled[c]) for c in columns}
     return near.withColumns(kept).select(*df.columns)
 
 

@@ -23,8 +23,20 @@ def hash_rank(key: str, seed: int = 42) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int = 3000, seed: int = 42) -> DataFrame:
-    """A random sample of min(rows, n) rows; every task keeps at most ``rows``."""
-    return df.withColumn("_h", hash_rank(key, seed)).orderBy("_h", key).limit(rows).drop("_h")
+    """A random sample of min(rows, n) rows: those of the smallest hash.
+
+    The count gives a limit of the hash that somewhat more than ``rows`` rows
+    pass, so that a merge of all tasks' candidates stays at that size. Hashes
+    are uniform; should fewer rows pass all the same, the limit is lifted.
+    """
+    marked = df.withColumn("_h", hash_rank(key, seed))
+    n = df.count()
+    wanted = min(rows, n)
+    limit = int(min(1.0, (wanted + 10 * wanted**0.5 + 20) / max(n, 1)) * (1 << 52))
+    few = marked.filter(F.col("_h") < limit)
+    if limit < 1 << 52 and few.count() >= wanted:
+        marked = few
+    return marked.orderBy("_h", key).limit(rows).drop("_h")
 
 
 def stratified_split(
@@ -58,15 +70,19 @@ def _test_rows(sizes: dict[tuple, int], share: float) -> dict[tuple, int]:
     return out
 
 
+#: Time of a row without one: after all others, and exact as a double.
+_LAST = 1 << 62
+
+
 def chronological_split(
     df: DataFrame, ts: str, tie: str, train_share: float = 0.8, in_memory_rows: int = IN_MEMORY_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """The first int(share * n) rows in (ts, tie) order, and the rest.
+    """The first int(share * n) rows in (ts, tie) order, and the rest; rows without a time come last.
 
     The cut is found from order statistics: first of the time, then of the
-    tie-breaker among the rows that share the time of the cut.
+    tie-breaker, a whole number, among the rows that share the time of the cut.
     """
-    marked = df.withColumn("_t", micros(F.col(ts)))
+    marked = df.withColumn("_t", F.coalesce(micros(F.col(ts)), F.lit(_LAST)))
     n = marked.count()
     k = int(n * train_share)
     if k == 0 or k == n:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import with_calendar
 from gridloom.functions.energy import with_energy
@@ -11,7 +12,7 @@ from gridloom.operators.encode import label_encode
 from gridloom.operators.profile import summary
 from gridloom.operators.windows import with_lag_features
 from gridloom.session import materialize
-from gridloom.sources.readings import write_processed
+from gridloom.sources.readings import read_processed, write_processed
 
 _INDEX = "_row"
 
@@ -23,13 +24,20 @@ def build_features(
     """Clean, impute, clip, derive, encode, fill.
 
     The readings are sorted and numbered once; gap filling, lags and the last
-    fill reuse that position. ``key`` breaks ties of ``ts`` and is unique.
-    With ``by`` (say ``["city"]``) order-dependent steps stay within the key.
+    fill reuse that position. ``key`` breaks ties of ``ts`` and is unique;
+    raw readings without it get one, a hash of the distinct row. Rows that
+    differ in the key alone are duplicates. With ``by`` (say ``["city"]``)
+    order-dependent steps stay within the key.
     """
     by, order = list(by), [ts, key]
-    rows = clean_basic(df, by + order, _INDEX)
+    own = key in df.columns
+    if not own:
+        df = df.dropDuplicates()
+        df = df.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    rows = clean_basic(df, by + order, _INDEX, key if own else None)
     rows = handle_missing(rows, ts, order, by, block_rows, _INDEX)
     if strategy == "remove":
+        rows = materialize(rows, "imputed")
         # Removing rows breaks the numbering: number the rows that stay.
         rows = clean_basic(handle_outliers(rows.drop(_INDEX), strategy), by + order, _INDEX)
     else:
@@ -42,7 +50,6 @@ def build_features(
 
 def run(df: DataFrame, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """Build, write, and profile what was written (one row per column)."""
-    write_processed(build_features(df, **options), path, fmt)
-    spark = df.sparkSession
-    written = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
-    return summary(written)
+    built = build_features(df, **options)
+    write_processed(built, path, fmt)
+    return summary(read_processed(df.sparkSession, path, fmt, built.schema))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.energy import load_ratio, power_margin
 from gridloom.schema import RAW_SCHEMA
@@ -12,9 +13,19 @@ from gridloom.schema import RAW_SCHEMA
 def read_csv(spark: SparkSession, path: str, schema=RAW_SCHEMA) -> DataFrame:
     """CSV with a header; the schema is given, so no pass is spent on inferring it.
 
-    Columns are matched by position, as the header order is the schema order.
+    Columns are matched by name, in whatever order the header has them; all
+    files of a folder share one header. Further columns are not read; a column
+    that the header lacks is an error.
     """
-    return spark.read.schema(schema).option("header", True).csv(path)
+    header = spark.read.option("header", True).csv(path).columns
+    kinds = {f.name: f for f in schema.fields}
+    if absent := [name for name in kinds if name not in header]:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    in_order = T.StructType([kinds.get(name, T.StructField(name, T.StringType())) for name in header])
+    return spark.read.schema(in_order).option("header", True).csv(path).select(*kinds)
+
+
+_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -33,32 +44,36 @@ def load_readings(
     table: str | None = "grid_readings",
     processed: str | None = None,
     raw: str | None = None,
+    processed_format: str = "parquet",
 ) -> DataFrame:
-    """First source that exists: catalog table, processed Parquet, raw CSV."""
+    """First source that exists: catalog table, processed table, raw CSV."""
     if table and spark.catalog.tableExists(table):
         return fill_derived(spark.table(table))
     if processed and exists(spark, processed):
-        return fill_derived(spark.read.parquet(processed))
+        return fill_derived(read_processed(spark, processed, processed_format))
     if raw and exists(spark, raw):
         return fill_derived(read_csv(spark, raw))
     raise FileNotFoundError(f"no readings in table {table!r}, {processed!r} or {raw!r}")
 
 
-def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def read_processed(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """A table that ``write_processed`` made. A CSV without a schema has its types inferred, at the price of a pass."""
+    if fmt != "csv":
+        return spark.read.parquet(path)
+    reader = spark.read.option("header", True).option("timestampNTZFormat", _MICROS)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True).option("preferDate", True)).csv(path)
+
+
+def write_processed(df: DataFrame, path: str, fmt: str = "parquet", rows_per_file: int = 5_000_000) -> None:
     """Write the feature table partitioned by year and month.
 
-    Rows of one month go to several tasks: the salt spreads a hot month, and
-    the file count stays at the number of salts per month.
+    Rows are rebalanced by month: adaptive planning cuts a large month into
+    tasks of the advisory size and puts small ones together.
     """
     if fmt == "csv":
         # The default text form of a timestamp ends at milliseconds.
         text = df.write.mode("overwrite").option("header", True)
-        text.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+        text.option("timestampNTZFormat", _MICROS).csv(path)
         return
-    df.withColumn("_salt", F.pmod(F.hash("datetime", *_present(df, "city", "region")), F.lit(16))).repartition(
-        "year", "month", "_salt"
-    ).drop("_salt").write.mode("overwrite").partitionBy("year", "month").parquet(path)
-
-
-def _present(df: DataFrame, *names: str) -> list[str]:
-    return [n for n in names if n in df.columns]
+    out = df.hint("rebalance", "year", "month").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    out.partitionBy("year", "month").parquet(path)
