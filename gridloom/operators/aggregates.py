@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.risk import map_color, map_label, map_radius, overload_count, overload_marker
 from gridloom.functions.rounding import half_even
 from gridloom.operators.places import with_coordinates
+from gridloom.operators.products import product_sums, shifts
 from gridloom.operators.quantiles import quantiles
 from gridloom.session import small
 
@@ -122,19 +123,18 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
     A pair uses the rows where both values are present.
     """
     columns = [c for c in columns if c in df.columns]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.agg(
-        F.array(
-            *[
-                F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(a, b).alias("r"))
-                for a, b in pairs
-            ]
-        ).alias("_p")
-    ).select(F.inline("_p"))
-    both = F.when(F.col("left") == F.col("right"), F.array(F.struct("left", "right"))).otherwise(
-        F.array(F.struct("left", "right"), F.struct(F.col("right").alias("left"), F.col("left").alias("right")))
-    )
-    return one.select(F.explode(both).alias("_c"), "r").select("_c.*", half_even(F.col("r"), digits).alias("corr"))
+    names = F.array(*[F.lit(c) for c in columns])
+    sums = product_sums(df, columns, shifts(df, columns))
+    # The sums of the pair (j, i) stand for the other column.
+    other = sums.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"), F.col("nan").alias("nan_y"))
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
+    # A spread that is nothing but rounding is none.
+    vx, vy = (F.when(v > 1e-14 * square, v).otherwise(0.0) for v, square in ((vx, F.col("sxx")), (vy, F.col("syy"))))
+    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt(vx * vy))
+    r = F.when(n == 0, None).when(F.col("nan") + F.col("nan_y") > 0, F.lit(float("nan"))).when(F.col("i") == F.col("j"), F.when(vx > 0, 1.0)).otherwise(r)
+    return sums.join(F.broadcast(other), ["i", "j"]).select(  # columns x columns rows
+        names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), half_even(r, digits).alias("corr"))
 
 
 def ranked_correlations(df: DataFrame, columns: list[str], target: str, rows: int = 10, digits: int = 6) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.ordered import number_rows
+from gridloom.operators.products import shifts, sums_by_pair
 from gridloom.operators.profile import numeric_columns
 from gridloom.schema import ENCODED_COLUMNS, TASKS, UNSCALED_COLUMNS
 from gridloom.session import materialize, small
@@ -206,19 +207,17 @@ class Projection:
 
 
 def fit_pca(df: DataFrame, columns: list[str], k: int) -> Projection:
-    """Axes of the covariance matrix, whose entries come from one aggregation.
+    """Axes of the covariance matrix, whose entries come from one pass over the rows.
 
     Only the columns x columns matrix reaches the driver.
     """
     k, d = min(k, len(columns)), len(columns)
-    row = df.agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in columns]).first()
-    mean = [float(row[c]) for c in columns]
-    centred = [F.col(c) - F.lit(m) for c, m in zip(columns, mean)]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    products = df.agg(*[F.sum(centred[i] * centred[j]).alias(f"p{i}_{j}") for i, j in pairs]).first()
-    covariance = np.zeros((d, d))
-    for (i, j), value in zip(pairs, products):
-        covariance[i, j] = covariance[j, i] = value / max(row["_n"] - 1, 1)
+    shift = shifts(df, columns)
+    sums = sums_by_pair(df, columns, shift)
+    n = np.maximum(sums["n"], 1)
+    mean = [float(shift[i] + sums["sx"][i, i] / n[i, i]) for i in range(d)]
+    covariance = (sums["sxy"] - sums["sx"] * sums["sx"].T / n) / np.maximum(sums["n"] - 1, 1)
+    covariance = (covariance + covariance.T) / 2
     values, vectors = np.linalg.eigh(covariance)
     largest = np.argsort(values)[::-1][:k]
     # A component's sign is free: make its largest weight positive.

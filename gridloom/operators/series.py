@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.rounding import half_even
 from gridloom.operators.encode import min_max
 from gridloom.operators.metrics import regression_metrics
+from gridloom.operators.products import keyed_products
 from gridloom.operators.quantiles import quantiles
 
 KEY, TS, VALUE = "series_key", "ts", "value"
@@ -157,21 +158,8 @@ def last_points(series: DataFrame, points: int) -> DataFrame:
 
 
 def gram(rows: DataFrame, vector: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Sums of products of all pairs of vector entries, per key: (key, keep..., i, j, s, n).
-
-    Every row yields its pairs, which are added up before the shuffle; what
-    moves is one row per task, key and pair.
-    """
-    v = F.col(vector)
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size(v) - 1),
-            lambda i: F.transform(
-                F.sequence(i, F.size(v) - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), (v[i] * v[j]).alias("p"))
-            ),
-        )
-    )
-    return rows.select(KEY, *keep, F.inline(pairs)).groupBy(KEY, *keep, "i", "j").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
+    """Sums of products of all pairs of vector entries, per key: (key, keep..., i, j, s, n)."""
+    return keyed_products(rows, vector, [KEY, *keep])
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import session
-from gridloom.operators import clean, encode, filters, models, ordered, sampling
+from gridloom.operators import aggregates, clean, encode, filters, models, ordered, products, sampling
 from gridloom.plans.preprocess import build_features, run
 from gridloom.schema import RAW_SCHEMA
 from gridloom.sources import readings
@@ -90,3 +90,30 @@ def test_presets(spark):
     assert models.regressor_presets(200)["random_forest_reg"].estimator.getFeatureSubsetStrategy() == "all"
     assert models.classifier_presets(200)["lightgbm"].estimator.getSubsamplingRate() == 1.0
     assert models.ensemble_presets()["rf"].estimator.getMaxDepth() == 30
+
+
+def test_correlations_with_nulls_and_nan(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3)) + [1e6, 0, 5]
+    x[:, 1] += x[:, 0] - 1e6
+    rows = [[float(v) if rng.random() > 0.1 else None for v in r] + [7.0, None] for r in x]
+    rows[3][2] = float("nan")
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    got = {(r.left, r.right): r["corr"] for r in aggregates.correlations(df, list("abcde"), 9).collect()}
+    both = [(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None]
+    assert got["a", "b"] == pytest.approx(np.corrcoef(np.array(both).T)[0, 1], abs=1e-8)
+    assert got["a", "b"] == got["b", "a"] and got["a", "a"] == 1.0 and got["a", "d"] is None and got["d", "e"] is None and got["e", "e"] is None
+    assert np.isnan(got["a", "c"]) and len(got) == 25
+
+
+def test_keyed_products(spark):
+    import numpy as np
+
+    rows = [(k, [float(i), 1.0, float(i * k)]) for k in (1, 2) for i in range(50)] + [(3, [2.0, 3.0]), (None, [1.0, 1.0]), (4, None)]
+    df = spark.createDataFrame(rows, "k int, x array<double>").repartition(3)
+    got = {(r.k, r.i, r.j): (r.s, r.n) for r in products.keyed_products(df, "x", ["k"]).collect()}
+    m = np.array([v for k, v in rows if k == 2])
+    assert all(got[2, i, j] == ((m.T @ m)[i, j], 50) for i in range(3) for j in range(i, 3))
+    assert got[3, 0, 1] == (6.0, 1) and got[None, 0, 0] == (1.0, 1) and len(got) == 18
