@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.base import check, even, readings, table, up, with_sql
+from checks.base import GAPPY_SQL, check, even, gappy, readings, table, up, with_sql
 from gridloom.functions import calendar as cal
 from gridloom.functions import energy as en
 from gridloom.functions import risk as rk
@@ -17,7 +17,7 @@ from gridloom.operators import ordered, sampling, windows
 from gridloom.operators.encode import feature_matrix, task_features
 from gridloom.operators.places import city_dimension, jittered_points, region_dimension, with_coordinates
 from gridloom.operators.quantiles import quantiles
-from gridloom.schema import CITY_COORDS, TASKS
+from gridloom.schema import CITY_COORDS, DEFAULT_COORDS, TASKS
 
 ORDER = ["datetime", "reading_id"]
 
@@ -172,11 +172,18 @@ def _(spark, sf):
     return feature_matrix(readings(spark, sf), ["temperature", "not_there", "voltage"], "reading_id").withColumnRenamed("reading_id", "target")
 
 
+_RAW_FEATURES = ["temperature", "voltage", "total_load_mw", "outage_risk", "humidity"]
+
+
 @check("p21_task_features", "select * from (values " + ", ".join(
     f"('{t}', {i}, '{f}', '{y}', '{kind}')" for t, (fs, y, kind) in TASKS.items() for i, f in enumerate(fs)
-) + ") x(task, place, feature, target, kind)")
+) + ") x(task, place, feature, target, kind) left join (" + with_sql(
+    " union all ".join(f"select '{c}' as feature, count({c}) as known from gappy" for c in _RAW_FEATURES), gappy=GAPPY_SQL) + ") using (feature)")
 def _(spark, sf):
-    return task_features(spark)
+    """The features of each task, with the readings that have a value for those that readings hold."""
+    known = gappy(spark, sf).agg(*[F.count(c).alias(c) for c in _RAW_FEATURES])
+    known = known.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("known")) for c in _RAW_FEATURES])))
+    return task_features(spark).join(known, "feature", "left")
 
 
 @check("p22_rounding", with_sql(
@@ -421,11 +428,24 @@ def _(spark, sf):
     return sampling.bounded_sample(readings(spark, sf), "reading_id", 5000, seed=7).select("reading_id")
 
 
-@check("o09_jittered_points")
+def _uniform(tag: str) -> str:
+    return f"((('0x' || substr(md5(city || ':' || point || ':{tag}:42'), 1, 13))::bigint)::double + 0.5::double) / {float(1 << 52)!r}::double"
+
+
+def _around(centre: float, turn: str) -> str:
+    return even(f"{centre}::double + 0.15::double*sqrt(-2*ln({_uniform('r')}))*{turn}(2*pi()*{_uniform('a')})")
+
+
+# No city of the fixture is in the list of places, so all take the default point.
+@check("o09_jittered_points", with_sql(f"""
+select city, point, {_around(DEFAULT_COORDS[0], 'cos')} as lat, {_around(DEFAULT_COORDS[1], 'sin')} as lon, {even('pct/100')} as weight
+from (select city, unnest(range(1, greatest(1, floor(sum(blackout)/50))::bigint + 1)) as point,
+  {even(even('avg(blackout)', 3) + '*100', 2)} as pct from grid_readings group by city)"""))
 def _(spark, sf):
     from gridloom.operators.aggregates import city_statistics
 
-    return jittered_points(city_statistics(readings(spark, sf)))
+    out = jittered_points(city_statistics(readings(spark, sf)))
+    return out.withColumns({c: half_even(F.col(c), 6) for c in ("lat", "lon", "weight")})
 
 
 @check("o09_jittered_counts", with_sql("""

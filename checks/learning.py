@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import GAPPY_SQL, check, even, gappy, readings, with_sql
@@ -13,11 +15,7 @@ from gridloom.functions.rounding import half_even
 from gridloom.operators import anomaly, encode, metrics, models
 from gridloom.operators.windows import with_lag_features
 from gridloom.schema import ANOMALY_FEATURES
-from gridloom.session import materialize, spread
-
-# Trees per forest and boosting rounds in the registered model queries; the
-# presets' own default is 200. Rows and features are always all of them.
-TREES = 10
+from gridloom.session import materialize, scratch_root
 
 ORDER = ["datetime", "reading_id"]
 
@@ -35,6 +33,14 @@ def features(spark, sf):
     return _BUILT[at]
 
 
+def _models(spark, sf) -> str:
+    """Folder of the models of this application and folder of tables: each preset is trained once, in full, and loaded after that."""
+    at = (spark.sparkContext.applicationId, sf, "models")
+    if at not in _BUILT:
+        _BUILT[at] = f"{scratch_root(spark).rstrip('/')}/gridloom/models-{uuid.uuid4().hex}"
+    return _BUILT[at]
+
+
 def _codes(c: str) -> str:
     return f"cast(dense_rank() over (order by coalesce({c}, 'nan')) - 1 as int) as {c}_enc"
 
@@ -168,7 +174,7 @@ for _name in ("logistic_regression", "random_forest", "gradient_boosting", "xgbo
 
     @check(f"{_key}_{_name}")
     def _(spark, sf, name=_name):
-        out = models.compare_classifiers(features(spark, sf), models.BLACKOUT_FEATURES, "blackout", "reading_id", TREES, names=[name])
+        out = models.compare_classifiers(features(spark, sf), models.BLACKOUT_FEATURES, "blackout", "reading_id", names=[name], store=_models(spark, sf))
         return _flat(out.results)
 
 
@@ -176,7 +182,7 @@ for _name in ("ridge", "random_forest_reg", "xgboost_reg", "lightgbm_reg"):
     @check(f"m11_{_name}")
     def _(spark, sf, name=_name):
         return models.compare_regressors(
-            features(spark, sf), models.DEMAND_FEATURES, "total_load_mw", "datetime", "reading_id", TREES, names=[name]).results
+            features(spark, sf), models.DEMAND_FEATURES, "total_load_mw", "datetime", "reading_id", names=[name], store=_models(spark, sf)).results
 
 
 @check("m13_ensemble")
@@ -184,30 +190,30 @@ def _(spark, sf):
     from gridloom.operators.sampling import stratified_split
 
     table = features(spark, sf)
-    train, test = stratified_split(table, "reading_id", "blackout")
-    ensemble = models.train_ensemble(spread(train).cache(), list(models.BLACKOUT_FEATURES), "blackout", TREES)
-    return ensemble.predict(test).select("reading_id", "blackout", "score", "prediction")
+    out = models.compare_classifiers(table, models.BLACKOUT_FEATURES, "blackout", "reading_id", ensemble_trees=100, names=[], store=_models(spark, sf))
+    test = stratified_split(table, "reading_id", "blackout")[1]
+    return out.best.predict(test).select("reading_id", "blackout", "score", "prediction")
 
 
 @check("m14_feature_importance")
 def _(spark, sf):
-    out = models.compare_classifiers(features(spark, sf), models.BLACKOUT_FEATURES, "blackout", "reading_id", TREES, names=["random_forest"])
+    out = models.compare_classifiers(features(spark, sf), models.BLACKOUT_FEATURES, "blackout", "reading_id", names=["random_forest"], store=_models(spark, sf))
     return models.feature_importance(out.best, spark)
 
 
 @check("m15_blackout_job")
 def _(spark, sf):
-    return _flat(models.blackout_job(features(spark, sf), "reading_id", TREES, TREES).results)
+    return _flat(models.blackout_job(features(spark, sf), "reading_id", store=_models(spark, sf), path=f"{_models(spark, sf)}/blackout").results)
 
 
 @check("m15_overload_job")
 def _(spark, sf):
-    return _flat(models.overload_job(features(spark, sf), "reading_id", TREES).results)
+    return _flat(models.overload_job(features(spark, sf), "reading_id", store=_models(spark, sf), path=f"{_models(spark, sf)}/overload").results)
 
 
 @check("m15_demand_job")
 def _(spark, sf):
-    return models.demand_job(features(spark, sf), "datetime", "reading_id", TREES).results
+    return models.demand_job(features(spark, sf), "datetime", "reading_id", store=_models(spark, sf), path=f"{_models(spark, sf)}/demand").results
 
 
 # --------------------------------------------------------------- anomalies

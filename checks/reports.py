@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.base import check, readings, table, total, up, with_sql
@@ -162,10 +164,19 @@ def _(spark, sf):
     return spark.table("v_overload_events")
 
 
-@check("s07_listing", """select * from (values ('grid_readings'), ('v_blackout_events'), ('v_overload_events')) t(name)""")
+@check("s07_listing", with_sql("""
+select 'grid_readings' as name, count(*) as n from grid_readings union all
+select 'v_blackout_events', count(*) from grid_readings where blackout = 1 union all
+select 'v_overload_events', count(*) from grid_readings where overload = 1"""))
 def _(spark, sf):
+    """The tables of the listing that were not there before, and the rows each holds."""
+    for name in ("grid_readings", "v_blackout_events", "v_overload_events"):
+        spark.catalog.dropTempView(name)
+    before = {r["name"] for r in tables.listing(spark).collect()}
     tables.register(readings(spark, sf))
-    return tables.listing(spark).filter(F.col("name").isin("grid_readings", "v_blackout_events", "v_overload_events"))
+    new = [r["name"] for r in tables.listing(spark).collect() if r["name"] not in before]
+    counts = [spark.table(name).select(F.lit(name).alias("name")).groupBy("name").count().withColumnRenamed("count", "n") for name in new]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @check("s10_named_report", with_sql(f"""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -18,11 +20,14 @@ from gridloom.operators.encode import Scaler, class_weights, feature_matrix, fit
 from gridloom.operators.metrics import classification_metrics, regression_metrics
 from gridloom.operators.sampling import chronological_split, stratified_split
 from gridloom.schema import BLACKOUT_FEATURES, DEMAND_FEATURES, OVERLOAD_FEATURES
-from gridloom.session import spread
+from gridloom.session import materialize, spread
+from gridloom.sources.readings import exists
 
 log = logging.getLogger(__name__)
 
 SEED = 42
+#: Fits that run at a time.
+FITS = 4
 #: Spark's own limit of a tree's depth; stands for "no limit".
 DEEPEST = 30
 
@@ -145,7 +150,7 @@ def _scaled(df: DataFrame, features: list[str], scaler: Scaler | None) -> DataFr
 
 
 def train(train_df: DataFrame, features: list[str], target: str, preset: Preset, name: str) -> Trained:
-    """Fit one preset; rows are read from ``train_df``, which the caller keeps cached."""
+    """Fit one preset; rows are read from ``train_df``, which the caller has written."""
     rows = train_df.withColumn("label", F.col(target).cast("double"))
     scaler = fit_scaler(rows, features) if preset.scaled else None
     estimator = preset.estimator
@@ -218,62 +223,97 @@ def _table(df: DataFrame, features, target: str, *keep: str) -> tuple[DataFrame,
     return rows, present
 
 
+def _parts(parts: tuple[DataFrame, DataFrame], label: str) -> tuple[DataFrame, DataFrame]:
+    """Both parts of a split as written tables: every fit reads them, none computes them again."""
+    train_df, test_df = (materialize(part, f"{label}-{name}") for part, name in zip(parts, ("train", "test")))
+    return spread(train_df), test_df
+
+
+def _fitted(store: str | None, name: str, spark: SparkSession, fit):
+    """The model kept under ``store``, or a new one, which is then kept there."""
+    path = f"{store.rstrip('/')}/{name}" if store else None
+    if path and exists(spark, f"{path}/about/_SUCCESS"):
+        return load_model(spark, path)[0]
+    model = fit()
+    if path:
+        save_model(model, path)
+    return model
+
+
 def compare_classifiers(
     df: DataFrame, features, target: str, key: str, trees: int = 200, ensemble_trees: int | None = None,
-    names: list[str] | None = None,
+    names: list[str] | None = None, store: str | None = None, split: str = "stratified", ts: str | None = None,
 ) -> Comparison:
-    """Train the presets on a stratified split and rank them by F1 on the test rows.
+    """Train the presets and rank them by F1 on the test rows.
 
-    The fits run one after another on the cached rows; each fit is distributed.
+    ``split`` is "stratified", or "chronological" along ``ts``. The fits run side
+    by side on the written rows; each fit is distributed. Models found
+    under ``store`` are used instead of being trained; new ones are kept there.
     """
-    rows, present = _table(df, features, target, key)
-    train_df, test_df = stratified_split(rows, key, target)
-    train_df, test_df = spread(train_df).cache(), test_df.cache()
-    n = train_df.count()
-    presets = classifier_presets(trees, n)
-    done = [
-        train_evaluate_classifier(train_df, test_df, present, target, presets[name], name)
-        for name in names or presets
-    ]
+    if split not in ("stratified", "chronological") or (split == "chronological" and not ts):
+        raise ValueError(f"no split {split!r}, or no time column for it")
+    rows, present = _table(df, features, target, key, *([ts] if ts else []))
+    parts = stratified_split(rows, key, target) if split == "stratified" else chronological_split(rows, ts, key)
+    train_df, test_df = _parts(parts, "classifiers")
+    spark, presets = df.sparkSession, classifier_presets(trees, train_df.count())
+
+    def measured(model) -> tuple[DataFrame, object]:
+        return classification_metrics(model.predict(test_df), target, "prediction", "score").withColumn("model", F.lit(model.name)), model
+
+    def fit(name: str):
+        return _fitted(store, f"{target}-{name}", spark, lambda: train(train_df, present, target, presets[name], name))
+
+    done = [measured(model) for model in _side_by_side(fit, presets if names is None else names)]
     if ensemble_trees:
-        ensemble = train_ensemble(train_df, present, target, ensemble_trees)
-        metrics = classification_metrics(ensemble.predict(test_df), target, "prediction", "score")
-        done.append((metrics.withColumn("model", F.lit(ensemble.name)), ensemble))
-    out = _compare(df.sparkSession, done, "f1_score", lowest=False)
-    train_df.unpersist()
-    test_df.unpersist()
-    return out
+        done.append(measured(_fitted(store, f"{target}-ensemble", spark, lambda: train_ensemble(train_df, present, target, ensemble_trees))))
+    return _compare(spark, done, "f1_score", lowest=False)
 
 
 def compare_regressors(
-    df: DataFrame, features, target: str, ts: str, key: str, trees: int = 200, names: list[str] | None = None,
+    df: DataFrame, features, target: str, ts: str, key: str, trees: int = 200, names: list[str] | None = None, store: str | None = None,
 ) -> Comparison:
-    """Train on the first 80 % in time, rank by RMSE on the rest."""
+    """Train on the first 80 % in time, rank by RMSE on the rest. ``store`` as for the classifiers."""
     rows, present = _table(df, features, target, ts, key)
-    train_df, test_df = chronological_split(rows, ts, key)
-    train_df, test_df = spread(train_df).cache(), test_df.cache()
+    train_df, test_df = _parts(chronological_split(rows, ts, key), "regressors")
     size = train_df.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("s")).first()
-    presets = regressor_presets(trees, size["n"], size["s"] or 1.0)
+    spark, presets = df.sparkSession, regressor_presets(trees, size["n"], size["s"] or 1.0)
+
+    def fit(name: str) -> Trained:
+        return _fitted(store, f"{target}-{name}", spark, lambda: train(train_df, present, target, presets[name], name))
+
     done = [
-        train_evaluate_regressor(train_df, test_df, present, target, presets[name], name)
-        for name in names or presets
+        (regression_metrics(model.predict(test_df), target, "prediction").withColumn("model", F.lit(model.name)), model)
+        for model in _side_by_side(fit, names or presets)
     ]
-    out = _compare(df.sparkSession, done, "rmse", lowest=True)
-    train_df.unpersist()
-    test_df.unpersist()
-    return out
+    return _compare(spark, done, "rmse", lowest=True)
+
+
+def _side_by_side(fit, names) -> list:
+    """Fits of several presets at a time: boosting runs many short jobs, which leave most of a cluster idle."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(inheritable_thread_target(fit), names))
+
+
+def _kept(comparison: Comparison, path: str | None) -> Comparison:
+    """Saves the best model with its metadata, and the comparison table, if a folder is given."""
+    if path:
+        about = {"best": comparison.best_name, "metric": comparison.metric, "value": comparison.best_value}
+        save_model(comparison.best, f"{path.rstrip('/')}/best", about)
+        save_comparison(comparison, f"{path.rstrip('/')}/comparison")
+    return comparison
 
 
-def blackout_job(df: DataFrame, key: str, trees: int = 200, ensemble_trees: int = 100) -> Comparison:
-    return compare_classifiers(df, BLACKOUT_FEATURES, "blackout", key, trees, ensemble_trees)
+def blackout_job(df: DataFrame, key: str, trees: int = 200, ensemble_trees: int = 100, path: str | None = None, **options) -> Comparison:
+    """All classifiers and the ensemble; ``path`` keeps the best model and the table. ``options``: split, ts, store."""
+    return _kept(compare_classifiers(df, BLACKOUT_FEATURES, "blackout", key, trees, ensemble_trees, **options), path)
 
 
-def overload_job(df: DataFrame, key: str, trees: int = 200) -> Comparison:
-    return compare_classifiers(df, OVERLOAD_FEATURES, "overload", key, trees)
+def overload_job(df: DataFrame, key: str, trees: int = 200, path: str | None = None, **options) -> Comparison:
+    return _kept(compare_classifiers(df, OVERLOAD_FEATURES, "overload", key, trees, **options), path)
 
 
-def demand_job(df: DataFrame, ts: str, key: str, trees: int = 200) -> Comparison:
-    return compare_regressors(df, DEMAND_FEATURES, "total_load_mw", ts, key, trees)
+def demand_job(df: DataFrame, ts: str, key: str, trees: int = 200, path: str | None = None, **options) -> Comparison:
+    return _kept(compare_regressors(df, DEMAND_FEATURES, "total_load_mw", ts, key, trees, **options), path)
 
 
 def save_comparison(comparison: Comparison, path: str) -> None:

@@ -43,8 +43,10 @@ def jittered_points(stats: DataFrame, key: str = "city", per: int = 50, spread:
     )
 
     def uniform(tag: str):
-        bits = F.xxhash64(F.col(key), F.col("point"), F.lit(f"{tag}:{seed}"))
-        return (F.pmod(bits, F.lit(2**53 - 1)) + 1) / F.lit(float(2**53))
+        """From 52 bits of an MD5, which any SQL engine gives; never 0 or 1."""
+        text = F.concat_ws(":", F.col(key).cast("string"), F.col("point").cast("string"), F.lit(f"{tag}:{seed}"))
+        bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
+        return (bits + 0.5) / F.lit(float(1 << 52))
 
     # Two independent normal values from two uniform ones (Box-Muller).
     radius = F.sqrt(-2 * F.log(uniform("r")))

@@ -117,3 +117,20 @@ def test_keyed_products(spark):
     m = np.array([v for k, v in rows if k == 2])
     assert all(got[2, i, j] == ((m.T @ m)[i, j], 50) for i in range(3) for j in range(i, 3))
     assert got[3, 0, 1] == (6.0, 1) and got[None, 0, 0] == (1.0, 1) and len(got) == 18
+
+
+def test_jobs_keep_and_reuse_models(spark, folder):
+    rng = range(400)
+    df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(i % 7), float(i % 5), int(i % 7 > 3)) for i in rng], "k long, ts timestamp_ntz, a double, b double, y int")
+    run_ = lambda split: models.compare_classifiers(df, ["a", "b"], "y", "k", 4, 4, ["random_forest", "xgboost"], f"{folder}/{split}", split, "ts")
+    for split in ("stratified", "chronological"):
+        first, again = run_(split), run_(split)
+        assert first.results.collect() == again.results.collect() and first.results.count() == 3
+    kept = models._kept(first, f"{folder}/job")
+    model, about = models.load_model(spark, f"{folder}/job/best")
+    assert about["best"] == kept.best_name and model.predict(df).count() == 400
+    assert spark.read.option("header", True).csv(f"{folder}/job/comparison").count() == 3
+    with pytest.raises(ValueError):
+        models.compare_classifiers(df, ["a"], "y", "k", split="chronological")
+    out = models.compare_regressors(df, ["a", "b"], "y", "ts", "k", 4, ["ridge", "xgboost_reg"], f"{folder}/reg")
+    assert out.results.collect() == models.compare_regressors(df, ["a", "b"], "y", "ts", "k", 4, ["ridge", "xgboost_reg"], f"{folder}/reg").results.collect()
