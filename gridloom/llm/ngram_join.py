@@ -30,7 +30,7 @@ SIGNATURE = 16
 #: Rows of a tile that meet in one block; a larger tile is cut into pairs of blocks.
 BLOCK = 2048
 
-_PROFILE = "cls long, n long, piece int, counts binary"
+_PROFILE = "cls long, n long, signature binary, piece int, counts binary"
 
 
 def _batches(it, column: str = "text"):
@@ -44,27 +44,24 @@ def prefix_length(n: int) -> int:
 
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds class and set size to each row; at the end rows with this task's part of the sketch."""
+    """Adds class, set size and signature to each row; at the end rows with this task's part of the sketch."""
     counts = np.zeros(COUNTERS, dtype=np.uint32)
     for batch, sets in _batches(it):
-        cls, n = [], []
+        cls, n, bits = [], [], []
         for h in sets:
             n.append(len(h))
             cls.append(set_hash(h) if len(h) else None)
+            bits.append(signature(h) if len(h) else None)
             np.add.at(counts, (h & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-        yield _profile(batch.column("doc_id"), cls, n)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+            ["doc_id", "cls", "n", "signature", "piece", "counts"])
     step = COUNTERS // PIECES
     if counts.any():
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()),
+            [*[pa.nulls(PIECES, pa.int64())] * 3, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()),
              pa.array([counts[i * step: (i + 1) * step].tobytes() for i in range(PIECES)], pa.binary())],
-            ["doc_id", "cls", "n", "piece", "counts"])
-
-
-def _profile(ids, cls, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
-        ["doc_id", "cls", "n", "piece", "counts"])
+            ["doc_id", "cls", "n", "signature", "piece", "counts"])
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -96,7 +93,7 @@ def signature(h: np.ndarray) -> bytes:
 
 
 def _rare(sketch):
-    """Postings: the rarest shingles of each class with its signature on the first; a class once per task."""
+    """Postings: the rarest shingles of each class, a class once per task."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, seen = sketch.value, set()
@@ -130,7 +127,7 @@ def _postings(out, cls, size) -> pa.RecordBatch:
 
 
 def _sets_of(data: bytes, bits: int, hashes: int):
-    """Set and signature of the classes that a Bloom filter holds, a class once per task."""
+    """Sorted sets of the classes that a Bloom filter holds, a class once per task."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -156,8 +153,7 @@ def _sets_of(data: bytes, bits: int, hashes: int):
 
 def _set_rows(cls, held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(cls, pa.int64()), pa.array([signature(h) for h in held], pa.binary()), pa.array([h.tobytes() for h in held], pa.binary())],
-        ["cls", "signature", "shingles"])
+        [pa.array(cls, pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], ["cls", "shingles"])
 
 
 def bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -195,14 +191,23 @@ def _bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are similar."""
-    size = (F.octet_length("shingles") / 8).cast("long")
-    brief = sets.select(F.col("cls"), F.col("signature"), size.alias("n"))
-    both = pairs.join(brief.toDF("a", "left", "na"), "a").join(brief.toDF("b", "right", "nb"), "b")
-    likely = stored(both.mapInArrow(_bounded, "a long, b long"), "ngram-likely")
-    full = sets.select("cls", "shingles")
-    return likely.join(full.toDF("a", "left"), "a").join(full.toDF("b", "right"), "b").mapInArrow(_exact, "a long, b long")
+def _likely(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps allow enough overlap."""
+    both = pairs.join(brief.toDF("a", "na", "left"), "a").join(brief.toDF("b", "nb", "right"), "b")
+    return both.mapInArrow(_bounded, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the stored pairs (a, b) that are similar. Only texts that a Bloom filter of their classes lets pass are shuffled, as sorted arrays."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    n = wanted.count()
+    if not n:
+        return pairs
+    bits, hashes = bloom_bits(n, 0.01)
+    data = bloom_build(wanted, F.col("cls"), bits, hashes)
+    sets = texts.mapInArrow(_sets_of(data, bits, hashes), "cls long, shingles binary")
+    sets = stored(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
+    return pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").mapInArrow(_exact, "a long, b long")
 
 
 def _tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +250,7 @@ def _pairs(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
 
 
-def _mixed_tiles(tiles: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+def _mixed_tiles(tiles: DataFrame, comp: DataFrame, brief: DataFrame) -> DataFrame:
     """Candidate pairs that lie in different components, from tiles that hold more than one."""
     df = tiles.join(comp.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     many = df.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
@@ -256,7 +261,7 @@ def _mixed_tiles(tiles: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFram
     df = df.withColumns({"blocks": blocks, "own": own}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     df = df.withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k")}).withColumn(
         "side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
-    df = df.join(sets.select("cls", "signature"), "cls").select("h", "i", "j", "cls", "n", "comp", "side", "signature")
+    df = df.join(brief.select("cls", "signature"), "cls").select("h", "i", "j", "cls", "n", "comp", "side", "signature")
     df = df.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "cls")
     return df.mapInArrow(_tiles, "a long, b long").distinct()
 
@@ -275,20 +280,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     postings = source.select("text").mapInArrow(_rare(sketch), "h long, cls long, n long")
     # A shingle of one class alone leads nowhere.
     w = F.expr("min(cls) over (partition by h) <> max(cls) over (partition by h)")
+    brief = counted.filter("n > 0").select("cls", "n", "signature").dropDuplicates(["cls"])
     tiles = stored(postings.withColumn("_many", w).filter("_many").select("h", "cls", "n").distinct(), "ngram-tiles")
-    wanted = tiles.select("cls").distinct()
-    n = wanted.count()
-    bits, hashes = bloom_bits(n, 0.01)
-    data = bloom_build(wanted, F.col("cls"), bits, hashes) if n else bytes(8)
-    sets = source.select("text").mapInArrow(_sets_of(data, bits, hashes), "cls long, signature binary, shingles binary")
-    sets = stored(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
     # First each class against the smallest of its tile and size band, then whatever is not joined by that.
     band = F.floor(F.log("n") / F.lit(-math.log(PERCENT / 100)) + 1e-9)
     star = tiles.groupBy("h", band.alias("band")).agg(F.min("cls").alias("b"))
     first = tiles.withColumn("band", band).join(star, ["h", "band"]).filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
-    links = stored(_verified(first, sets), "ngram-first")
-    more = stored(_mixed_tiles(tiles, components(links, label="ngram-first"), sets), "ngram-more")
-    return profile, stored(links.union(_verified(more, sets)), "ngram-links")
+    texts = source.select("text")
+    links = stored(_verified(stored(_likely(first, brief), "ngram-likely"), texts), "ngram-first")
+    more = stored(_mixed_tiles(tiles, components(links, label="ngram-first"), brief), "ngram-more")
+    return profile, stored(links.union(_verified(more, texts)), "ngram-links")
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
