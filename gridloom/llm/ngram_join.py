@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bloom_bits, bloom_build, bloom_test_numpy, components, mix64, stored
+from gridloom.llm.common import bloom_bits, bloom_build, bloom_test, bloom_test_numpy, components, mix64, stored
 from gridloom.llm.shingles import set_hash, text_sets
 
 #: Similar means: 100 * shared shingles >= PERCENT * all shingles of both.
@@ -54,14 +54,14 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits.append(signature(h) if len(h) else None)
             np.add.at(counts, (h & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
-            ["doc_id", "cls", "n", "signature", "piece", "counts"])
+            [batch.column("doc_id"), batch.column("key"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+            ["doc_id", "key", "cls", "n", "signature", "piece", "counts"])
     step = COUNTERS // PIECES
     if counts.any():
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(PIECES, pa.int64())] * 3, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()),
+            [*[pa.nulls(PIECES, pa.int64())] * 4, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()),
              pa.array([counts[i * step: (i + 1) * step].tobytes() for i in range(PIECES)], pa.binary())],
-            ["doc_id", "cls", "n", "signature", "piece", "counts"])
+            ["doc_id", "key", "cls", "n", "signature", "piece", "counts"])
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -267,15 +267,15 @@ def _mixed_tiles(tiles: DataFrame, comp: DataFrame, brief: DataFrame) -> DataFra
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(profile, links): doc_id, cls, n per document; similar pairs (a, b) of classes that connect all that are connected.
+    """(profile, links): doc_id, key (hash of the text), cls, n per document; similar pairs (a, b) of classes that connect all that are connected.
 
     A class is a shingle set, named by its 64-bit hash; texts without words
     have n = 0 and no class.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counted = stored(source.mapInArrow(_count, f"doc_id long, {_PROFILE}"), "ngram-profile")
-    profile = counted.filter("n is not null").select("doc_id", "cls", "n")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    counted = stored(source.mapInArrow(_count, f"doc_id long, key long, {_PROFILE}"), "ngram-profile")
+    profile = counted.filter("n is not null").select("doc_id", "key", "cls", "n")
     sketch = spark.sparkContext.broadcast(_sketch(counted))  # COUNTERS * 4 bytes
     postings = source.select("text").mapInArrow(_rare(sketch), "h long, cls long, n long")
     # A shingle of one class alone leads nowhere.
@@ -309,3 +309,32 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = df.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows")).filter("_rows > 1").select("comp", "least")
     df = df.join(least, "comp", "left")
     return df.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")).union(bare)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents without their near copies: of each component one row stays, that with the smallest doc_id.
+
+    Rows that share this id and their text are one more group of which one
+    stays; null ids come last. Texts without words link with nothing and all
+    stay. All columns are kept, whatever their names. Only rows that a Bloom
+    filter takes for members of a group of two or more are shuffled.
+    """
+    profile, links = classes(docs, doc_id, text)
+    comp = components(links, label="ngram").toDF("cls", "comp")
+    known = profile.filter("n > 0").join(comp, "cls", "left").select("doc_id", "key", F.coalesce("comp", "cls").alias("comp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    groups = known.groupBy("comp").agg(first.alias("m"), F.count("*").alias("_rows")).filter("_rows > 1").select("comp", "m")
+    chosen = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("key") == F.col("m.key"))
+    members = known.join(groups, "comp").select("doc_id", "key", chosen.alias("chosen")).distinct()
+    members = stored(members, "ngram-members")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"))
+    n = members.count()
+    if not n:
+        return docs
+    bits, hashes = bloom_bits(n, 0.001)
+    h = F.xxhash64("doc_id", "key")
+    held = bloom_test(h, bloom_build(members, h, bits, hashes), bits, hashes)
+    m = members.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "chosen")
+    met = rows.filter(held).join(m, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    one = met.filter("chosen").groupBy("doc_id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return rows.filter(~held).select("row.*").union(met.filter("chosen is null").select("row.*")).union(one)

@@ -119,3 +119,27 @@ def test_bound_is_above():
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert ours(QUERIES["op4_ngram_jaccard_join"](spark, sf)) == brute(rows)
+
+
+def test_keep_one(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(*r, f"c{i}", 1) for i, r in enumerate(rows)], T + ", cls string, n int").repartition(3)
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted([(r.doc_id, r.text) for r in got.collect()], key=str)
+    component = {}
+    for (d, t), (_, n, c) in zip(sorted(rows, key=lambda r: str((r[0], len(brute_set(r[1]))))), brute(rows)):
+        component.setdefault((n > 0, c), []).append((d, t))
+    for (words, c), members in component.items():
+        if words:
+            stay = [m for m in members if m in kept]
+            assert [d for d, _ in stay][:1] == [c] and kept.count(stay[0]) == 1 and len(set(stay)) == 1
+        else:
+            assert all(m in kept for m in members)
+    assert len(kept) == len([1 for w, _ in component if w]) + sum(len(m) for (w, _), m in component.items() if not w)
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_without_copies(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, None)], T)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == [1, 2, 3]
