@@ -49,21 +49,34 @@ def _grow(points: np.ndarray, rng: np.random.Generator, depth_limit: int) -> lis
 
 
 def _tree_rows(df: DataFrame, key: str, columns: list[str], trees: int, rows: int, seed: int) -> DataFrame:
-    """``rows`` random rows for each tree, at most trees * rows in all.
+    """``rows`` random rows for each tree, drawn independently of the other trees, whatever the size of the table.
 
-    A large table gives each tree rows of its own from one pool; a small one
-    lends its rows to several trees.
+    A row is in each tree's draw with the same small chance, so the number of
+    its trees is binomial: one hash decides that number, and only rows in some
+    tree rank the trees by further hashes. Draws come out a little large and
+    are cut to ``rows``; a table of fewer rows is in every tree whole.
     """
-    pool = df.select(key, *columns).withColumn("_h", hash_rank(key, seed)).orderBy("_h", key).limit(trees * rows)
+    n = df.count()
+    share = min(1.0, (rows + 10 * math.sqrt(rows) + 20) / max(n, 1))
+    tails = _at_least(trees, share)
+    u = (hash_rank(key, seed).cast("double") + 0.5) / F.lit(float(1 << 52))
+    drawn = df.select(key, *columns).withColumn("_u", u).filter(F.col("_u") < tails[0])
+    count = F.size(F.filter(F.array(*[F.lit(t) for t in tails]), lambda t: F.col("_u") < t))
+    ranked = F.array_sort(F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(F.col(key), t, F.lit(seed)).alias("_h"), t.alias("tree"))))
+    pool = drawn.withColumn("_t", F.explode(F.slice(ranked, F.lit(1), count))).select(key, *columns, "_t._h", "_t.tree")
     pool = spread(materialize(pool, "forest-pool"))
-    n = pool.count()
-    if n >= trees * rows:
-        dealt = Window.orderBy("_h", key)  # trees * rows rows
-        return pool.withColumn("tree", ((F.row_number().over(dealt) - 1) % trees).cast("int"))
-    lent = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    lent = lent.withColumn("_r", F.xxhash64("_h", "tree", F.lit(seed)))
-    drawn = Window.partitionBy("tree").orderBy("_r", key)
-    return lent.withColumn("_n", F.row_number().over(drawn)).filter(F.col("_n") <= rows)
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("_h", key))
+    return pool.withColumn("_n", place).filter(F.col("_n") <= rows)
+
+
+def _at_least(n: int, p: float) -> list[float]:
+    """Chance of at least 1, 2, ... successes in ``n`` tries, as long as it counts."""
+    if p >= 1.0:
+        return [1.0] * n
+    each = [math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(n + 1)]
+    tails = [sum(each[k:]) for k in range(1, n + 1)]
+    return [t for t in tails if t > 1e-18] or tails[:1]
 
 
 @dataclass(frozen=True)

@@ -85,7 +85,7 @@ def _narrowed(df, columns, probs, by, keys, in_memory_rows):
         for p in probs if n else ():
             rank = p * (n - 1)
             low, high = found[(group, column, math.floor(rank))], found[(group, column, math.ceil(rank))]
-            values.append(low + (high - low) * (rank - math.floor(rank)))
+            values.append(low if low == high else low + (high - low) * (rank - math.floor(rank)))
         rows.append((*group, column, values or None))
     schema = T.StructType(
         _key_schema(df, by).fields
@@ -126,11 +126,14 @@ def _select(df, by, wanted, in_memory_rows):
                     raise RuntimeError("bracket lost its rank: the input changed between passes")
                 found[(group, columns[ci], k)] = lo
             elif k_mid >= s["mid"]:
-                if k_mid >= s["mid"] + s["at_hi"]:
+                if k_mid < s["mid"] + s["at_hi"]:
+                    found[(group, columns[ci], k)] = hi
+                elif hi == math.inf and k_mid < s["mid"] + s["at_hi"] + s["nan"]:
+                    found[(group, columns[ci], k)] = math.nan  # after all numbers, as in the built-in order
+                else:
                     raise RuntimeError("bracket lost its rank: the input changed between passes")
-                found[(group, columns[ci], k)] = hi
             elif gather:
-                found[(group, columns[ci], k)] = s["inside"][k_mid]
+                found[(group, columns[ci], k)] = s["chosen"][slots["ranks"][(group, ci, lo, hi)].index(k)]
             else:
                 grid, share = s["inside"], k_mid / s["mid"]
                 i = math.floor(_STEPS * (share - 2 / _ACCURACY)) - 1
@@ -144,32 +147,42 @@ def _select(df, by, wanted, in_memory_rows):
 
 
 def _pass(work, by, open_ranks, gather):
-    """Count and sketch every open bracket; one row per group comes back."""
+    """Count and sketch every open bracket; one row per group comes back.
+
+    With ``gather`` executors sort what is inside a bracket, at most
+    ``in_memory_rows`` values, and hand back the wanted ranks only.
+    """
     spark = work.sparkSession
-    slots, brackets = {}, {}
+    slots, brackets, ranks = {}, {}, {}
+    for (group, ci, k), (lo, hi, _) in open_ranks.items():
+        ranks.setdefault((group, ci, lo, hi), []).append(k)
     for (group, ci, _), (lo, hi, _) in open_ranks.items():
         mine = brackets.setdefault(group, [])
         if (group, ci, lo, hi) not in slots:
             at = sum(1 for c, *_ in mine if c == ci)
             slots[(group, ci, lo, hi)] = (ci, at)
             mine.append((ci, at, lo, hi))
-    names = sorted({slot for slot in slots.values()})
+    names = sorted(set(slots.values()))
     if by:
         schema = T.StructType(
             _key_schema(work, by).fields
             + [T.StructField(f"_{side}_{c}_{a}", T.DoubleType()) for c, a in names for side in ("lo", "hi")]
+            + [T.StructField(f"_k_{c}_{a}", T.ArrayType(T.LongType())) for c, a in names]
         )
         rows = []
         for group, mine in brackets.items():
             limits = {(c, a): (lo, hi) for c, a, lo, hi in mine}
-            rows.append((*group, *[x for s in names for x in limits.get(s, (None, None))]))
+            wanted = {(c, a): ranks[(group, c, lo, hi)] for c, a, lo, hi in mine}
+            rows.append((*group, *[x for s in names for x in limits.get(s, (None, None))], *[wanted.get(s) for s in names]))
         table = spark.createDataFrame(rows, schema)
         if len(rows) <= BROADCAST_GROUPS:
             table = F.broadcast(table)
         work = work.join(table, _null_safe(work, table, by)).drop(*[table[b] for b in by])
         limit = {(c, a): (F.col(f"_lo_{c}_{a}"), F.col(f"_hi_{c}_{a}")) for c, a in names}
+        asked = {(c, a): F.first(f"_k_{c}_{a}") for c, a in names}
     else:
         limit = {(c, a): (F.lit(lo), F.lit(hi)) for c, a, lo, hi in brackets[()]}
+        asked = {(c, a): F.first(F.array(*[F.lit(k).cast("long") for k in ranks[((), c, lo, hi)]])) for c, a, lo, hi in brackets[()]}
     aggs = []
     for c, a in names:
         v, (lo, hi) = F.col(f"_v{c}"), limit[(c, a)]
@@ -185,14 +198,27 @@ def _pass(work, by, open_ranks, gather):
                 F.count_if(v == lo).alias("at_lo"),
                 F.count(inside).alias("mid"),
                 F.count_if(v == hi).alias("at_hi"),
+                F.count_if(F.isnan(v)).alias("nan"),
+                asked[(c, a)].alias("asked"),
                 F.min(inside).alias("min"),
                 F.max(inside).alias("max"),
                 kept.alias("inside"),
             ).alias(f"_s_{c}_{a}")
         )
+    out = work.groupBy(*by).agg(*aggs)
+    if gather:
+        for c, a in names:
+            s = F.col(f"_s_{c}_{a}")
+            chosen = F.transform(s["asked"], _ranked(s))
+            out = out.withColumn(f"_s_{c}_{a}", s.dropFields("inside", "asked").withField("chosen", chosen))
     stats = {}
-    for row in work.groupBy(*by).agg(*aggs).collect():
+    slots["ranks"] = ranks
+    for row in out.collect():
         group = tuple(row)[: len(by)]
         for c, a in names:
             stats[(group, (c, a))] = row[f"_s_{c}_{a}"]
     return slots, stats
+
+
+def _ranked(s):
+    return lambda k: F.get(s["inside"], (k - s["below"] - s["at_lo"]).cast("int"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import session
-from gridloom.operators import aggregates, clean, encode, filters, models, ordered, products, sampling
+from gridloom.operators import aggregates, clean, encode, filters, forest, models, ordered, products, quantiles, sampling
 from gridloom.plans.preprocess import build_features, run
 from gridloom.schema import RAW_SCHEMA
 from gridloom.sources import readings
@@ -134,3 +134,25 @@ def test_jobs_keep_and_reuse_models(spark, folder):
         models.compare_classifiers(df, ["a"], "y", "k", split="chronological")
     out = models.compare_regressors(df, ["a", "b"], "y", "ts", "k", 4, ["ridge", "xgboost_reg"], f"{folder}/reg")
     assert out.results.collect() == models.compare_regressors(df, ["a", "b"], "y", "ts", "k", 4, ["ridge", "xgboost_reg"], f"{folder}/reg").results.collect()
+
+
+def test_quantiles_of_data_with_nan(spark):
+    import math
+
+    rows = [(i % 2, float(i)) for i in range(1000)] + [(i % 2, float("nan")) for i in range(100)] + [(0, None), (1, float("inf")), (0, float("-inf"))]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
+    for by in ((), ("g",)):
+        got = [sorted(map(str, quantiles.quantiles(df, ["v"], [0.0, 0.5, 0.9, 0.95, 1.0], by, n).collect())) for n in (10**6, 50)]
+        assert got[0] == got[1] and "nan" in got[0][0]
+    assert math.isnan(quantiles.order_statistics(df, "v", {(): [1101]}, (), 10)[((), 1101)])
+
+
+def test_every_tree_draws_for_itself(spark):
+    for n in (50, 1279, 1280, 6000):
+        df = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"))
+        rows = forest._tree_rows(df, "k", ["x"], 20, 64, 1).select("tree", "k").collect()
+        per = {t: len({r.k for r in rows if r.tree == t}) for t in range(20)}
+        assert set(per.values()) == {min(n, 64)} and len(rows) == 20 * min(n, 64)
+        used = len({r.k for r in rows})
+        expected = n * (1 - (1 - min(n, 64) / n) ** 20)
+        assert abs(used - expected) < 0.05 * expected + 1
