@@ -19,6 +19,7 @@ from gridloom.operators.encode import min_max
 from gridloom.operators.metrics import regression_metrics
 from gridloom.operators.products import keyed_products
 from gridloom.operators.quantiles import quantiles
+from gridloom.session import materialize
 
 KEY, TS, VALUE = "series_key", "ts", "value"
 
@@ -266,6 +267,13 @@ def _horizon_rows(train: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
+def _unknown(row: pd.Series, *columns: str) -> pd.DataFrame:
+    """The steps of a key that cannot be forecast."""
+    steps = int(row["_steps"])
+    nothing = {c: np.full(steps, None, dtype=object) for c in columns}
+    return pd.DataFrame({KEY: row[KEY], "_end": row["_end"], "step": np.arange(1, steps + 1), **nothing}).astype({c: "Float64" for c in columns})
+
+
 def _tail(train: DataFrame, points: int) -> DataFrame:
     """The last ``points`` values of each series, in order, as one array."""
     return (
@@ -285,7 +293,8 @@ def seasonal_forecast(train: DataFrame, test: DataFrame, season: int = 24, freq:
 
     w = (1 - B)(1 - B^season) y is regressed on its lags 1, season and
     season + 1; forecasts run recursively and are integrated back. The band is
-    1.96 times the forecast deviation from the impulse weights.
+    1.96 times the forecast deviation from the impulse weights. A key whose
+    history is too short for the regression gets its steps with null values.
     """
     w = _by_time()
     lag = lambda c, n: F.lag(c, n).over(w)
@@ -295,10 +304,12 @@ def seasonal_forecast(train: DataFrame, test: DataFrame, season: int = 24, freq:
         F.forall("x", lambda e: e.isNotNull())
     )
     sums = gram(rows).groupBy(KEY).agg(F.collect_list(F.struct("i", "j", "s")).alias("sums"), F.max("n").alias("n"))
-    state = sums.join(_tail(train, 2 * (season + 1)), KEY).join(_horizon_rows(train, test), KEY)
+    state = _horizon_rows(train, test).join(sums, KEY, "left").join(_tail(train, 2 * (season + 1)), KEY, "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
+        if row["sums"] is None or row["n"] < 4 or len(row["tail"]) < 2 * (season + 1):
+            return _unknown(row, "forecast", "lower", "upper")
         m = _matrix(pd.DataFrame([tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in row["sums"]], columns=["i", "j", "s"]))
         n, steps = int(row["n"]), int(row["_steps"])
         beta, _, rss = _least_squares(m, [0, 1, 2], n)
@@ -310,7 +321,6 @@ def seasonal_forecast(train: DataFrame, test: DataFrame, season: int = 24, freq:
         both[0], both[1], both[season], both[season + 1] = 1.0, -1.0, -1.0, 1.0
         weights = -np.convolve(ar, both)[1:]
         values = list(np.asarray(row["tail"], float))
-        values = [values[0]] * max(len(weights) - len(values), 0) + values
         psi = [1.0]
         for s in range(steps):
             values.append(float(np.dot(weights, values[-1 : -len(weights) - 1 : -1])))
@@ -356,13 +366,14 @@ def fit_window_ridge(train: DataFrame, lags: int = 24, horizon: int = 6, alpha:
 def window_forecast(
     train: DataFrame, test: DataFrame, lags: int = 24, horizon: int = 6, alpha: float = 0.5, freq: str = "hour",
 ) -> DataFrame:
-    """Recursive forecast of the window ridge for the rows of ``test``."""
-    state = (
-        fit_window_ridge(train, lags, horizon, alpha).join(_tail(train, lags), KEY).join(_horizon_rows(train, test), KEY)
-    )
+    """Recursive forecast of the window ridge for the rows of ``test``; null values for a key that is too short to fit."""
+    fitted = fit_window_ridge(train, lags, horizon, alpha)
+    state = _horizon_rows(train, test).join(fitted, KEY, "left").join(_tail(train, lags), KEY, "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
+        if row["beta"] is None or len(row["tail"]) < lags:
+            return _unknown(row, "forecast")
         lo, span, steps = row["lo"], (row["hi"] - row["lo"]) or 1.0, int(row["_steps"])
         beta = np.asarray(row["beta"], float)
         values = list((np.asarray(row["tail"], float) - lo) / span)
@@ -403,7 +414,7 @@ def forecast_by_key(
     The horizon is ``steps`` or a quarter of the series, whichever is less.
     """
     series = prepare_series(df, target, ts, key).withColumn("_n", F.count("*").over(Window.partitionBy(KEY)))
-    series = series.filter(F.col("_n") >= least)
+    series = materialize(series.filter(F.col("_n") >= least), "series")  # span / period rows per key, read several times
     train, test = split_last(series, F.least(F.lit(steps), F.floor(F.col("_n") / 4)))
     train, test = train.drop("_n"), test.drop("_n")
     return train, test, seasonal_forecast(train, test)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import session
-from gridloom.operators import aggregates, clean, encode, filters, forest, models, ordered, products, quantiles, sampling
+from gridloom.operators import aggregates, clean, encode, filters, forest, models, ordered, products, quantiles, sampling, series
 from gridloom.plans.preprocess import build_features, run
 from gridloom.schema import RAW_SCHEMA
 from gridloom.sources import readings
@@ -156,3 +156,17 @@ def test_every_tree_draws_for_itself(spark):
         used = len({r.k for r in rows})
         expected = n * (1 - (1 - min(n, 64) / n) ** 20)
         assert abs(used - expected) < 0.05 * expected + 1
+
+
+def test_short_series_keep_their_steps(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("long", at + dt.timedelta(hours=i), float(i % 24) + i / 50) for i in range(400)]
+    rows += [("short", at + dt.timedelta(hours=i), float(i)) for i in range(40)] + [("tiny", at + dt.timedelta(hours=i), 1.0) for i in range(11)]
+    df = spark.createDataFrame(rows, "series_key string, ts timestamp_ntz, value double")
+    train, test = series.split_last(df, 10)
+    for forecast in (series.seasonal_forecast(train, test), series.window_forecast(train, test)):
+        got = {r.series_key: (r.n, r.known) for r in forecast.groupBy("series_key").agg(F.count("*").alias("n"), F.count("forecast").alias("known")).collect()}
+        assert got["long"] == (10, 10) and got["tiny"] == (10, 0) and got["short"][0] == 10
+        assert forecast.filter("ts is null").count() == 0
+        metrics = {r.series_key: r.rmse for r in series.forecast_metrics(test, forecast).collect()}
+        assert metrics["long"] < 2 and metrics["tiny"] is None
