@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -147,7 +147,8 @@ class Matcher(dict):
         return out
 
 
-FEATURES = ("constant", "abuse", "misspelt", "quoted", "nearby", "density")
+#: Sums over the hits of a text; a misspelling counts half, a hit as far as it is not quoted.
+FEATURES = ("constant", "abuse", "quoted", "nearby", "density")
 
 
 def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tuple[int, int, float]]]:
@@ -155,7 +156,7 @@ def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tupl
     words = _WORD.findall((text or "").lower())
     at = [i for i, w in enumerate(words) if matcher[w] is not None]
     if not at:
-        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], []
+        return [1.0, 0.0, 0.0, 0.0, 0.0], []
     spans = [m.span() for m in _QUOTED.finditer(text.lower())]
     inside = [False] * len(words)
     if spans:
@@ -166,17 +167,14 @@ def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tupl
             if k == len(spans):
                 break
             inside[i] = spans[k][0] < m.start()
-    hits, plain, bad, quoted, mass = [], 0.0, 0.0, 0.0, []
+    hits, quoted, mass = [], 0.0, []
     for i in at:
         near = words[max(0, i - WINDOW): i + WINDOW + 1]
         q = 0.7 * inside[i] + 0.3 * (not REPORTING.isdisjoint(near)) - 0.2 * (not ADDRESS.isdisjoint(near))
         q = min(1.0, max(0.0, q))
-        exact = matcher[words[i]] == 1.0
-        plain += (1 - q) * exact
-        bad += (1 - q) * (not exact)
         quoted += q
         mass.append((1 - q) * matcher[words[i]])
-        hits.append((i, int(not exact), q))
+        hits.append((i, int(matcher[words[i]] < 1), q))
     nearby, first, held = 0.0, 0, 0.0
     for k, i in enumerate(at):
         held += mass[k]
@@ -185,7 +183,7 @@ def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tupl
             first += 1
         nearby = max(nearby, held)
     density = 100 * sum(mass) / len(words)
-    return [1.0, math.log1p(plain), math.log1p(bad), math.log1p(quoted), math.log1p(nearby), math.log1p(density)], hits
+    return [1.0, math.log1p(sum(mass)), math.log1p(quoted), math.log1p(nearby), math.log1p(density)], hits
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,15 +191,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _count_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pos, neg = Counter(), Counter()
+def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with the word before them (as a checksum), each once per run of rows and kind of text."""
+    seen: set[tuple[str, int, int]] = set()
+
+    def rows() -> pa.RecordBatch:
+        words, before, toxic = zip(*seen)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.int64()), pa.array(toxic, pa.int32())], ["word", "before", "toxic"])
+
     for batch in it:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            (pos if toxic else neg).update(w for w in set(_WORD.findall((text or "").lower())) if len(w) < 64)
-    names = list(pos.keys() | neg.keys())
-    for s in range(0, len(names), 20_000):
-        part = names[s: s + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([pos[w] for w in part], pa.int64()), pa.array([neg[w] for w in part], pa.int64())], ["word", "pos", "neg"])
+            words = [w for w in _WORD.findall((text or "").lower()) if len(w) < 64]
+            seen.update((w, zlib.crc32(v.encode()), toxic) for v, w in zip(["", *words], words))
+            if len(seen) > 200_000:
+                yield rows()
+                seen.clear()
+    if seen:
+        yield rows()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> DataFrame:
@@ -222,10 +228,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n, n_pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n_neg = n - n_pos
     if not n_pos or not n_neg:
-        return Model((), (), frozenset(), (25.0 if n_pos else -25.0, 0.0, 0.0, 0.0, 0.0, 0.0))
-    words = rows.mapInArrow(_count_words, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return Model((), (), frozenset(), (25.0 if n_pos else -25.0, 0.0, 0.0, 0.0, 0.0))
+    # A word counts once per word before it, not per text: copies of a text and passages that many share say it in one context only.
+    words = rows.mapInArrow(_contexts, "word string, before long, toxic int").distinct().groupBy("word").agg(
+        F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg"))
     words = stored(words, "toxicity-words")
-    base = n_pos / n
+    n_pos, n_neg = words.agg(F.sum("pos"), F.sum("neg")).first()
+    if not n_pos or not n_neg:
+        return Model((), (), frozenset(), (-25.0, 0.0, 0.0, 0.0, 0.0))
+    base = n_pos / (n_pos + n_neg)
     # Twice the log-likelihood ratio; so many words and stems are tried that chance alone gives high values.
     p = F.col("pos") / (F.col("pos") + F.col("neg"))
     gain = 2 * (F.col("pos") * F.log(p / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - p) / (1 - base))).otherwise(0.0))
@@ -271,7 +282,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.5, ro
         gradient = x.T @ (w * (y - p)) - penalty @ beta
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + penalty, gradient)
         beta = beta + step
-        beta[[1, 2, 4, 5]] = np.maximum(beta[[1, 2, 4, 5]], 0)
+        beta[[1, 3, 4]] = np.maximum(beta[[1, 3, 4]], 0)
         if np.abs(step).max() < 1e-8:
             break
     return beta

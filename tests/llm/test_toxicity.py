@@ -48,9 +48,9 @@ def test_automaton_on_any_word(word):
 def test_quotation_is_told_from_abuse():
     m = tox.Matcher(tox.Model(tuple(WORDS), tuple(STEMS), frozenset({"crash"}), ()))
     meant, hits = tox.features("You are trash, you m0ron", m)
-    assert [h[1] for h in hits] == [0, 1] and meant[1] > 0 and meant[2] > 0 and meant[3] == 0
+    assert [h[1] for h in hits] == [0, 1] and meant[1] > 0.9 and meant[2] == 0
     said, hits = tox.features('He said "trash and moron" in the interview', m)
-    assert [round(h[2], 3) for h in hits] == [1.0, 1.0] and said[1] == 0 and said[3] > 0
+    assert [round(h[2], 3) for h in hits] == [1.0, 1.0] and said[1] == 0 and said[2] > 0
     assert tox.features("a crash", m)[1] == [] and tox.features(None, m)[1] == [] and tox.features("", m)[1] == []
 
 
@@ -84,6 +84,22 @@ def test_fit_and_score(spark, fitted, rows):
     assert tox.score(df.limit(0), model).count() == 0
 
 
+def test_copies_and_shared_passages_make_no_entries(spark, fitted):
+    docs, labels, vocab = fitted
+    odd = " ".join(np.random.default_rng(2).choice(list("hijklmnop"), (40, 8)).view("U1").reshape(40, 8).astype(object).sum(axis=1))
+    copies = spark.createDataFrame([(10000 + i, f"{odd} rotten x{i % 3}") for i in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(10000 + i, 1, 1) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = tox.fit(docs.union(copies), labels.union(marks))
+    assert set(model.words) <= {"rotten", "filthy"} and all("grumb".startswith(s) or s.startswith("gru") for s in model.stems)
+
+
+def test_misspellings_add_up(spark, fitted, rows):
+    docs, labels, vocab = fitted
+    df = spark.createDataFrame([(1, "r0tten filthhy rottn filtthy you rottten fiilthy"), (2, " ".join(["rooten", *vocab[:80]]))], "doc_id long, text string")
+    got = rows(tox.score(df, tox.fit(docs, labels)))
+    assert got[0]["toxicity"]["misspelt"] == 6 and got[0]["toxicity"]["score"] > 0.5 > got[1]["toxicity"]["score"]
+
+
 def test_no_labels(spark, fitted, rows):
     docs, labels, _ = fitted
     for none in (labels.limit(0), labels.withColumn("toxic", F.lit(None).cast("int")), labels.withColumn("toxic", F.lit(0))):
