@@ -25,8 +25,8 @@ from gridloom.llm.shingles import set_hash, text_sets
 PERCENT = 80
 #: Counters of the sketch of shingle frequencies (4 bytes each) and the pieces it is added up in.
 COUNTERS, PIECES = 1 << 20, 64
-#: 64-bit words of a bitmap signature.
-SIGNATURE = 16
+#: Bits of a bitmap signature per shingle, at least; the next power of two is taken.
+BITS = 4
 #: Rows of a tile that meet in one block; a larger tile is cut into pairs of blocks.
 BLOCK = 2048
 
@@ -86,10 +86,50 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> bytes:
-    """Bitmap with one bit for each shingle's hash."""
-    out = np.zeros(SIGNATURE * 64, dtype=np.uint8)
-    out[(mix64(h) & np.uint64(SIGNATURE * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(out).tobytes()
+    """Bitmap with one bit for each shingle's hash, its width a power of two that follows the size of the set."""
+    width = max(64, 1 << (BITS * len(h) - 1).bit_length())
+    out = np.zeros(width, dtype=np.uint8)
+    out[(mix64(h) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+class Signatures:
+    """Signatures of rows by width. A bitmap folds to half its width by joining its halves, so sets of unlike sizes compare."""
+
+    def __init__(self, rows: list[bytes]):
+        words = np.array([len(r) // 8 for r in rows], dtype=np.int64)
+        self.words, self.at = words, {}
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            matrix = np.frombuffer(b"".join(rows[i] for i in own.tolist()), dtype=np.uint64).reshape(-1, w)
+            self._add(w, own, matrix)
+        for w in sorted(self.at, reverse=True):
+            own, matrix = np.flatnonzero(words == w), self.at[w][1]
+            if w > 1:
+                matrix = matrix[: len(own)]
+                self._add(w // 2, own, matrix[:, : w // 2] | matrix[:, w // 2:])
+
+    def _add(self, w: int, rows: np.ndarray, matrix: np.ndarray) -> None:
+        place, held = self.at.get(w, (np.full(len(self.words), -1, dtype=np.int64), np.zeros((0, w), dtype=np.uint64)))
+        place[rows] = len(held) + np.arange(len(rows))
+        self.at[w] = (place, np.concatenate((held, matrix)))
+
+    def bound(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Most shingles that the sets of rows ``a`` and ``b`` can share; their widths differ by a factor of 2 at the most.
+
+        A bit that only one has stands for a shingle that only one has.
+        """
+        out = np.zeros(len(a), dtype=np.int64)
+        width = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(width).tolist():
+            place, matrix = self.at[w]
+            which = np.flatnonzero(width == w)
+            for s in range(0, len(which), max(1, (1 << 18) // w)):
+                i = which[s: s + max(1, (1 << 18) // w)]
+                x, y = matrix[place[a[i]]], matrix[place[b[i]]]
+                alone = [np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x))]
+                out[i] = np.minimum(na[i] - alone[0], nb[i] - alone[1])
+        return out
 
 
 def _rare(sketch):
@@ -156,13 +196,6 @@ def _set_rows(cls, held) -> pa.RecordBatch:
         [pa.array(cls, pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], ["cls", "shingles"])
 
 
-def bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Most shingles two sets can share: a bit that only one has stands for a shingle that only one has."""
-    alone_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
-    alone_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
-    return np.minimum(na - alone_a, nb - alone_b)
-
-
 def _enough(shared, na, nb):
     return 100 * shared >= PERCENT * (na + nb - shared)
 
@@ -184,11 +217,15 @@ def _exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and bitmaps allow enough overlap."""
     for batch in it:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE) for c in ("left", "right"))
-        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        keep = _enough(bound(x, y, na, nb), na, nb)
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], ["a", "b"])
+        a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+        i = np.flatnonzero(100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
+        if len(i):
+            left, right = (batch.column(c).take(pa.array(i)).to_pylist() for c in ("left", "right"))
+            k = np.arange(len(i))
+            i = i[_enough(Signatures(left + right).bound(k, k + len(i), na[i], nb[i]), na[i], nb[i])]
+        yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[i])], ["a", "b"])
 
 
 def _likely(pairs: DataFrame, brief: DataFrame) -> DataFrame:
@@ -229,25 +266,34 @@ def _tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
     cls, n, comp, side = (table.column(c).to_numpy() for c in ("cls", "n", "comp", "side"))
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE)
+    signatures = Signatures(table.column("signature").to_pylist())
+
+    def passed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        keep = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+        a, b = a[keep], b[keep]
+        keep = _enough(signatures.bound(a, b, n[a], n[b]), n[a], n[b])
+        a, b = cls[a[keep]], cls[b[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
     two = edges[:-1][np.diff(edges) == 2]
-    a, b = [two], [two + 1]
+    if len(two):
+        yield passed(two, two + 1)
+    a, b, held = [], [], 0
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if e - s < 3:
             continue
-        for x in range(s, e):  # one row against the later ones, or against those of the other block
-            y = np.arange(x + 1, e)
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])) & ((side[y] != side[x]) | (side[x] == 2))]
+        for x in range(s, e - 1):  # rows come by size, so similar ones follow at once
+            y = np.arange(x + 1, x + 1 + np.searchsorted(n[x + 1: e], n[x] * 100 // PERCENT, side="right"))
+            y = y[comp[y] != comp[x]]
             if len(y):
-                y = y[_enough(bound(sig[x][None, :], sig[y], n[x], n[y]), n[x], n[y])]
                 a.append(np.full(len(y), x))
                 b.append(y)
-    a, b = np.concatenate(a), np.concatenate(b)
-    keep = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
-    a, b = a[keep], b[keep]
-    keep = _enough(bound(sig[a], sig[b], n[a], n[b]), n[a], n[b])
-    lo, hi = np.minimum(cls[a[keep]], cls[b[keep]]), np.maximum(cls[a[keep]], cls[b[keep]])
-    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+                held += len(y)
+                if held > 50_000:
+                    yield passed(np.concatenate(a), np.concatenate(b))
+                    a, b, held = [], [], 0
+    if held:
+        yield passed(np.concatenate(a), np.concatenate(b))
 
 
 def _mixed_tiles(tiles: DataFrame, comp: DataFrame, brief: DataFrame) -> DataFrame:
@@ -282,13 +328,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     w = F.expr("min(cls) over (partition by h) <> max(cls) over (partition by h)")
     brief = counted.filter("n > 0").select("cls", "n", "signature").dropDuplicates(["cls"])
     tiles = stored(postings.withColumn("_many", w).filter("_many").select("h", "cls", "n").distinct(), "ngram-tiles")
-    # First each class against the smallest of its tile and size band, then whatever is not joined by that.
+    # First each class against one of its tile and size band, then whatever is not joined by that.
     band = F.floor(F.log("n") / F.lit(-math.log(PERCENT / 100)) + 1e-9)
-    star = tiles.groupBy("h", band.alias("band")).agg(F.min("cls").alias("b"))
-    first = tiles.withColumn("band", band).join(star, ["h", "band"]).filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+    # The centre of a tile is the class that is in most tiles: an original is, its copies have shingles of their own.
+    known = tiles.join(tiles.groupBy("cls").agg(F.count("*").alias("tiles")), "cls").withColumn("band", band)
+    star = known.groupBy("h", "band").agg(F.max(F.struct("tiles", "cls"))["cls"].alias("b"))
+    first = known.select("h", "band", "cls").join(star, ["h", "band"]).filter("cls <> b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
     texts = source.select("text")
-    links = stored(_verified(stored(_likely(first, brief), "ngram-likely"), texts), "ngram-first")
-    more = stored(_mixed_tiles(tiles, components(links, label="ngram-first"), brief), "ngram-more")
+    likely = stored(_likely(first, brief), "ngram-likely")
+    links = stored(_verified(likely, texts), "ngram-first")
+    more = _mixed_tiles(tiles, components(links, label="ngram-first"), brief)
+    more = stored(more.join(likely, ["a", "b"], "left_anti"), "ngram-more")  # what failed once fails again
     return profile, stored(links.union(_verified(more, texts)), "ngram-links")
 
 

@@ -109,11 +109,14 @@ def test_parts_of_a_long_text(monkeypatch):
 
 def test_bound_is_above():
     rnd = np.random.default_rng(1)
-    for _ in range(50):
-        x = np.unique(rnd.integers(0, 900, rnd.integers(1, 800)).astype(np.uint64))
-        y = np.unique(rnd.integers(0, 900, rnd.integers(1, 800)).astype(np.uint64))
-        a, b = (np.frombuffer(ngram_join.signature(v), dtype=np.uint64) for v in (x, y))
-        assert ngram_join.bound(a, b, len(x), len(y)) >= len(np.intersect1d(x, y))
+    sets = [np.sort(rnd.choice(400, rnd.integers(110, 150), replace=False)).astype(np.uint64) for _ in range(60)]
+    signatures = ngram_join.Signatures([ngram_join.signature(h) for h in sets])
+    assert len(set(signatures.words.tolist())) == 2
+    a, b = (v.ravel() for v in np.indices((60, 60)))
+    n = np.array([len(h) for h in sets])
+    got = signatures.bound(a, b, n[a], n[b])
+    assert all(g >= len(np.intersect1d(sets[i], sets[j])) for g, i, j in zip(got, a, b)) and (got[a == b] == n).all()
+    assert (got < np.minimum(n[a], n[b])).mean() > 0.9
 
 
 def test_query(spark, sf):
