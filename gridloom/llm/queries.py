@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, chat, licenses, mixing, ngram_join, topk, toxicity, url_filter, vector_join, warc
-from gridloom.llm.common import table
+from gridloom.llm.common import LOWER, UPPER, table
+from gridloom.llm.shingles import WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,7 +26,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op3_chat_formatting")
+def _chat_sql(template: chat.Template = chat.Template()) -> str:
+    """Turns, loss and lengths from the table itself: an escape adds one character to each control string of a text."""
+    marks = " ".join(f"when '{r}' then {len(a + b)}" for r, (a, b) in template.marks.items())
+    bare = sum(map(len, template.other))
+    heads = {}
+    for c in template.controls():
+        heads.setdefault(c[0], []).append(re.escape(c[1:]))
+    control = "|".join(rf"{re.escape(k)}\\*(?:{'|'.join(v)})" for k, v in heads.items())
+    escapes = lambda c: f"len(regexp_extract_all({c}, '{control}'))"
+    named = " or ".join(f"role = '{r}'" for r in template.marks)
+    follows = " or ".join(f"(before = '{a}' and role in ({', '.join(map(repr, b))}))" for a, b in template.order.items())
+    loss = ", ".join(map(repr, template.loss))
+    return f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+  select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed as (select *, coalesce(lag(role) over (partition by conv_id order by turn nulls first, role, text), '{chat.START}') as before from turns),
+each as (select *, role || chr(10) || text || chr(10) as line, case when role in ({loss}) then text else '' end as lost, ({follows}) as fits,
+  length(text) + {escapes('text')} + case role {marks} else {bare} end + case when {named} then 0 else length(role) + {escapes('role')} end as chars from placed)
+select conv_id, count(*) as n_turns, sha256(string_agg(line, '' order by turn nulls first, role, text)) as turns_sha256,
+  sum(length(lost))::bigint as loss_chars, sha256(string_agg(lost, '' order by turn nulls first, role, text)) as loss_sha256,
+  sum(chars)::bigint as formatted_chars, bool_and(fits) as valid from each group by conv_id"""
+
+
+@query("op3_chat_formatting", _chat_sql())
 def _(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -63,7 +89,23 @@ def _(spark, sf):
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
 
-@query("op4_ngram_jaccard_join")
+#: Documents reachable by links; ``nodes`` has id, ``links`` both directions a, b.
+_REACH = "reach(a, b) as (select id, id from nodes union select r.a, l.b from reach r join links l on r.b = l.a)"
+
+
+@query("op4_ngram_jaccard_join", f"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (
+  select doc_id as id, list_distinct(case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS} - 1], ' ')) end) as s from words),
+nodes as (select id, len(s) as n from sets),
+held as (select id, unnest(s) as x from sets),
+likely as (select l.id as a, r.id as b, count(*) as shared from held l join held r on l.x = r.x and l.id < r.id group by all),
+pairs as (select a, b from likely join nodes p on p.id = a join nodes q on q.id = b where 100 * shared >= {ngram_join.PERCENT} * (p.n + q.n - shared)),
+links as (select a, b from pairs union all select b, a from pairs),
+{_REACH}
+select id as doc_id, n as n_shingles, component_id from nodes join (select a as id, min(b) as component_id from reach group by a) using (id)""")
 def _(spark, sf):
     return ngram_join.join_documents(table(spark, sf, "documents"))
 
@@ -80,13 +122,25 @@ def _(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_file())
 
 
-@query("op8_exact_top_k")
+_USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+@query("op8_exact_top_k", f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::double)) as q from embeddings where {_USABLE}),
+s as (select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select query_id, rank, vec_id, score from (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s) where rank <= 5""")
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return topk.search(vectors.filter("vec_id % 50 = 0"), vectors, 5)
 
 
-@query("op10_embedding_near_dedup")
+@query("op10_embedding_near_dedup", f"""
+with recursive nodes as (select vec_id as id from embeddings),
+v as (select vec_id as id, embedding::double[] as e from embeddings where {_USABLE} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.id as a, b.id as b from v a join v b on a.id <> b.id and list_cosine_similarity(a.e, b.e) >= {vector_join.COSINE}),
+{_REACH}
+select id as vec_id, coalesce(n, 0)::bigint as n_links, component_id, id = component_id as kept
+from (select a as id, min(b) as component_id from reach group by a) left join (select a as id, count(*) as n from links group by a) using (id)""")
 def _(spark, sf):
     return vector_join.range_join(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
