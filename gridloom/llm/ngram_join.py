@@ -27,7 +27,9 @@ PERCENT = 80
 COUNTERS, PIECES = 1 << 20, 64
 #: Bits of a bitmap signature per shingle, at least; the next power of two is taken.
 BITS = 4
-#: Rows of a tile that meet in one block; a larger tile is cut into pairs of blocks.
+#: Rows of a tile up to which all its pairs are listed; in a larger one signatures come along and sort them out at once.
+FEW = 64
+#: Rows of a large tile that meet in one block; beyond, it is cut into pairs of blocks.
 BLOCK = 2048
 
 _PROFILE = "cls long, n long, signature binary, piece int, counts binary"
@@ -138,7 +140,7 @@ def _rare(sketch):
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, seen = sketch.value, set()
         for _, sets in _batches(it):
-            out, cls, size = [], [], []
+            out, cls, size = [], [], []  # shingles in order of rarity, class, set size
             rows = 0
             for h in sets:
                 if not len(h) or (c := set_hash(h)) in seen:
@@ -161,9 +163,10 @@ def _rare(sketch):
 
 def _postings(out, cls, size) -> pa.RecordBatch:
     each = np.array([len(o) for o in out])
+    place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(cls, dtype=np.int64), each)), pa.array(np.repeat(np.array(size, dtype=np.int64), each))],
-        ["h", "cls", "n"])
+        [pa.array(np.concatenate(out).view(np.int64)), *(pa.array(np.repeat(np.array(v, dtype=np.int64), each)) for v in (cls, size)), pa.array(place.astype(np.int32))],
+        ["h", "cls", "n", "place"])
 
 
 def _sets_of(data: bytes, bits: int, hashes: int):
@@ -228,8 +231,15 @@ def _bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[i])], ["a", "b"])
 
 
-def _likely(pairs: DataFrame, brief: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose bitmaps allow enough overlap."""
+def _likely(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """Those of the stored pairs (a, b) whose bitmaps allow enough overlap; only signatures that are asked for are shuffled."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    n = wanted.count()
+    if not n:
+        return pairs
+    bits, hashes = bloom_bits(n, 0.01)
+    asked = bloom_test(F.col("cls"), bloom_build(wanted, F.col("cls"), bits, hashes), bits, hashes)
+    brief = profile.filter("n > 0").filter(asked).select("cls", "n", "signature").dropDuplicates(["cls"])
     both = pairs.join(brief.toDF("a", "na", "left"), "a").join(brief.toDF("b", "nb", "right"), "b")
     return both.mapInArrow(_bounded, "a long, b long")
 
@@ -248,7 +258,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within a tile whose bitmaps allow enough overlap; rows come sorted by tile."""
+    """Pairs of different components within a tile that may be similar; rows come sorted by tile."""
     rest = None
     for batch in it:
         table = pa.Table.from_batches([batch])
@@ -265,14 +275,18 @@ def _tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-    cls, n, comp, side = (table.column(c).to_numpy() for c in ("cls", "n", "comp", "side"))
-    signatures = Signatures(table.column("signature").to_pylist())
+    cls, n, place, comp, side = (table.column(c).to_numpy() for c in ("cls", "n", "place", "comp", "side"))
+    signatures = Signatures(table.column("signature").to_pylist()) if "signature" in table.column_names else None
 
     def passed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         keep = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+        # If this is the rarest shingle that both have, they share no more than what follows it in either.
+        keep &= _enough(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b])
         a, b = a[keep], b[keep]
-        keep = _enough(signatures.bound(a, b, n[a], n[b]), n[a], n[b])
-        a, b = cls[a[keep]], cls[b[keep]]
+        if signatures:
+            keep = _enough(signatures.bound(a, b, n[a], n[b]), n[a], n[b])
+            a, b = a[keep], b[keep]
+        a, b = cls[a], cls[b]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     two = edges[:-1][np.diff(edges) == 2]
@@ -296,20 +310,24 @@ def _pairs(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield passed(np.concatenate(a), np.concatenate(b))
 
 
-def _mixed_tiles(tiles: DataFrame, comp: DataFrame, brief: DataFrame) -> DataFrame:
+def _mixed_tiles(tiles: DataFrame, comp: DataFrame, profile: DataFrame) -> DataFrame:
     """Candidate pairs that lie in different components, from tiles that hold more than one."""
     df = tiles.join(comp.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    df = stored(df, "ngram-labelled")
     many = df.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
     df = df.join(many.select("h", "rows"), "h")
+    narrow = ["h", "i", "j", "cls", "n", "place", "comp", "side"]
+    small = df.filter(F.col("rows") <= FEW).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(2)}).select(*narrow)
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     # Block b meets every other block once, as (i, j) with i < j, and itself as (b, b).
-    df = df.withColumns({"blocks": blocks, "own": own}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    df = df.withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k")}).withColumn(
+    large = df.filter(F.col("rows") > FEW).withColumns({"blocks": blocks, "own": own}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k")}).withColumn(
         "side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
-    df = df.join(brief.select("cls", "signature"), "cls").select("h", "i", "j", "cls", "n", "comp", "side", "signature")
-    df = df.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "cls")
-    return df.mapInArrow(_tiles, "a long, b long").distinct()
+    brief = profile.filter("n > 0").select("cls", "signature").dropDuplicates(["cls"])
+    large = large.join(brief, "cls").select(*narrow, "signature")
+    pairs = [part.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "cls").mapInArrow(_tiles, "a long, b long") for part in (small, large)]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -323,22 +341,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     counted = stored(source.mapInArrow(_count, f"doc_id long, key long, {_PROFILE}"), "ngram-profile")
     profile = counted.filter("n is not null").select("doc_id", "key", "cls", "n")
     sketch = spark.sparkContext.broadcast(_sketch(counted))  # COUNTERS * 4 bytes
-    postings = source.select("text").mapInArrow(_rare(sketch), "h long, cls long, n long")
+    postings = source.select("text").mapInArrow(_rare(sketch), "h long, cls long, n long, place int")
     # A shingle of one class alone leads nowhere.
     w = F.expr("min(cls) over (partition by h) <> max(cls) over (partition by h)")
-    brief = counted.filter("n > 0").select("cls", "n", "signature").dropDuplicates(["cls"])
-    tiles = stored(postings.withColumn("_many", w).filter("_many").select("h", "cls", "n").distinct(), "ngram-tiles")
-    # First each class against one of its tile and size band, then whatever is not joined by that.
-    band = F.floor(F.log("n") / F.lit(-math.log(PERCENT / 100)) + 1e-9)
-    # The centre of a tile is the class that is in most tiles: an original is, its copies have shingles of their own.
-    known = tiles.join(tiles.groupBy("cls").agg(F.count("*").alias("tiles")), "cls").withColumn("band", band)
-    star = known.groupBy("h", "band").agg(F.max(F.struct("tiles", "cls"))["cls"].alias("b"))
+    tiles = stored(postings.withColumn("_many", w).filter("_many").select("h", "cls", "n", "place").distinct(), "ngram-tiles")
+    # First each class against one of its tile and size band, then whatever is not joined by that. The centre of a tile is the
+    # class with the fewest rarer shingles: an original has none of the shingles that only one of its copies has.
+    known = tiles.withColumn("band", F.floor(F.log("n") / F.lit(-math.log(PERCENT / 100)) + 1e-9))
+    star = known.groupBy("h", "band").agg(F.min(F.struct("place", "cls"))["cls"].alias("b"))
     first = known.select("h", "band", "cls").join(star, ["h", "band"]).filter("cls <> b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
     texts = source.select("text")
-    likely = stored(_likely(first, brief), "ngram-likely")
+    likely = stored(_likely(stored(first, "ngram-star"), counted), "ngram-likely")
     links = stored(_verified(likely, texts), "ngram-first")
-    more = _mixed_tiles(tiles, components(links, label="ngram-first"), brief)
-    more = stored(more.join(likely, ["a", "b"], "left_anti"), "ngram-more")  # what failed once fails again
+    more = _mixed_tiles(tiles, components(links, label="ngram-first"), counted)
+    more = stored(more.join(likely, ["a", "b"], "left_anti"), "ngram-pairs")  # what failed once fails again
+    more = stored(_likely(more, counted), "ngram-more")
     return profile, stored(links.union(_verified(more, texts)), "ngram-links")
 
 

@@ -86,6 +86,7 @@ def test_blocks_of_a_large_tile(spark, monkeypatch):
     rows = [(i, " ".join(base[:k] + [word()] + base[k + 1:])) for i in range(60) for k in [rnd.randrange(100)]]
     rows += [(100 + i, " ".join(base[: 50 + i] + [word() for _ in range(50 - i)])) for i in range(45)]
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "FEW", 4)
     assert ours(ngram_join.join_documents(spark.createDataFrame(rows, T))) == brute(rows)
 
 
