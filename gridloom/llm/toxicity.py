@@ -132,7 +132,7 @@ class Model:
 class Matcher(dict):
     """Cache from a word to None, or to 1 for an entry and 0.5 for a misspelling; holds a limited number of words."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 100_000):
         super().__init__()
         self.model, self.most = model, most
         self.automaton = Automaton(list(model.words), list(model.stems))
