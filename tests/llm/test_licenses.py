@@ -83,3 +83,38 @@ def test_query(spark, sf):
     assert ours(got) == brute(files)
     marked = {r.doc_id for r in docs if any(t in r.text for t in lic.TEMPLATES.values())}
     assert marked and marked <= {r.doc_id for r in got.filter("licence is not null").collect()}
+
+
+def found(spark, texts):
+    """(licence, licence_file, licences) of each text, among texts without any."""
+    files = [(f"d{i}/x", t) for i, t in enumerate(texts)] + [(f"e{i}/x", f"plain words number {i} the of and to in you may use it") for i in range(40)]
+    got = {r.path: r for r in lic.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert all(got[p].licence is None and got[p].licences == [] for p, _ in files[len(texts):])
+    return [(r.licence, r.licence_file, [x.licence for x in r.licences]) for r in (got[f"d{i}/x"] for i in range(len(texts)))]
+
+
+def test_full_texts_are_licence_files(spark):
+    names = list(lic.TEXTS)
+    got = found(spark, ["Copyright (c) 2020 Some Body\n\n" + t for t in lic.TEXTS.values()])
+    assert got == [(n, True, [n]) for n in names]
+
+
+def test_wrapped_and_inner_notices_and_two_licences(spark):
+    inner = "some words that come before it " * 20
+    got = found(spark, [
+        inner + MIT + " " + inner, inner + "\nThis work is licensed\nunder the GNU General Public\nLicense, version 3.\n" + inner,
+        lic.TEXTS["MIT"] + "\n\n" + lic.TEXTS["Apache-2.0"], inner + MIT + "\n" + inner + "Licensed under CC BY-SA 4.0.",
+        *(inner + t + " " + inner for _, t in lic.NOTICES)])
+    assert got[0] == ("MIT", False, ["MIT"]) and got[1] == ("GPL-3.0", False, ["GPL-3.0"])
+    assert got[2][1] and got[2][2] == ["MIT", "Apache-2.0"] and got[3][2] == ["MIT", "CC-BY-SA-4.0"]
+    assert [x[0] for x in got[4:]] == [n for n, _ in lic.NOTICES]
+
+
+def test_windows_are_cosines_and_places(spark):
+    weights = lic.Weights({w: 1 + i / 7 for i, w in enumerate(lic.tokens(MIT))}, 4.0)
+    text = "İx the the " * 9 + "under the license the MIT, the released " + "under a b " * 9
+    (name, score, start, stop, full, size), = lic.Windows([("MIT", MIT, False, weights)], 0.6).find(text)
+    words, t = lic.tokens(text), weights.vector(lic.tokens(MIT))
+    assert (name, full, size) == ("MIT", False, 5)
+    assert round(score, 8) == round(max(lic.cosine(weights.vector(words[i: i + 5]), t) for i in range(len(words) - 4)), 8)
+    assert round(lic.cosine(weights.vector(lic.tokens(text[start: stop])), t), 8) == round(score, 8)
