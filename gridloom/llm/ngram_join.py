@@ -5,7 +5,9 @@ enough when their sizes are, and when their rarest shingles (as many as a
 similar partner could lack, plus one) have one in common. So a tile is a rare
 shingle and a size band. In a tile, hashed bitmaps bound the overlap of two
 classes from above by counting bits, and only pairs that pass meet as sorted
-arrays. Pairs that would join what is joined already are never looked at.
+arrays. Pairs that would join what is joined already are never looked at,
+unless all links are asked for; then each component is cut into pairs of blocks
+of classes, and a block's tiles, bitmaps and arrays are held together.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BITS = 4
 FEW = 64
 #: Rows of a large tile that meet in one block; beyond, it is cut into pairs of blocks.
 BLOCK = 2048
+#: Shingles of a component's classes that meet in one block, about; beyond, it is cut into more blocks.
+BLOCK_SHINGLES = 1 << 22
 
 _PROFILE = "cls long, n long, signature binary, piece int, counts binary"
 
@@ -330,11 +334,112 @@ def _mixed_tiles(tiles: DataFrame, comp: DataFrame, profile: DataFrame) -> DataF
     return pairs[0].union(pairs[1]).distinct()
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _component_blocks(comp: DataFrame, profile: DataFrame, texts: DataFrame) -> DataFrame:
+    """cls, side, rows (documents) and shingles of the classes of each component, in pairs of blocks; sorted by comp, i, j."""
+    known = stored(profile.filter("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("rows")).join(comp.toDF("cls", "comp"), "cls"), "ngram-members-of")
+    n = known.count()
+    bits, hashes = bloom_bits(n, 0.01)
+    data = bloom_build(known, F.col("cls"), bits, hashes)
+    sets = texts.mapInArrow(_sets_of(data, bits, hashes), "cls long, shingles binary")
+    sets = stored(sets.join(known.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets-of")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    df = known.join(known.groupBy("comp").agg(blocks.alias("blocks")), "comp").withColumn("own", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    # Block b meets every other block once, as (i, j) with i < j, and itself as (b, b).
+    df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k")})
+    df = df.withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
+    df = df.select("comp", "i", "j", "cls", "side", "rows").join(sets, "cls")
+    return df.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls")
+
+
+def _similar(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Each block with the rows a < b of its similar pairs, in parts."""
+    rest = None
+    for batch in it:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        key = [table.column(c).to_numpy() for c in ("comp", "i", "j")]
+        edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist()]
+        for s, e in zip(edges, edges[1:]):
+            yield from _similar_rows(table.slice(s, e - s))
+        rest = table.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield from _similar_rows(rest)
+
+
+def _similar_rows(table: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    m, side = table.num_rows, table.column("side").to_numpy()
+    if m < 2 or side.min() == side.max() != 2:
+        return
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
+    n = np.array([len(h) for h in sets], dtype=np.int64)
+    starts = np.cumsum(n) - n
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Tiles of the block: classes that have one of their rarest shingles in common, as rare as they are here.
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    who = np.repeat(np.arange(m), n)
+    order = np.lexsort((rank[code], who))
+    first = np.arange(len(order)) - np.repeat(starts, n) < np.repeat(n + -n * PERCENT // 100 + 1, n)
+    order = order[first & (often[code[order]] > 1)]
+    order = order[np.lexsort((who[order], code[order]))]
+    edges = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1)) if len(order) else np.zeros(1, dtype=np.int64)
+    may, seen = np.zeros((m, m), dtype=bool), set()
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        tile = who[order[s:e]]
+        if e - s > 1 and (name := tile.tobytes()) not in seen:
+            seen.add(name)
+            may[np.ix_(tile, tile)] = True
+    signatures = Signatures([signature(h) for h in sets])
+    mark = np.zeros(len(often), dtype=bool)
+    for x in range(m - 1):
+        y = x + 1 + np.flatnonzero(may[x, x + 1:])
+        y = y[((side[y] != side[x]) | (side[x] == 2)) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
+        if len(y):
+            y = y[_enough(signatures.bound(np.full(len(y), x), y, np.full(len(y), n[x]), n[y]), n[x], n[y])]
+        if not len(y):
+            continue
+        own = code[starts[x]: starts[x] + n[x]]
+        mark[own] = True
+        shared = np.array([np.count_nonzero(mark[code[starts[k]: starts[k] + n[k]]]) for k in y.tolist()])
+        mark[own] = False
+        y = y[_enough(shared, n[x], n[y])]
+        if len(y):
+            yield table, np.full(len(y), x), y
+
+
+def _every_link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of classes."""
+    for table, a, b in _similar(it):
+        cls = table.column("cls").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
+
+
+def _links_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that each class of a block is linked to by its similar pairs there; one row per class and block."""
+    held, linked = None, None
+
+    def out() -> pa.RecordBatch:
+        k = np.flatnonzero(linked)
+        return pa.RecordBatch.from_arrays([pa.array(held.column("cls").to_numpy()[k]), pa.array(linked[k])], ["cls", "linked"])
+
+    for table, a, b in _similar(it):
+        if table is not held:
+            if held is not None:
+                yield out()
+            held, linked, rows = table, np.zeros(table.num_rows, dtype=np.int64), table.column("rows").to_numpy()
+        linked[a[0]] += rows[b].sum()
+        linked[b] += rows[a[0]]
+    if held is not None:
+        yield out()
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(profile, links): doc_id, key (hash of the text), cls, n per document; similar pairs (a, b) of classes that connect all that are connected.
 
     A class is a shingle set, named by its 64-bit hash; texts without words
-    have n = 0 and no class.
+    have n = 0 and no class. With ``every``, links are all similar pairs with
+    a < b, of which a group of near copies has as many as its square.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
@@ -356,26 +461,40 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     more = _mixed_tiles(tiles, components(links, label="ngram-first"), counted)
     more = stored(more.join(likely, ["a", "b"], "left_anti"), "ngram-pairs")  # what failed once fails again
     more = stored(_likely(more, counted), "ngram-more")
-    return profile, stored(links.union(_verified(more, texts)), "ngram-links")
+    links = stored(links.union(_verified(more, texts)), "ngram-links")
+    if not every:
+        return profile, links
+    blocks = _component_blocks(components(links, label="ngram-every"), profile, texts)
+    return profile, blocks.mapInArrow(_every_link, "a long, b long")
 
 
-def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     ``component_id`` is the smallest doc_id that links reach, the document's own
     included. Null and empty texts and such without words have no shingles and
     link with nothing. Rows that repeat a doc_id stay rows of their own; a null
     doc_id joins like others and is never the smallest, unless it is alone.
-    Other columns are not read. An empty table gives no rows.
+    Other columns are not read. An empty table gives no rows. ``count_links``
+    adds n_links, the number of other rows that are similar, those with the same
+    text or set included; within components all pairs of different sets are met.
     """
     profile, links = classes(docs, doc_id, text)
-    comp = components(links, label="ngram").toDF("cls", "comp")
-    bare = profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    nodes = components(links, label="ngram")
+    comp = nodes.toDF("cls", "comp")
+    bare = profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     df = profile.filter("n > 0").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     # Only components of more than one document need to be looked up.
     least = df.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows")).filter("_rows > 1").select("comp", "least")
     df = df.join(least, "comp", "left")
-    return df.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")).union(bare)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")]
+    if not count_links:
+        return df.select(*columns).union(bare.drop("n_links"))
+    blocks = _component_blocks(nodes, profile, docs.select(F.col(text).alias("text")))
+    linked = blocks.mapInArrow(_links_of, "cls long, linked long").groupBy("cls").agg(F.sum("linked").alias("linked"))
+    same = profile.filter("n > 0").groupBy("cls").agg((F.count("*") - 1).alias("same")).filter("same > 0")
+    df = df.join(linked, "cls", "left").join(same, "cls", "left")
+    return df.select(*columns, (F.coalesce("linked", F.lit(0)) + F.coalesce("same", F.lit(0))).alias("n_links")).union(bare)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -147,3 +147,20 @@ def test_keep_one(spark):
 def test_keep_one_without_copies(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, None)], T)
     assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == [1, 2, 3]
+
+
+def test_number_of_links(spark, monkeypatch):
+    rows = corpus()
+    sets = [brute_set(t) for _, t in rows]
+    similar = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted(((d, len(s), sum(similar(s, t) for t in sets) - bool(s)) for (d, _), s in zip(rows, sets)), key=str)
+    df = spark.createDataFrame(rows, T).repartition(3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    got = ngram_join.join_documents(df, count_links=True).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=str) == want
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    different = list(set(sets))
+    _, links = ngram_join.classes(df, every=True)
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert len(set(pairs)) == len(pairs) == sum(similar(a, b) for k, a in enumerate(different) for b in different[k + 1:])
+    assert ngram_join.join_documents(df.limit(0), count_links=True).count() == 0
