@@ -5,16 +5,18 @@ each bit one bitmap over the rows of a block. A query adds the slices of all
 attributes, shifted by the bits of its own components, with bitmap adders; the
 sum is bit-sliced too, so its best rows are found from the most significant
 slice downward. What remains equal at the last slice is the boundary, settled
-by the smaller id.
+by the smaller id. Vectors whose sums could leave 64 bits meet the others as
+Python integers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import stored
@@ -23,17 +25,31 @@ from gridloom.llm.vectors import matrix, usable
 SCALE = 256
 #: Rows of an index block and queries that search it together.
 ROWS, QUERIES = 4096, 128
-#: Quantised components from this size on take no part: sums must fit 64 bits.
-LIMIT = 1 << 27
+#: Added to a score, it gives a positive number of WIDTH hexadecimal digits, whatever doubles the vectors hold; these sort as text.
+OFFSET, WIDTH = 1 << 2200, 551
 
 
-def _quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, q): floor(SCALE * x) of usable vectors, as longs."""
+def bound(dims: int) -> int:
+    """Quantised components below this can be searched by slices: sums of ``dims`` products and their offsets fit 64 bits."""
+    return math.isqrt((1 << 62) // (8 * max(dims, 1)))
+
+
+def _usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """(vec_id, w, largest) of usable vectors with an id: floor(SCALE * x) / SCALE as doubles, exact, and the largest of |w|."""
     v = F.col(vector)
-    df = df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(usable(F.col("v")))
-    q = F.transform("v", lambda x: F.floor(x.cast("double") * F.lit(float(SCALE))))
-    fits = F.forall("v", lambda x: F.abs(x.cast("double")) * F.lit(float(SCALE)) < float(LIMIT))
-    return df.filter(fits).select("vec_id", q.alias("q"))
+    df = df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    x = lambda y: y.cast("double")
+    w = F.transform("v", lambda y: F.when(F.abs(x(y)) < float(1 << 52), F.floor(x(y) * F.lit(float(SCALE))).cast("double") / F.lit(float(SCALE))).otherwise(x(y)))
+    return df.select("vec_id", w.alias("w")).withColumn("largest", F.coalesce(F.array_max(F.transform("w", F.abs)), F.lit(0.0)))
+
+
+def _narrow(dims: int) -> Column:
+    return F.col("largest") < bound(dims) / SCALE
+
+
+def _quantised(rows: DataFrame, dims: int) -> DataFrame:
+    """Those of the usable rows that slices can hold, with q: SCALE * w as longs."""
+    return rows.filter(_narrow(dims)).withColumn("q", F.transform("w", lambda y: (y * F.lit(float(SCALE))).cast("long"))).drop("w", "largest")
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -79,11 +95,15 @@ def _index_row(ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         ["ids", "dims", "low", "bits", "slices"])
 
 
-def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The stored index: one row per block of up to ROWS vectors, numbered. Every usable row with an id is in it."""
-    rows = _quantised(vectors, vec_id, vector).filter("vec_id is not null")
-    dims = rows.agg(F.max(F.size("q"))).first()[0] or 0
-    out = rows.mapInArrow(_index(dims), "ids binary, dims int, low binary, bits binary, slices binary")
+def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", dims: int | None = None) -> DataFrame:
+    """The stored index: one row per block of up to ROWS vectors, numbered. Every usable row with an id and components below ``bound`` is in it.
+
+    Vectors are filled up to ``dims``, or to the longest.
+    """
+    rows = _usable(vectors, vec_id, vector)
+    if dims is None:
+        dims = rows.agg(F.max(F.size("w"))).first()[0] or 0
+    out = _quantised(rows, dims).mapInArrow(_index(dims), "ids binary, dims int, low binary, bits binary, slices binary")
     return stored(out.select(F.monotonically_increasing_id().alias("block"), "*"), "topk-index")
 
 
@@ -158,12 +178,12 @@ def _search(k: int, dims: int):
                 words = -(-len(ids) // 64)
                 slices = get("slices", np.uint64).reshape(-1, words)
                 queries, q = get("query_ids"), get("q").reshape(-1, dims)
-                yield _block_best(batch.column("part")[r].as_py(), ids, low, bits, slices, queries, q, k, words)
+                yield _block_best(get("numbers"), ids, low, bits, slices, queries, q, k, words)
 
     return run
 
 
-def _block_best(part, ids, low, bits, slices, queries, q, k, words) -> pa.RecordBatch:
+def _block_best(numbers, ids, low, bits, slices, queries, q, k, words) -> pa.RecordBatch:
     total, less = sums(low, bits, slices, q)
     every = pack(np.ones((1, len(ids)), dtype=bool))[0]
     out_q, out_n, out_v, out_s = [], [], [], []
@@ -179,49 +199,125 @@ def _block_best(part, ids, low, bits, slices, queries, q, k, words) -> pa.Record
         word, bit = rows // 64, (rows % 64).astype(np.uint64)
         score = (((total[:, i, word] >> bit) & np.uint64(1)).astype(np.int64) * weights[:, None]).sum(axis=0) - less[i]
         out_q.append(np.full(len(rows), queries[i]))
-        out_n.append(np.full(len(rows), i))
+        out_n.append(np.full(len(rows), numbers[i]))
         out_v.append(ids[rows])
         out_s.append(score)
     cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64))
-    number = cat(out_n)
-    return pa.RecordBatch.from_arrays([pa.array([part] * len(number), pa.int64()), number, cat(out_q), cat(out_v), cat(out_s)], ["part", "n", "query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([cat(out_n), cat(out_q), cat(out_v), cat(out_s)], ["n", "query_id", "vec_id", "score"])
 
 
 def _query_block(dims: int):
     def run(rows: pa.Table) -> pa.Table:
         ids = rows.column("vec_id").to_numpy()
         q = matrix(rows.column("q").combine_chunks(), dims).astype(np.int64)
-        return pa.table({"part": rows.column("part")[:1], "query_ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([q.tobytes()], pa.binary())})
+        numbers = rows.column("n").to_numpy()
+        return pa.table({"part": rows.column("part")[:1], "numbers": pa.array([numbers.tobytes()], pa.binary()), "query_ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([q.tobytes()], pa.binary())})
+
+    return run
+
+
+def integers(w: np.ndarray) -> np.ndarray:
+    """SCALE * w as Python integers."""
+    whole = lambda x: int(x) * SCALE if abs(x) >= 1 << 52 else int(x * SCALE)
+    return np.array([[whole(x) for x in row] for row in w.tolist()], dtype=object).reshape(w.shape)
+
+
+def _packed(dims: int, size: int):
+    """Rows (n, vec_id, w) in blocks of up to ``size``: n, ids, w as bytes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                n, ids = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "vec_id"))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (n, ids, matrix(part.column("w"), dims))], ["n", "ids", "w"])
+
+    return run
+
+
+def _search_wide(k: int, dims: int):
+    """The k best rows of each block for each query of the other, as Python integers."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for r in range(batch.num_rows):
+                get = lambda c, kind=np.int64: np.frombuffer(batch.column(c)[r].as_buffer(), dtype=kind)  # noqa: E731, B023
+                numbers, queries, ids = get("n"), get("query_ids"), get("ids")
+                rows = integers(get("w", np.float64).reshape(len(ids), dims))
+                out = []
+                for n, q, a in zip(numbers.tolist(), queries.tolist(), integers(get("q", np.float64).reshape(len(queries), dims))):
+                    best = sorted((-s, i) for s, i in zip((rows @ a).tolist() if dims else [0] * len(ids), ids.tolist()) if i != q)[:k]
+                    out += [(n, q, i, f"{OFFSET - s:0{WIDTH}x}") for s, i in best]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([o[c] for o in out], pa.int64()) for c in range(3)), pa.array([o[3] for o in out], pa.string())], ["n", "query_id", "vec_id", "key"])
 
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _wide(asked: DataFrame, rows: DataFrame, k: int, dims: int) -> DataFrame:
+    """(n, query_id, vec_id, key) of every block of ``asked`` with every block of ``rows``."""
+    blocks = rows.select(F.lit(0).cast("long").alias("n"), "vec_id", "w").mapInArrow(_packed(dims, ROWS), "n binary, ids binary, w binary").select("ids", "w")
+    parts = asked.select("n", "vec_id", "w").mapInArrow(_packed(dims, QUERIES), "n binary, ids binary, w binary").toDF("n", "query_ids", "q")
+    met = blocks.crossJoin(parts).repartition(F.xxhash64("ids", "n"))
+    return met.mapInArrow(_search_wide(k, dims), "n long, query_id long, vec_id long, key string")
+
+
+def _keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        keys = pa.array([f"{OFFSET + s:0{WIDTH}x}" for s in batch.column("score").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("n", "query_id", "vec_id")), keys], ["n", "query_id", "vec_id", "key"])
+
+
+def _scores(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        exact = [int(x, 16) - OFFSET for x in batch.column("key").to_pylist()]
+        score = pa.array([x if -(1 << 63) <= x < 1 << 63 else None for x in exact], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_id", "rank", "vec_id")), score, pa.array(list(map(str, exact)))], ["query_id", "rank", "vec_id", "score", "exact"])
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", exact: bool = False) -> DataFrame:
     """The k best rows of ``vectors`` for each query: query_id, rank (from 1), vec_id, score.
 
     Score: integer inner product of quantised vectors; ties to the smaller id;
     all rows, if fewer. Rows with the query's own id are not its candidates.
-    Vectors that are null, hold null or non-finite components, have no id, or
-    have components of LIMIT / SCALE or more, take no part on either side.
-    Vectors of unlike lengths are filled up with zeros. A query that is repeated
-    with the same vector counts once; under one id with other vectors, each is
-    answered for itself; a row that is repeated is a candidate as often. Other
-    columns are not read; empty tables give no rows.
+    Vectors that are null, hold null or non-finite components, or have no id
+    take no part on either side. Vectors of unlike lengths are filled up with
+    zeros. A query that is repeated with the same vector counts once; under one
+    id with other vectors, each is answered for itself; a row that is repeated
+    is a candidate as often. Other columns are not read; empty tables give no
+    rows. Ranks are exact for any finite components; a score beyond 64 bits is
+    null in ``score``, and ``exact`` adds a column of that name with all
+    scores as decimal digits.
 
     Index blocks meet blocks of queries; each meeting hands on k rows per query.
+    Vectors with components from ``bound`` on meet the other side in blocks of
+    Python integers.
     """
-    index = build_index(vectors, vec_id, vector)
-    dims = index.agg(F.max("dims")).first()[0] or 0
-    asked = _quantised(queries, vec_id, vector).filter("vec_id is not null").distinct()
-    asked = stored(asked.filter(F.size("q") <= dims), "topk-asked")
+    known, asked = _usable(vectors, vec_id, vector), _usable(queries, vec_id, vector)
+    most = [df.agg(F.max(F.size("w")), F.max("largest")).first() for df in (known, asked)]
+    dims = max(m[0] or 0 for m in most)
+    limit = bound(dims) / SCALE
+    index = build_index(vectors, vec_id, vector, dims)
+    every = stored(asked.distinct().withColumn("n", F.monotonically_increasing_id()), "topk-asked")
+    asked = _quantised(every, dims)
     parts, blocks = -(-asked.count() // QUERIES), index.count()
     part = F.pmod(F.xxhash64("vec_id", "q"), F.lit(max(parts, 1)))
-    asked = asked.withColumn("part", part).groupBy("part").applyInArrow(_query_block(dims), "part long, query_ids binary, q binary")
+    asked = asked.withColumn("part", part).groupBy("part").applyInArrow(_query_block(dims), "part long, numbers binary, query_ids binary, q binary")
     # One partition per index block, as far as that is sensible: the work is in the meetings, not in the bytes that adaptive planning sees.
     n = max(1, min(blocks, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     meet = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")) if parts else index.select("block", F.lit(0).alias("part")).limit(0)
     meet = meet.select("block", F.col("part").cast("long").alias("part")).join(asked, "part").repartition(n, "block")
-    met = meet.join(index.repartition(n, "block"), "block").select("part", *[c for c in index.columns if c != "block"], "query_ids", "q")
-    found = met.mapInArrow(_search(k, dims), "part long, n long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("part", "n").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = meet.join(index.repartition(n, "block"), "block").select(*[c for c in index.columns if c != "block"], "numbers", "query_ids", "q")
+    found = met.mapInArrow(_search(k, dims), "n long, query_id long, vec_id long, score long")
+    best = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc(by), "vec_id"))).filter(F.col("rank") <= k)
+    wide = [(m[1] or 0.0) >= limit for m in most]
+    if any(wide):
+        found = found.mapInArrow(_keys, "n long, query_id long, vec_id long, key string")
+        if wide[0]:
+            found = found.union(_wide(every.filter(_narrow(dims)), known.filter(~_narrow(dims)), k, dims))
+        if wide[1]:
+            found = found.union(_wide(every.filter(~_narrow(dims)), known, k, dims))
+        out = best(found, "key").mapInArrow(_scores, "query_id long, rank int, vec_id long, score long, exact string")
+        return out if exact else out.drop("exact")
+    out = best(found, "score").select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("exact", F.col("score").cast("string")) if exact else out

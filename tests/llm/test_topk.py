@@ -66,3 +66,27 @@ def test_sums_and_selection():
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert ours(QUERIES["op8_exact_top_k"](spark, sf)) == brute([r for r in rows if r[0] % 50 == 0], rows, 5)
+
+
+def test_large_components_and_long_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 10)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rnd = random.Random(2)
+    rows = [(i, [rnd.uniform(-1, 1) * 10 ** rnd.choice([0, 3, 6, 12, 38]) for _ in range(6)]) for i in range(60)] + [(100, [524288.0] * 6), (150, [3e38] * 6), (150, [1.0] * 9)]
+    df = spark.createDataFrame(rows, T).repartition(3)
+    asked = [r for r in rows if r[0] % 5 == 0] + [(200, [1.0] * 12)]
+    want = brute(asked, rows, 5)
+    got = topk.search(spark.createDataFrame(asked, T), df, 5, exact=True).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, int(r.exact)) for r in got) == want
+    assert all(r.score == (int(r.exact) if -(1 << 63) <= int(r.exact) < 1 << 63 else None) for r in got)
+    assert {200} <= {w[0] for w in want} and any(w[3] > 1 << 64 for w in want)
+
+
+def test_sums_at_the_bound_fit():
+    for dims in (1, 256, 4096):
+        b = topk.bound(dims)
+        q = np.array([[b] * dims, [-b] * dims, [0] * dims], dtype=np.int64)
+        total, less = topk.sums(*topk.slice_block(q), q)
+        rows = np.unpackbits(total.view(np.uint8), axis=-1, bitorder="little").reshape(len(total), 3, -1)[:, :, :3].astype(np.int64)
+        score = (rows * (np.int64(1) << np.arange(len(total), dtype=np.int64))[:, None, None]).sum(axis=0) - less[:, None]
+        assert (score.astype(object) == q.astype(object) @ q.astype(object).T).all()
