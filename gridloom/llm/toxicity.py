@@ -37,6 +37,10 @@ REPORTING = frozenset("said says called wrote writes quote quoted quoting report
 ADDRESS = frozenset("you your youre ya u tu toi vous te ton du dich dein ihr usted tú vosotros".split())
 
 _WORD = re.compile(r"\w+")
+#: Signs that stand for letters inside a word.
+SIGNS = "*!@$#%€£+|"
+_TOKEN = re.compile(rf"\w+(?:[{re.escape(SIGNS)}]+\w+)*")
+_RUN = re.compile(r"(.)\1+")
 _QUOTED = re.compile(r"“[^“”\n]{1,400}”|«[^«»\n]{1,400}»|„[^„“\n]{1,400}“|(?<!\w)\"[^\"\n]{1,400}\"(?!\w)")
 
 
@@ -46,9 +50,13 @@ def edits_for(length: int) -> int:
 
 
 class Automaton:
-    """Deterministic automaton of a lexicon's trie and the Levenshtein automata of its entries, made as it is walked."""
+    """Deterministic automaton of a lexicon's trie and the Levenshtein automata of its entries, made as it is walked.
 
-    def __init__(self, words: list[str], stems: list[str]):
+    With ``swaps`` two neighbouring letters in the wrong order are one edit, not two.
+    """
+
+    def __init__(self, words: list[str], stems: list[str], swaps: bool = False):
+        self.swaps = swaps
         self.children: list[dict[str, int]] = [{}]
         self.word_edits: dict[int, int] = {}
         self.stem_edits: dict[int, int] = {}
@@ -69,11 +77,12 @@ class Automaton:
         self.moves: list[dict[str, int]] = []
         self.ends: list[int | None] = []
         self.states: list[tuple] = []
-        self.dead = self._number({}, None)
-        self.start = self._number({0: 0}, None)
+        self.dead = self._number({}, {}, None)
+        self.start = self._number({0: 0}, {}, None)
 
-    def _number(self, nodes: dict[int, int], done: int | None) -> int:
-        """State for trie nodes with their edits; ``done``: edits of a stem that the word has begun with."""
+    def _number(self, nodes: dict[int, int], half: dict[tuple[int, str], int], done: int | None) -> int:
+        """State for trie nodes with their edits; ``half``: nodes that are reached if the given letter follows, as a swap;
+        ``done``: edits of a stem that the word has begun with."""
         todo = list(nodes.items())
         while todo:  # letters of an entry that the word leaves out
             node, e = todo.pop()
@@ -84,25 +93,30 @@ class Automaton:
         for node, e in nodes.items():
             if node in self.stem_edits and e <= self.stem_edits[node]:
                 done = e if done is None else min(done, e)
-        key = (frozenset(nodes.items()), done)
+        key = (frozenset(nodes.items()), frozenset(half.items()), done)
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
-            self.states.append((nodes, done))
+            self.states.append((nodes, half, done))
             self.moves.append({})
             whole = [e for node, e in nodes.items() if node in self.word_edits and e <= self.word_edits[node]]
             self.ends.append(min([*whole, *([done] if done is not None else [])], default=None))
         return self.numbers[key]
 
     def _move(self, state: int, c: str) -> int:
-        nodes, done = self.states[state]
-        after: dict[int, int] = {}
+        nodes, half, done = self.states[state]
+        after: dict[int, int] = {to: cost for (to, letter), cost in half.items() if letter == c}
+        begun: dict[tuple[int, str], int] = {}
         for node, e in nodes.items():
             steps = [(node, e + 1)] if node else [(0, e + 1)]  # a letter too many
             steps += [(child, e + (x != c)) for x, child in self.children[node].items()]
             for to, cost in steps:
                 if cost <= self.most[to] and after.get(to, 99) > cost:
                     after[to] = cost
-        return self._number(after, done)
+            for x, child in self.children[node].items() if self.swaps else ():
+                to = self.children[child].get(c) if x != c else None
+                if to is not None and e + 1 <= self.most[to] and begun.get((to, x), 99) > e + 1:
+                    begun[to, x] = e + 1
+        return self._number(after, begun, done)
 
     def edits(self, word: str) -> int | None:
         """Edits between the word and the nearest entry, None if none is near enough."""
@@ -135,38 +149,70 @@ class Matcher(dict):
     def __init__(self, model: Model, most: int = 100_000):
         super().__init__()
         self.model, self.most = model, most
-        self.automaton = Automaton(list(model.words), list(model.stems))
+        self.automaton = Automaton(list(model.words), list(model.stems), swaps=True)
 
     def __missing__(self, word: str) -> float | None:
         if len(self) >= self.most:
             self.clear()
         e = self.automaton.edits(word)
+        if e is None and self._disguised(word):
+            e = 1
         out = None if e is None else 1.0 if e == 0 else None if word in self.model.innocent else 0.5
         if len(word) < 64:
             self[word] = out
         return out
 
 
+    def _disguised(self, word: str) -> bool:
+        """Whether a word that no edits explain is an entry with letters repeated, with signs for letters or, of four letters, with two swapped."""
+        edits = self.automaton.edits
+        once = _RUN.sub(r"\1", word)
+        if once != word and len(once) >= 4 and edits(once) == 0:
+            return True
+        if len(word) == 4 and any(edits(word[:i] + word[i + 1] + word[i] + word[i + 2:]) == 0 for i in range(3)):
+            return True
+        signs = sum(c in SIGNS for c in word)
+        if not signs or len(word) < 4 or 2 * signs > len(word):
+            return False
+        open_ = re.compile("".join("." if c in SIGNS else re.escape(c) for c in word))
+        return any(len(w) == len(word) and open_.fullmatch(w) for w in self.model.words) or any(
+            all(a == b or a in SIGNS for a, b in zip(word, s)) for s in self.model.stems if 4 <= len(s) <= len(word))
+
+
+def tokens(text: str, matcher: Matcher) -> list[tuple[int, str]]:
+    """(place, word) in order. A word with signs between its letters stays whole if the matcher knows it, else it is cut at them."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        word = m.group()
+        if word.isalnum() or "_" in word and _WORD.fullmatch(word) or matcher[word] is not None:
+            out.append((m.start(), word))
+        else:
+            out += [(m.start() + w.start(), w.group()) for w in _WORD.finditer(word)]
+    return out
+
+
 #: Sums over the hits of a text; a misspelling counts half, a hit as far as it is not quoted.
 FEATURES = ("constant", "abuse", "quoted", "nearby", "density")
 
 
 def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Features of a text and its hits: (word number, edits > 0, quotation from 0 to 1)."""
-    words = _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    placed = tokens(low, matcher) if any(c in low for c in SIGNS) else None
+    words = [w for _, w in placed] if placed is not None else _WORD.findall(low)
     at = [i for i, w in enumerate(words) if matcher[w] is not None]
     if not at:
         return [1.0, 0.0, 0.0, 0.0, 0.0], []
-    spans = [m.span() for m in _QUOTED.finditer(text.lower())]
+    spans = [m.span() for m in _QUOTED.finditer(low)]
     inside = [False] * len(words)
     if spans:
         k = 0
-        for i, m in enumerate(_WORD.finditer(text.lower())):
-            while k < len(spans) and spans[k][1] <= m.start():
+        for i, start in enumerate([p for p, _ in placed] if placed is not None else (m.start() for m in _WORD.finditer(low))):
+            while k < len(spans) and spans[k][1] <= start:
                 k += 1
             if k == len(spans):
                 break
-            inside[i] = spans[k][0] < m.start()
+            inside[i] = spans[k][0] < start
     hits, quoted, mass = [], 0.0, []
     for i in at:
         near = words[max(0, i - WINDOW): i + WINDOW + 1]
@@ -203,6 +249,8 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = [w for w in _WORD.findall((text or "").lower()) if len(w) < 64]
             seen.update((w, zlib.crc32(v.encode()), toxic) for v, w in zip(["", *words], words))
+            # Words with signs inside, too: what usual texts have of them is no disguise.
+            seen.update((w, 0, toxic) for w in _TOKEN.findall((text or "").lower()) if len(w) < 64 and not _WORD.fullmatch(w))
             if len(seen) > 200_000:
                 yield rows()
                 seen.clear()

@@ -113,3 +113,38 @@ def test_query_on_held_out_rows(spark):
     rows = got.join(labels, "doc_id").filter("held_out").collect()
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and len(rows) > 50
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+
+
+def swapped(a, b):
+    """Edits where two neighbouring letters in the wrong order are one."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_swaps_are_one_edit():
+    a = tox.Automaton(WORDS, STEMS, swaps=True)
+    tried = {w[:i] + w[i + 1] + w[i] + w[i + 2:] for w in WORDS + [s + "xy" for s in STEMS] for i in range(len(w) - 1)}
+    tried |= {w[:i] + w[i + 1] + w[i] + w[i + 2:] for w in tried for i in range(len(w) - 1)}
+    for w in tried:
+        found = [d for x in WORDS if (d := swapped(w, x)) <= tox.edits_for(len(x))]
+        found += [d for s in STEMS for k in range(len(w) + 1) if (d := swapped(w[:k], s)) <= tox.edits_for(len(s))]
+        assert a.edits(w) == min(found, default=None), w
+
+
+def test_disguised_words():
+    m = tox.Matcher(tox.Model(("idiot", "stupid", "loser", "scum"), (), frozenset({"scmu", "x*y"}), ()))
+    for text in ("idoit", "stpuid", "lsoer", "scuum", "looooser", "id!ot", "stup*d", "sc*m", "scu m idiot!you", "csum"):
+        assert len(tox.features(text, m)[1]) == 1, text
+    assert tox.features("scmu x*y a+b user@scam", m)[1] == []
+
+
+def test_swapped_word_is_misspelt(spark, fitted, rows):
+    docs, labels, vocab = fitted
+    df = spark.createDataFrame([(4, "you are r0tten and filhty"), (5, "you are ro*ten and fil!hy")], "doc_id long, text string")
+    got = rows(tox.score(df, tox.fit(docs, labels)))
+    assert [(r["toxicity"]["hits"], r["toxicity"]["misspelt"], r["toxicity"]["score"] >= 0.5) for r in got] == [(2, 2, True)] * 2
