@@ -41,7 +41,7 @@ _WORD = re.compile(r"\w+")
 SIGNS = "*!@$#%€£+|"
 _TOKEN = re.compile(rf"\w+(?:[{re.escape(SIGNS)}]+\w+)*")
 _RUN = re.compile(r"(.)\1+")
-_QUOTED = re.compile(r"“[^“”\n]{1,400}”|«[^«»\n]{1,400}»|„[^„“\n]{1,400}“|(?<!\w)\"[^\"\n]{1,400}\"(?!\w)")
+_MARK = re.compile(r'[“”«»„"]|\n[ \t\r]*\n')
 
 
 def edits_for(length: int) -> int:
@@ -191,6 +191,56 @@ def tokens(text: str, matcher: Matcher) -> list[tuple[int, str]]:
     return out
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans of quotations, in order and apart, of any length.
+
+    A quotation that is not closed ends at its paragraph or where the next one
+    of its kind begins. A straight mark opens where no word ends and closes
+    where none begins, in the same paragraph; the others may close in a later one.
+    """
+    spans: list[tuple[int, int]] = []
+    begun: dict[str, tuple[int, int | None]] = {}  # kind of mark: start, end of the paragraph if that is past
+
+    def close(kind: str, at: int, paired: bool) -> None:
+        start, paragraph = begun.pop(kind)
+        spans.append((start, at if paired or paragraph is None else paragraph))
+
+    def open_(kind: str, at: int) -> None:
+        if kind in begun:
+            close(kind, at, False)
+        begun[kind] = (at, None)
+
+    word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    for m in _MARK.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark[0] == "\n":
+            if '"' in begun:  # the next straight mark may be an opening one
+                close('"', at, False)
+            begun = {k: (start, at if end is None else end) for k, (start, end) in begun.items()}
+        elif mark == '"':
+            if '"' in begun and not word(at + 1):
+                close('"', at + 1, True)
+            elif not word(at - 1):
+                open_('"', at)
+        elif mark == "“" and "„" in begun:
+            close("„", at + 1, True)
+        elif mark in "“«„":
+            open_(mark, at)
+        else:
+            kind = "«" if mark == "»" else "“" if "“" in begun else "„"
+            if kind in begun:
+                close(kind, at + 1, True)
+    for kind in list(begun):
+        close(kind, len(text), False)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 #: Sums over the hits of a text; a misspelling counts half, a hit as far as it is not quoted.
 FEATURES = ("constant", "abuse", "quoted", "nearby", "density")
 
@@ -203,7 +253,7 @@ def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tupl
     at = [i for i, w in enumerate(words) if matcher[w] is not None]
     if not at:
         return [1.0, 0.0, 0.0, 0.0, 0.0], []
-    spans = [m.span() for m in _QUOTED.finditer(low)]
+    spans = quotations(low)
     inside = [False] * len(words)
     if spans:
         k = 0

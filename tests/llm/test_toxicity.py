@@ -148,3 +148,14 @@ def test_swapped_word_is_misspelt(spark, fitted, rows):
     df = spark.createDataFrame([(4, "you are r0tten and filhty"), (5, "you are ro*ten and fil!hy")], "doc_id long, text string")
     got = rows(tox.score(df, tox.fit(docs, labels)))
     assert [(r["toxicity"]["hits"], r["toxicity"]["misspelt"], r["toxicity"]["score"] >= 0.5) for r in got] == [(2, 2, True)] * 2
+
+
+def test_long_quotations():
+    m = tox.Matcher(tox.Model(tuple(WORDS), (), frozenset(), ()))
+    long = "trash " + "words and lines\n" * 60 + "moron"
+    for a, b in ("“”", "«»", "„“", '""'):
+        hits = tox.features(f"He said {a}{long}{b} and left, moron", m)[1]
+        assert [round(h[2], 1) for h in hits] == [1.0, 0.7, 0.0], a
+    hits = tox.features('"trash that is never closed\n\nmoron. “one «two» moron” disgusting 5" trash', m)[1]
+    assert [h[2] > 0.5 for h in hits] == [True, False, True, False, False]
+    assert tox.quotations('a "b "c" d" e') == [(2, 8)] and tox.quotations("") == [] and tox.quotations("x” y» z") == []
