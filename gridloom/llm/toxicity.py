@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import stored
 
-#: Labelled texts that the model is fitted on, at the most (a documented bound), and entries of its lexicon.
-SAMPLE, ENTRIES = 20_000, 2_000
+#: Labelled texts that the model is fitted on, at the most (a documented bound); they bound the lexicon, too.
+SAMPLE = 20_000
 #: Lengths of stems; continuations that make a stem worth more than its words.
 STEM_LENGTHS, CONTINUATIONS = range(3, 9), 3
 #: An entry is at least so many times as frequent in toxic texts.
@@ -290,6 +290,7 @@ def held_out(doc_id: Column) -> Column:
 def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with the word before them (as a checksum), each once per run of rows and kind of text."""
     seen: set[tuple[str, int, int]] = set()
+    letters = 0
 
     def rows() -> pa.RecordBatch:
         words, before, toxic = zip(*seen)
@@ -297,13 +298,15 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = [w for w in _WORD.findall((text or "").lower()) if len(w) < 64]
+            words = _WORD.findall((text or "").lower())
+            letters += len(text or "")
             seen.update((w, zlib.crc32(v.encode()), toxic) for v, w in zip(["", *words], words))
             # Words with signs inside, too: what usual texts have of them is no disguise.
-            seen.update((w, 0, toxic) for w in _TOKEN.findall((text or "").lower()) if len(w) < 64 and not _WORD.fullmatch(w))
-            if len(seen) > 200_000:
+            seen.update((w, 0, toxic) for w in _TOKEN.findall((text or "").lower()) if not _WORD.fullmatch(w))
+            if len(seen) > 200_000 or seen and letters > 1 << 25:
                 yield rows()
                 seen.clear()
+                letters = 0
     if seen:
         yield rows()
 
@@ -344,12 +347,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     stem = F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEM_LENGTHS])).alias("word")
     stems = words.select(stem, "pos", "neg").filter("word is not null").groupBy("word").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") > 0).cast("long")).alias("n"))
-    top = lambda df: [r["word"] for r in df.filter(good).orderBy(F.desc(gain), "word").limit(ENTRIES).collect()]
-    kept: list[str] = []
+    top = lambda df: [r["word"] for r in df.filter(good).orderBy(F.desc(gain), "word").collect()]
+    kept: set[str] = set()
+    begins = lambda w: any(w[:k] in kept for k in STEM_LENGTHS)
     for s in sorted(top(stems.filter(F.col("n") >= CONTINUATIONS)), key=len):
-        if not any(s.startswith(k) for k in kept):
-            kept.append(s)
-    entries = [w for w in top(words.filter(F.length("word") >= 3)) if not any(w.startswith(k) for k in kept)]
+        if not begins(s):
+            kept.add(s)
+    entries = [w for w in top(words.filter(F.length("word") >= 3)) if not begins(w)]
     model = Model(tuple(sorted(entries)), tuple(sorted(kept)), frozenset(), (0.0,) * len(FEATURES))
 
     def suspects(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

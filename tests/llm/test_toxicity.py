@@ -159,3 +159,21 @@ def test_long_quotations():
     hits = tox.features('"trash that is never closed\n\nmoron. “one «two» moron” disgusting 5" trash', m)[1]
     assert [h[2] > 0.5 for h in hits] == [True, False, True, False, False]
     assert tox.quotations('a "b "c" d" e') == [(2, 8)] and tox.quotations("") == [] and tox.quotations("x” y» z") == []
+
+
+def test_large_lexicon_and_long_words(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    name = lambda n: "".join(rng.choice(letters, n))
+    bad, fine = [name(9) for _ in range(2300)] + [name(80)], [name(6) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(1600):
+        rows.append((i, " ".join(rng.choice(fine, 200))))
+        labels.append((i, 1, 0))
+    for i in range(1600, 2000):
+        words = [x for w in rng.permutation(bad)[:900] for x in (rng.choice(fine), w)] + [rng.choice(fine), bad[-1]]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, 1))
+    model = tox.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    known = lambda w: w in model.words or any(w.startswith(s) for s in model.stems)
+    assert len(model.words) > 2000 and all(known(w) for w in bad) and bad[-1] in model.words
