@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, offsets and n_tokens of each document of the mix."""
-    out = bpe.encode(docs, tokenizer_file())
+    """doc_id, ids, offsets and n_tokens of each document of the mix; each is decoded again and must give its text."""
+    out = bpe.encode(docs, tokenizer_file(), check=True)
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

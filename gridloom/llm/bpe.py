@@ -337,9 +337,12 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values.astype(np.int32)))
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", check: bool = False) -> DataFrame:
     """doc_id, ids, offsets: token ids of each whole text and the byte at which each begins.
 
+    ``check`` decodes every text from its ids and offsets again; other bytes
+    than those of the text end the run with an error.
+
     One row per input row, repeated rows too. Null and empty texts have no ids.
     Other columns are not read, whatever their names; an empty table gives no
     rows. ``path`` names a file of ranks that every worker can read.
@@ -350,6 +353,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for batch in it:
             for a, b, texts in _runs(batch, "text"):
                 ids, offsets, counts = e.encode(texts)
+                if check:
+                    data, sizes = e.decode(ids, offsets, counts)
+                    whole = [t.encode() for t in texts]
+                    if data.tobytes() != b"".join(whole) or sizes.tolist() != list(map(len, whole)):
+                        raise ValueError(f"texts do not decode to themselves, among doc_id {batch.column('doc_id').slice(a, b - a).to_pylist()[:100]}")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), _lists(ids, counts), _lists(offsets, counts)], ["doc_id", "ids", "offsets"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

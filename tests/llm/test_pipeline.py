@@ -65,3 +65,50 @@ def test_rows_that_hold_nothing(spark):
         assert stage(spark, odd, SF).count() == 4
     assert pipeline.mix_sources(spark, odd, SF).filter("doc_id = 2").count() == 1
     assert pipeline.encode_texts(spark, odd, SF).count() == 4
+
+
+def test_encoded_texts_are_decoded(spark, docs, monkeypatch):
+    assert run_here(docs.limit(5)) == 5
+    monkeypatch.setattr(bpe, "encoder", lambda path: Faulty(path))
+    with pytest.raises(Exception, match="do not decode to themselves"):
+        run_here(docs.limit(5))
+
+
+class Faulty:
+    """An encoder that decodes one byte wrongly."""
+
+    def __init__(self, path):
+        self.own = bpe.Encoder(bpe.read_ranks(path))
+
+    def encode(self, texts):
+        return self.own.encode(texts)
+
+    def decode(self, *tokens):
+        data, sizes = self.own.decode(*tokens)
+        data[len(data) // 2] ^= 1
+        return data, sizes
+
+
+class Here:
+    """A DataFrame's part that the stage uses, run in this process."""
+
+    def __init__(self, docs):
+        self.docs, self.schema = docs, docs.schema
+
+    def __getitem__(self, name):
+        return self.docs[name]
+
+    def select(self, *columns):
+        self.rows = self.docs.select(*columns).toArrow()
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.out = sum(b.num_rows for b in run(self.rows.to_batches()))
+        return self
+
+    def withColumn(self, *_):  # noqa: N802
+        return self
+
+
+def run_here(docs):
+    return pipeline.encode_texts(None, Here(docs), SF).out
