@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, licenses, mixing, ngram_join, topk, toxicity, url_filter, vector_join, warc
+from gridloom.llm import bpe, chat, licenses, manifest, mixing, ngram_join, topk, toxicity, url_filter, vector_join, warc
 from gridloom.llm.common import LOWER, UPPER, table
 from gridloom.llm.shingles import WORDS
 
@@ -172,3 +172,58 @@ def _(spark, sf):
     path = F.concat_ws("/", F.coalesce("source", F.lit("null")), F.coalesce("lang", F.lit("null")), part, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     files = table(spark, sf, "documents").select("doc_id", path.alias("path"), "text")
     return licenses.scan(files)
+
+
+#: Columns of a leaf of the registered manifest, and the levels that its SQL can climb (16^6 rows a source).
+LEAF, CLIMB = ["doc_id", "source", "lang", "n_chars", "text"], 6
+
+
+def _climb(name: str, levels: int) -> str:
+    """CTEs <name>1, ...: nodes of each level; <name>p1, ...: proof so far and the digest that the claim folds to."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}o{k} as materialized (select tree from {name}{k} group by tree having count(*) > 1),
+{name}{k + 1} as materialized (select tree, place // 16 as place, sha256(string_agg(node, '' order by place)) as node from {name}{k} where tree in (from {name}o{k}) group by 1, 2),
+{name}p{k + 1} as materialized (
+  select p.id, p.tree, p.place // 16 as place, sha256(string_agg(case when s.place = p.place then p.fold else s.node end, '' order by s.place)) as fold,
+    p.proof || coalesce(string_agg(case when s.place <> p.place then s.node end, '' order by s.place), '') as proof
+  from {name}p{k} p join {name}{k} s on s.tree = p.tree and s.place // 16 = p.place // 16 where p.tree in (from {name}o{k}) group by p.id, p.tree, p.place, p.fold, p.proof
+  union all select * from {name}p{k} where tree not in (from {name}o{k}))""")
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in [*[f"d.{c}" for c in LEAF[:-1]], text]) + ")"
+
+
+@query("op13_merkle_manifest", f"""
+with crc as (
+  select doc_id, list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint), lambda c, b:
+    list_reduce(list_transform(range(8), lambda i: i::bigint), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(c, b)), 4294967295::bigint) as c
+  from (select distinct doc_id from documents)),
+d as (
+  select row_number() over () as id, d.doc_id, d.source, {_leaf_sql("d.text")} as leaf,
+    case when xor(c, 4294967295::bigint) % 5 = 0 then {_leaf_sql(f"translate(d.text, '{UPPER}', '{LOWER}')")} end as claim
+  from documents d left join crc on crc.doc_id = d.doc_id),
+m as materialized (
+  select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place from d),
+s0 as materialized (select tree, place, leaf as node from m),
+sp0 as materialized (select id, tree, place, coalesce(claim, leaf) as fold, '' as proof from m),
+{_climb("s", CLIMB)},
+sub as materialized (select tree, node from ({" union all ".join(f"select tree, node from s{k} where tree not in (from so{k})" for k in range(CLIMB))})),
+t0 as materialized (select 0 as tree, tree as place, node from sub),
+tp0 as materialized (select p.id, 0 as tree, p.tree as place, fold, proof from sp{CLIMB} p),
+{_climb("t", CLIMB)},
+top as (select node as root from ({" union all ".join(f"select tree, node from t{k} where tree not in (from to{k})" for k in range(CLIMB))}))
+select m.doc_id, m.leaf, sub.node as subroot, root, sha256(proof) as proof_sha256, fold as folded_root, fold = root as verified
+from m join tp{CLIMB} p using (id) join sub on sub.tree = m.tree, top""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claim = manifest.digest([*LEAF[:-1], F.translate("text", UPPER, LOWER)])
+    out = manifest.build(docs, LEAF, carry={"doc_id": F.col("doc_id"), "claim": F.when(tampered, claim)})
+    proven = out.prove(out.members)
+    root = F.lit(out.root).cast("string")
+    folded = manifest.fold(F.col("proof"), F.coalesce("claim", "leaf"))
+    return proven.select("doc_id", "leaf", "subroot", root.alias("root"), F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
