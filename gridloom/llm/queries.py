@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, licenses, manifest, mixing, ngram_join, topk, toxicity, url_filter, vector_join, warc
+from gridloom.llm import bpe, chat, licenses, manifest, mixing, ngram_join, quality, topk, toxicity, url_filter, vector_join, warc
 from gridloom.llm.common import LOWER, UPPER, table
 from gridloom.llm.shingles import WORDS
 
@@ -227,3 +227,10 @@ def _(spark, sf):
     folded = manifest.fold(F.col("proof"), F.coalesce("claim", "leaf"))
     return proven.select("doc_id", "leaf", "subroot", root.alias("root"), F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
                          folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_quality_rules")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, table(spark, sf, "labels"))
+    return quality.judge(docs, weights).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content")])
