@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, licenses, manifest, mixing, ngram_join, quality, topk, toxicity, url_filter, vector_join, warc
+from gridloom.llm import bpe, chat, lexical, licenses, manifest, mixing, ngram_join, quality, topk, toxicity, url_filter, vector_join, warc
 from gridloom.llm.common import LOWER, UPPER, table
 from gridloom.llm.shingles import WORDS
 
@@ -234,3 +234,25 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     weights = quality.fit(docs, table(spark, sf, "labels"))
     return quality.judge(docs, weights).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content")])
+
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op11_ranked_search", f"""
+with d as (select row_number() over () as id, doc_id, {_TERMS} as t from documents),
+sized as (select id, doc_id, len(t)::bigint as n from d where len(t) > 0),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as total from sized),
+held as materialized (select id, term, count(*)::bigint as tf from (select id, unnest(t) as term from d) group by all),
+asked as materialized (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+  from (select term, count(*)::bigint as df from held where term in (select term from asked) group by 1), whole),
+scored as (
+  select item_id, h.id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::bigint as score
+  from asked join weights using (term) join held h using (term) join sized s on s.id = h.id, whole group by all)
+select item_id, cast(rank as int) as rank, doc_id, score from (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls first) as rank from scored join sized using (id) where score > 0)
+where rank <= 10""")
+def _(spark, sf):
+    index = lexical.build(table(spark, sf, "documents"))
+    return lexical.search(index, table(spark, sf, "benchmark"), 10)
