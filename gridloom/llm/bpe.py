@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,17 +34,49 @@ WHITE_SPACE = (
 #: Endings that are cut off as pieces of their own: an apostrophe and these letters (fixed values of the pattern).
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-_classes: list[np.ndarray] = []
+_ranges: list[list[int]] = []
+_classes: dict[int, np.ndarray] = {}
 
 
-def code_point_classes() -> np.ndarray:
-    """Class of every code point, from the Unicode general category."""
-    if not _classes:
-        kind = {"L": LETTER, "N": NUMBER}
-        out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), dtype=np.uint8, count=sys.maxunicode + 1)
+def class_ranges() -> list[int]:
+    """Where a run of code points of one class begins, and the class, in turn: as the tokenizer library's own Unicode version has them.
+
+    Asked once, on the driver, so that all workers agree whatever their Python:
+    with an encoding in which a letter, a digit or a full stop merges with any
+    byte, the pair is one piece exactly if the library puts the code point into
+    its class.
+    """
+    if not _ranges:
+        import public_tokenizers
+        import tiktoken
+
+        heads = {LETTER: b"a", NUMBER: b"1", OTHER: b"."}
+        ranks = {bytes([i]): i for i in range(256)}
+        for head in heads.values():
+            ranks |= {head + bytes([i]): len(ranks) + i for i in range(256)}
+        ask = tiktoken.Encoding("classes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and c not in WHITE_SPACE]
+        out = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+        for kind, head in ((k, h) for k, h in heads.items() if k != OTHER):
+            low = ranks[head + b"\0"]
+            tokens = np.array(ask.encode_ordinary("".join([f"\n{head.decode()}{chr(c)}" for c in points])))
+            firsts = tokens[np.flatnonzero(tokens[:-1] == 10) + 1]  # what follows each newline: the head, alone or merged
+            out[np.array(points)[(firsts >= low) & (firsts < low + 256)]] = kind
         out[list(WHITE_SPACE)] = BLANK
-        _classes.append(out)
-    return _classes[0]
+        starts = np.flatnonzero(np.diff(out, prepend=255))
+        _ranges.append(np.stack([starts, out[starts]], 1).ravel().tolist())
+    return _ranges[0]
+
+
+def code_point_classes(ranges: list[int] | None = None) -> np.ndarray:
+    """Class of every code point."""
+    ranges = class_ranges() if ranges is None else ranges
+    key = hash(tuple(ranges))
+    if key not in _classes:
+        starts, kinds = np.array(ranges[::2]), np.array(ranges[1::2], dtype=np.uint8)
+        _classes.clear()
+        _classes[key] = np.repeat(kinds, np.diff(np.append(starts, sys.maxunicode + 1)))
+    return _classes[key]
 
 
 # ------------------------------------------------------------- automaton
@@ -106,10 +137,10 @@ _COUNT = len(_VALUES)
 _BLOCK = 64
 
 
-def _symbols(points: np.ndarray, seams: np.ndarray) -> np.ndarray:
+def _symbols(points: np.ndarray, seams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Symbol of each code point; seams are positions between texts."""
     n = len(points)
-    out = code_point_classes()[points]
+    out = classes[points]
     out[seams] = OTHER
     blank = out == BLANK
     blank[seams] = False
@@ -157,13 +188,13 @@ def _scan(symbols: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def piece_bounds(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+def piece_bounds(texts: list[str], classes: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts behind each other, byte offsets at which pieces begin (and the end), pieces per text."""
     n = np.array([len(t) for t in texts], dtype=np.int64)
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     seams = np.cumsum(n + 1) - 1
-    begins = _scan(_symbols(points, seams))
+    begins = _scan(_symbols(points, seams, code_point_classes() if classes is None else classes))
     begins[seams] = False
     inside = np.ones(len(points), dtype=bool)
     inside[seams] = False
@@ -190,9 +221,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder(dict):
     """Cache from a piece to its token ids; a piece that is missing is merged first. Holds ``most`` pieces at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000, ranges: list[int] | None = None):
         super().__init__()
-        self.ranks, self.most = ranks, most
+        self.ranks, self.most, self.classes = ranks, most, code_point_classes(ranges)
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -285,7 +316,7 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, each id's byte offset in its text, ids per text."""
-        data, bounds, per_text = piece_bounds(texts)
+        data, bounds, per_text = piece_bounds(texts, self.classes)
         ids, sizes = self._found(data, bounds)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         pieces = np.concatenate(([0], np.cumsum(per_text)))
@@ -316,10 +347,10 @@ class Encoder(dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file of ranks, made once; the file must be on every worker."""
+def encoder(path: str, ranges: list[int] | None = None) -> Encoder:
+    """The worker's encoder for a file of ranks, made once; the file must be on every worker. Tasks end by clearing its cache."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(read_ranks(path))
+        _ENCODERS[path] = Encoder(read_ranks(path), ranges=ranges)
     return _ENCODERS[path]
 
 
@@ -348,8 +379,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     rows. ``path`` names a file of ranks that every worker can read.
     """
 
+    ranges = class_ranges()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, ranges)
         for batch in it:
             for a, b, texts in _runs(batch, "text"):
                 ids, offsets, counts = e.encode(texts)
@@ -359,6 +392,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                     if data.tobytes() != b"".join(whole) or sizes.tolist() != list(map(len, whole)):
                         raise ValueError(f"texts do not decode to themselves, among doc_id {batch.column('doc_id').slice(a, b - a).to_pylist()[:100]}")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), _lists(ids, counts), _lists(offsets, counts)], ["doc_id", "ids", "offsets"])
+        e.clear()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, offsets array<int>")
@@ -367,8 +401,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, content: the bytes of (doc_id, ids, offsets); null ids give null."""
 
+    ranges = class_ranges()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, ranges)
         for batch in it:
             known = batch.column("ids").is_valid().to_pylist()
             ids, offsets = batch.column("ids").fill_null([]), batch.column("offsets").fill_null([])
@@ -390,8 +426,10 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     """
     import hashlib
 
+    ranges = class_ranges()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, ranges)
         name = e.decimal.__getitem__
         for batch in it:
             for a, b, texts in _runs(batch, "text"):
@@ -404,6 +442,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(counts), pa.array(of_ids), pa.array(of_text)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.clear()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(

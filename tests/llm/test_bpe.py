@@ -34,6 +34,12 @@ def test_odd_texts_together_and_alone():
         check([t])
 
 
+def test_all_code_points():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 100_000):
+        check([f"a{c}a {c}1" for c in points[start: start + 100_000]])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("  \n\t'''sdrevlmt!.aé9_\xa0"), st.characters(codec="utf-8")), max_size=40), min_size=1, max_size=5))
 def test_any_text(texts):
