@@ -92,10 +92,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "links
 FILTER_BYTES = 16 << 20
 
 
+def bits_for(n: float, rate: float) -> float:
+    """Bits that a filter of ``n`` keys needs for a false-positive rate."""
+    return max(64.0, -n * np.log(max(rate, 1e-12)) / np.log(2) ** 2)
+
+
 def bloom_bits(n: int, rate: float) -> tuple[int, int]:
     """Bits (a power of two, within FILTER_BYTES) and hash functions for ``n`` keys at a false-positive rate."""
-    want = max(64.0, -n * np.log(max(rate, 1e-12)) / np.log(2) ** 2)
-    bits = min(1 << int(np.ceil(np.log2(want))), FILTER_BYTES * 8)
+    bits = min(1 << int(np.ceil(np.log2(bits_for(n, rate)))), FILTER_BYTES * 8)
     return bits, int(np.clip(np.ceil(-np.log2(rate)), 1, 16))
 
 
