@@ -284,9 +284,11 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
         rows = [judge(t) for t in texts]
         return pd.DataFrame(rows, columns=new[:6]).astype({"licence": object, "score": "Float64", "start": "Int64", "stop": "Int64", "licence_file": bool})
 
-    kept = [c for c in files.columns if c != text and c not in new]
-    found = files.select(*kept, find(F.col(text)).alias("_f")).select(*kept, "_f.*").withColumn("_dir", directory(F.col(path)))
-    return inherit(stored(found, "licences"), path).drop("_dir")
+    # Other columns travel as one struct, so that no name of theirs is in the way.
+    row = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != text and c not in new])
+    found = files.select(row.alias("row"), F.col(f"`{path}`").alias("path"), find(F.col(f"`{text}`")).alias("found"))
+    found = found.select("row", "path", "found.*").withColumn("_dir", directory(F.col("path")))
+    return inherit(stored(found, "licences")).select("row.*", *new)
 
 
 def directory(path: Column) -> Column:

@@ -118,3 +118,10 @@ def test_windows_are_cosines_and_places(spark):
     assert (name, full, size) == ("MIT", False, 5)
     assert round(score, 8) == round(max(lic.cosine(weights.vector(words[i: i + 5]), t) for i in range(len(words) - 4)), 8)
     assert round(lic.cosine(weights.vector(lic.tokens(text[start: stop])), t), 8) == round(score, 8)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a/x", MIT, 1, 2, 3, 4, "old")], "path string, text string, `_f` int, `a.b` int, `_dir` int, `_own` int, licence string")
+    out = lic.scan(df)
+    assert out.columns[:5] == ["path", "_f", "a.b", "_dir", "_own"] and "text" not in out.columns
+    assert tuple(out.first())[:6] == ("a/x", 1, 2, 3, 4, "MIT")
