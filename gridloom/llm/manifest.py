@@ -205,7 +205,7 @@ def prove(log: list[DataFrame], claims: DataFrame, upper: DataFrame | None = Non
     looked at.
     """
     names = [c for c in claims.columns if c not in ("tree", "place")]
-    packed = claims.select("tree", "place", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("claim"))
+    packed = claims.select("tree", "place", F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(0).alias("none")]).alias("claim"))
     return _prove(log, 0, packed, upper).select("tree", "place", *[F.col("claim")[c].alias(c) for c in names], "proof", "subroot")
 
 
@@ -226,7 +226,7 @@ def _prove(log: list[DataFrame], tier: int, claims: DataFrame, upper: DataFrame
     if upper is not None:  # of trees that end in this table
         paths.append(upper.filter(F.greatest(F.lit(0), F.ceil(height(F.col("n")) / LEVELS) - 1) == tier).select("tree", F.lit(0).cast("long").alias("place"), "proof", "subroot"))
     if tier + 1 < len(log):
-        higher = wanted.select("tree", F.col("block").alias("place"), F.struct(F.lit(0).alias("_")).alias("claim"))
+        higher = wanted.select("tree", F.col("block").alias("place"), F.struct(F.lit(0).alias("none")).alias("claim"))
         paths.append(_prove(log, tier + 1, higher, upper).select("tree", "place", "proof", "subroot"))
     for path in paths:
         rows = rows.union(path.select("tree", F.col("place").alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), none("long").alias("n"),
@@ -277,7 +277,7 @@ def build(rows: DataFrame, columns: list[str], key: str = "doc_id", part: str =
     """
     carry = carry or {}
     leaves = rows.select(F.col(f"`{part}`").alias("part"), F.col(f"`{key}`").alias("key"), F.unhex(digest(columns)).alias("leaf"),
-                         F.struct(F.lit(0).alias("_"), *[c.alias(name) for name, c in carry.items()]).alias("carried"))
+                         F.struct(*[c.alias(name) for name, c in carry.items()] or [F.lit(0).alias("none")]).alias("carried"))
     # A part with a third of the rows is spread by its keys.
     numbered = number_rows(leaves, ["part", "key", "leaf"], "at")
     parts = stored(numbered.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n")), "manifest-parts")
