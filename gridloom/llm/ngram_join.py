@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bloom_bits, bloom_build, bloom_test, bloom_test_numpy, components, mix64, stored
+from gridloom.llm.common import bloom_bits, bloom_build, bloom_test, bloom_test_numpy, components, mix64, slices, stored
 from gridloom.llm.shingles import set_hash, text_sets
 
 #: Similar means: 100 * shared shingles >= PERCENT * all shingles of both.
@@ -225,14 +225,16 @@ def _exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and bitmaps allow enough overlap."""
-    for batch in it:
-        a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
-        i = np.flatnonzero(100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
-        if len(i):
-            left, right = (batch.column(c).take(pa.array(i)).to_pylist() for c in ("left", "right"))
-            k = np.arange(len(i))
-            i = i[_enough(Signatures(left + right).bound(k, k + len(i), na[i], nb[i]), na[i], nb[i])]
-        yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[i])], ["a", "b"])
+    for whole in it:
+        for start, stop in slices(whole.column("na").to_numpy() + whole.column("nb").to_numpy()):
+            batch = whole.slice(start, stop - start)
+            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+            i = np.flatnonzero(100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
+            if len(i):
+                left, right = (batch.column(c).take(pa.array(i)).to_pylist() for c in ("left", "right"))
+                k = np.arange(len(i))
+                i = i[_enough(Signatures(left + right).bound(k, k + len(i), na[i], nb[i]), na[i], nb[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[i])], ["a", "b"])
 
 
 def _likely(pairs: DataFrame, profile: DataFrame) -> DataFrame:

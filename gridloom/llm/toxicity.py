@@ -73,6 +73,10 @@ class Automaton:
             below = [self.most[x] for x in self.children[node].values()]
             self.most[node] = max([*below, self.word_edits.get(node, 0), self.stem_edits.get(node, 0)])
         self.letters = {c for x in self.children for c in x}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all states; they are made again as they are needed."""
         self.numbers: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
         self.ends: list[int | None] = []
@@ -144,16 +148,18 @@ class Model:
 
 
 class Matcher(dict):
-    """Cache from a word to None, or to 1 for an entry and 0.5 for a misspelling; holds a limited number of words."""
+    """Cache from a word to None, or to 1 for an entry and 0.5 for a misspelling; holds a limited number of words and of states."""
 
-    def __init__(self, model: Model, most: int = 100_000):
+    def __init__(self, model: Model, most: int = 100_000, most_states: int = 20_000):
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.most, self.most_states = model, most, most_states
         self.automaton = Automaton(list(model.words), list(model.stems), swaps=True)
 
     def __missing__(self, word: str) -> float | None:
         if len(self) >= self.most:
             self.clear()
+        if len(self.automaton.states) >= self.most_states:
+            self.automaton.forget()
         e = self.automaton.edits(word)
         if e is None and self._disguised(word):
             e = 1
@@ -399,25 +405,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
     """
 
     @F.pandas_udf("score double, hits long, misspelt long, quoted long")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        matcher = _matcher(model)
-        rows = []
-        for t in texts:
-            x, hits = features(t, matcher)
-            z = sum(a * b for a, b in zip(x, model.weights))
-            rows.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(hits), sum(h[1] for h in hits), sum(h[2] > 0.5 for h in hits)))
-        return pd.DataFrame(rows, columns=["score", "hits", "misspelt", "quoted"])
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(model)  # its words and states end with the task
+        for texts in batches:
+            rows = []
+            for t in texts:
+                x, hits = features(t, matcher)
+                z = sum(a * b for a, b in zip(x, model.weights))
+                rows.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(hits), sum(h[1] for h in hits), sum(h[2] > 0.5 for h in hits)))
+            yield pd.DataFrame(rows, columns=["score", "hits", "misspelt", "quoted"])
 
     return docs.withColumn(out, judge(F.col(text)))
-
-
-_MATCHERS: dict[int, tuple[Model, Matcher]] = {}
-
-
-def _matcher(model: Model) -> Matcher:
-    """The worker's matcher for a model, kept between batches and tasks."""
-    key = hash((model.words, model.stems, model.innocent))
-    if key not in _MATCHERS or _MATCHERS[key][0] != model:
-        _MATCHERS.clear()
-        _MATCHERS[key] = (model, Matcher(model))
-    return _MATCHERS[key][1]

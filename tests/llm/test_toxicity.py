@@ -177,3 +177,12 @@ def test_large_lexicon_and_long_words(spark):
     model = tox.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     known = lambda w: w in model.words or any(w.startswith(s) for s in model.stems)
     assert len(model.words) > 2000 and all(known(w) for w in bad) and bad[-1] in model.words
+
+
+def test_states_are_bounded():
+    model = tox.Model(("rotten", "filthy"), ("idiot",), frozenset(), (0.0,) * 5)
+    few, many = tox.Matcher(model, most=5, most_states=20), tox.Matcher(model)
+    words = ["rotten", "roten", "filthy", "filhty", "idiotic", "idoit", "house", "fil", "rottn", "it", "thirty"] * 3
+    for w in words:
+        assert few[w] == many[w]
+        assert len(few.automaton.states) < 20 + 20 and len(few) <= 5
