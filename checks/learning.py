@@ -267,6 +267,43 @@ def _(spark, sf):
     return noise_points(pts, "id", _NEAR, 0.5, 10)
 
 
+_CLUSTERS = f"""
+with recursive pts as materialized ({_POINTS}), pairs as materialized (
+  select a.id, b.id as other from pts a join pts b on b.x between a.x - 0.5 and a.x + 0.5 and b.y between a.y - 0.5 and a.y + 0.5
+    and b.z between a.z - 0.5 and a.z + 0.5 where (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.25),
+core as materialized (select id from pairs group by id having count(*) >= 10),
+links as materialized (select p.id, p.other from pairs p join core c on p.id = c.id join core d on p.other = d.id),
+root(id, label) using key (id) as (select id, id from core
+  union select l.id, min(r.label) from root r join links l on l.other = r.id join recurring.root own on own.id = l.id where r.label < own.label group by l.id),
+numbered as (select id, dense_rank() over (order by label) - 1 as cluster from root),
+labelled as (select p.id, coalesce(n.cluster, b.cluster, -1)::bigint as cluster from pts p left join numbered n using (id)
+  left join (select q.id, min(m.cluster) as cluster from pairs q join numbered m on q.other = m.id group by q.id) b on b.id = p.id)
+"""
+
+
+def _cluster_points(spark, sf):
+    from checks.base import table
+
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    return e.select(i.alias("id"), (F.col("value") / 50).alias("x"), (i * 37 % 500 / F.lit(50.0)).alias("y"), (i * 13 % 60 / F.lit(10.0)).alias("z"))
+
+
+@check("a04_clusters", _CLUSTERS + "select * from labelled")
+def _(spark, sf):
+    from gridloom.operators.density import clusters
+
+    return clusters(_cluster_points(spark, sf), "id", _NEAR, 0.5, 10)
+
+
+@check("a04_cluster_count", _CLUSTERS + "select count(distinct cluster) filter (cluster >= 0) as n_clusters, count(*) filter (cluster = -1) as n_noise from labelled")
+def _(spark, sf):
+    from gridloom.operators.density import clusters
+
+    found = clusters(_cluster_points(spark, sf), "id", _NEAR, 0.5, 10)
+    inside = F.when(F.col("cluster") >= 0, F.col("cluster"))
+    return found.agg(F.count_distinct(inside).alias("n_clusters"), F.count_if(F.col("cluster") == -1).alias("n_noise"))
+
+
 @check("a04_density_flags")
 def _(spark, sf):
     df, columns = _prepared(spark, sf)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.rounding import half_even
-from gridloom.operators.density import noise_points
+from gridloom.operators.density import clusters, noise_points
 from gridloom.operators.encode import Scaler, fit_pca, fit_scaler
 from gridloom.operators.forest import isolation_flags
 from gridloom.operators.quantiles import quantiles
@@ -52,6 +52,16 @@ def density_flags(
     return df.join(noise, key, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
 
 
+def density_clusters(
+    df: DataFrame, key: str, columns: list[str], eps: float = 0.8, min_points: int = 15, components: int = 5, label: str = "dbscan_cluster",
+) -> DataFrame:
+    """(key, label): cluster numbers of density clustering on the first principal axes, -1 for noise."""
+    projection = fit_pca(df, columns, components)
+    axes = [f"_a{i}" for i in range(len(projection.axes))]
+    narrow = df.select(key, *[c.alias(a) for a, c in zip(axes, projection.coordinates())])
+    return clusters(narrow, key, axes, eps, min_points).withColumnRenamed("cluster", label)
+
+
 def boundary_flags(
     df: DataFrame, key: str, columns: list[str], nu: float = 0.05, waves: int = 256, seed: int = 42,
     score: str = "ocsvm_score", flag: str = "ocsvm_anomaly",

@@ -1,4 +1,4 @@
-"""Noise points of density clustering, exactly, without comparing a dense region with itself.
+"""Density clustering, exactly, without comparing a dense region with itself.
 
 Space is cut into cells whose diagonal is ``eps``, so all points of one cell
 are neighbours. A cell with ``min_points`` points is dense: all its points are
@@ -9,19 +9,28 @@ core, none is noise, and nobody compares them. Only points of the other cells
 * dense cells near it, through their bounding boxes. A box wholly within
   ``eps`` counts with all its points, a box wholly outside with none; a box on
   the edge is settled point by point if it holds few points, and is otherwise
-  replaced by the smaller boxes of its points, for up to ``LEVELS`` rounds.
+  replaced by the smaller boxes of its points, until it does.
+
+Clusters are components of cells with core points. Two cells are linked as
+soon as two of their boxes lie within ``eps`` of each other as a whole; pairs
+of boxes on the edge are split as above, and only between cells that nothing
+else has joined yet.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.graph import components
+from gridloom.operators.ordered import number_rows
 from gridloom.session import materialize, spread
 
-LEVELS = 3
+#: Splits of a box at the most: beyond, its points differ by less than a 64-bit number can say.
+LEVELS = 24
 LEAF_POINTS = 256
 BROADCAST_ROWS = 200_000
 
@@ -52,11 +61,18 @@ class _Grid:
 
     def boxes(self, located: DataFrame) -> DataFrame:
         """Point count and bounding box per cell, combined before the shuffle."""
-        return located.groupBy(*self.cells).agg(
+        return located.groupBy(*self.cells).agg(*self.box_columns())
+
+    def box_columns(self) -> list[Column]:
+        return [
             F.count("*").alias("_n"),
             *[F.min(x).alias(f"_lo{i}") for i, x in enumerate(self.coords)],
             *[F.max(x).alias(f"_hi{i}") for i, x in enumerate(self.coords)],
-        )
+        ]
+
+    def cell_array(self, level: int) -> Column:
+        """The cell numbers of ``locate`` as one column."""
+        return F.array(*[F.floor(F.col(x) / F.lit(self.side) * F.lit(float(4**level))) for x in self.coords])
 
     def nearest(self, prefix: str = "p_") -> Column:
         """Squared distance from a probe to the nearest point of a box."""
@@ -109,12 +125,31 @@ class _Grid:
             )
         return out.drop("_room")
 
+    def box_probes(self, boxes: DataFrame) -> DataFrame:
+        """One row per coarse cell that points within eps of a box ``_lo<i>a`` to ``_hi<i>a`` may lie in."""
+        width = self.side * self.reach
+        out = boxes.withColumn("_room", F.lit(self.eps**2 * (1 + 1e-9)))
+        for i, g in enumerate(self.coarse):
+            back, on = F.col(f"_lo{i}a") - F.col(g) * width, (F.col(g) + 1) * width - F.col(f"_hi{i}a")
+            moves = F.array(*[F.struct(F.lit(m).alias("m"), cost.alias("cost")) for m, cost in ((-1, back * back), (0, F.lit(0.0)), (1, on * on))])
+            out = out.withColumn("_m", F.explode(moves)).filter(F.col("_m")["cost"] <= F.col("_room"))
+            out = out.withColumns({g: F.col(g) + F.col("_m")["m"], "_room": F.col("_room") - F.col("_m")["cost"]}).drop("_m")
+        return out.drop("_room")
 
-def noise_points(df: DataFrame, key: str, coords: list[str], eps: float, min_points: int) -> DataFrame:
-    """Keys of the rows that are neither core nor within ``eps`` of a core row.
 
-    A row counts itself among its neighbours; ``key`` is unique.
-    """
+@dataclass
+class _Judged:
+    """All points; those of cells that are not dense; which of these are core at sight; the others with what they were found to be."""
+
+    grid: _Grid
+    points: DataFrame
+    candidates: DataFrame
+    settled: DataFrame
+    judged: DataFrame
+
+
+def _judge(df: DataFrame, key: str, coords: list[str], eps: float, min_points: int) -> _Judged:
+    """Tells core points from others; a point of a dense cell is core without a comparison."""
     grid = _Grid(coords, eps)
     points = materialize(grid.locate(df.select(key, *coords)), "density-points")
     cells = grid.boxes(points).withColumns(grid.coarse_columns())
@@ -143,7 +178,8 @@ def noise_points(df: DataFrame, key: str, coords: list[str], eps: float, min_poi
     from_sparse = materialize(_pairs(grid.probes(rest, key), targets, grid, limit), "density-sparse")
     unsure = _without(rest, from_sparse.filter(F.col("_sparse") >= min_points), key)
     unsure = spread(materialize(unsure, "density-unsure"))
-    from_dense = _dense_neighbours(points, dense, grid.probes(unsure, key), grid, key, limit)
+    met = _met(points, dense.withColumn("_node", F.lit(0)), grid.probes(unsure, key), grid, key, limit)
+    from_dense = met.groupBy("p_key").agg(F.sum("_n").alias("_dense"))
     judged = materialize(
         rest.join(from_sparse, F.col(key) == from_sparse["p_key"], "left").drop("p_key")
         .join(from_dense, F.col(key) == from_dense["p_key"], "left").drop("p_key")
@@ -151,13 +187,100 @@ def noise_points(df: DataFrame, key: str, coords: list[str], eps: float, min_poi
         .withColumn("_core", F.coalesce("_sparse", F.lit(0).cast("long")) + F.col("_dense") >= min_points),
         "density-judged",
     )
-    by_own_cell = candidates.join(settled, F.col(key) == F.col("p_key"), "left_semi").select(*grid.coarse, *coords)
-    core = by_own_cell.unionByName(judged.filter("_core").select(*grid.coarse, *coords))
-    open_ = judged.filter(~F.col("_core") & (F.col("_dense") == 0)).select(key, *coords, *grid.cells)
+    return _Judged(grid, points, candidates, settled, judged)
+
+
+def noise_points(df: DataFrame, key: str, coords: list[str], eps: float, min_points: int) -> DataFrame:
+    """Keys of the rows that are neither core nor within ``eps`` of a core row.
+
+    A row counts itself among its neighbours; ``key`` is unique.
+    """
+    found = _judge(df, key, coords, eps, min_points)
+    grid, limit = found.grid, F.lit(eps * eps)
+    by_own_cell = found.candidates.join(found.settled, F.col(key) == F.col("p_key"), "left_semi").select(*grid.coarse, *coords)
+    core = by_own_cell.unionByName(found.judged.filter("_core").select(*grid.coarse, *coords))
+    open_ = found.judged.filter(~F.col("_core") & (F.col("_dense") == 0)).select(key, *coords, *grid.cells)
     reached = grid.probes(open_, key).join(core, list(grid.coarse)).filter(grid.distance() <= limit)
     return open_.select(key).join(reached.select(F.col("p_key").alias(key)).distinct(), key, "left_anti")
 
 
+def clusters(df: DataFrame, key: str, coords: list[str], eps: float, min_points: int) -> DataFrame:
+    """(key, cluster): the number of each row's cluster, -1 for noise.
+
+    Clusters are numbered from 0 by their smallest core key. A row that is not
+    core but within ``eps`` of core rows of several clusters belongs to the one
+    with the smallest number. ``key`` is a unique integer.
+    """
+    found = _judge(df, key, coords, eps, min_points)
+    grid, limit = found.grid, F.lit(eps * eps)
+    others = found.judged.filter(~F.col("_core")).select(key, *coords, *grid.cells)
+    core = found.points.join(others.select(key), key, "left_anti")
+    nodes = core.groupBy(*grid.cells).agg(F.min(key).alias("_node"), *grid.box_columns()).withColumns(grid.coarse_columns())
+    nodes = materialize(nodes, "density-nodes")
+    core = materialize(core.join(_small(nodes.select(*grid.cells, "_node")), grid.cells).select(key, *coords, "_node"), "density-core")
+    linked = components(_core_links(nodes, core, grid, limit, key), "density")
+    named = nodes.select("_node").join(linked.toDF("_node", "_root"), "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    named = materialize(named, "density-roots")
+    numbered = number_rows(named.select("_root").distinct(), ["_root"], "cluster")
+    named = materialize(named.join(_small(numbered), "_root").select("_node", "cluster"), "density-clusters")
+    inner = core.join(_small(named), "_node").select(key, "cluster")
+    met = _met(core.select(key, *coords), nodes.drop(*grid.coarse).withColumns(grid.coarse_columns()), grid.probes(others, key), grid, key, limit)
+    border = met.select("p_key", "_node").distinct().join(_small(named), "_node").groupBy("p_key").agg(F.min("cluster").alias("cluster"))
+    outer = others.select(key).join(border, F.col(key) == F.col("p_key"), "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return inner.union(outer)
+
+
+def _core_links(nodes: DataFrame, core: DataFrame, grid: _Grid, limit: Column, key: str) -> DataFrame:
+    """Links (a, b) of cells with two core points within eps of each other; enough of them to join all that are joined."""
+    lows, highs = [f"_lo{i}" for i in range(grid.d)], [f"_hi{i}" for i in range(grid.d)]
+
+    def side(boxes: DataFrame, name: str, *more: str) -> DataFrame:
+        return boxes.select(F.col("_node").alias(name), F.col("_n").alias(f"_n{name}"), F.col("_cell").alias(f"_cell{name}"),
+                            *[F.col(c).alias(f"{c}{name}") for c in (*lows, *highs)], *more)
+
+    near = sum([_square(F.greatest(F.col(f"_lo{i}b") - F.col(f"_hi{i}a"), F.col(f"_lo{i}a") - F.col(f"_hi{i}b"), F.lit(0.0))) for i in range(grid.d)], F.lit(0.0))
+    far = sum([_square(F.greatest(F.abs(F.col(f"_hi{i}a") - F.col(f"_lo{i}b")), F.abs(F.col(f"_hi{i}b") - F.col(f"_lo{i}a")))) for i in range(grid.d)], F.lit(0.0))
+    boxes = nodes.withColumn("_cell", F.array(*grid.cells))
+    met = grid.box_probes(side(boxes, "a", *grid.coarse)).join(side(boxes, "b", *grid.coarse), grid.coarse).filter("a < b")
+    met = materialize(met.filter(near <= limit).select(*[c for c in met.columns if c not in grid.coarse], (far <= limit).alias("_inside")), "density-met")
+    links = met.filter("_inside").select("a", "b")
+    edge = met.filter(~F.col("_inside"))
+    if edge.isEmpty():
+        return links
+    # Cells that are joined by now need no closer look.
+    root = components(links, "density-first")
+    for name in "ab":
+        edge = edge.join(_small(root.toDF(name, f"_root{name}")), name, "left").withColumn(f"_root{name}", F.coalesce(f"_root{name}", name))
+    edge = materialize(edge.filter("_roota <> _rootb").drop("_roota", "_rootb", "_inside"), "density-edge")
+    for level in range(LEVELS + 1):
+        few = edge.filter(F.col("_na") * F.col("_nb") <= LEAF_POINTS**2) if level < LEVELS else edge
+        located = core.withColumn("_cell", grid.cell_array(level))
+        both = few.select("a", "b", "_cella", "_cellb")
+        for n in "ab":
+            own = [F.col(c).alias(f"{c}_{n}") for c in grid.coords]
+            both = both.join(located.select(F.col("_node").alias(n), F.col("_cell").alias(f"_cell{n}"), *own), [n, f"_cell{n}"])
+        apart = sum([_square(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in grid.coords], F.lit(0.0))
+        links = links.union(both.filter(apart <= limit).select("a", "b").distinct())
+        edge = edge.filter(F.col("_na") * F.col("_nb") > LEAF_POINTS**2)
+        if level == LEVELS or edge.isEmpty():
+            break
+        wanted = edge.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+        finer = core.join(_small(wanted), "_node", "left_semi").withColumn("_cell", grid.cell_array(level + 1))
+        finer = finer.groupBy("_node", "_cell").agg(*grid.box_columns())
+        finer = materialize(finer.withColumn("_parent", F.transform("_cell", lambda c: F.floor(c / 4))), f"density-finer-{level}")
+        pairs = edge.select("a", "b", F.col("_cella").alias("_pa"), F.col("_cellb").alias("_pb"))
+        pairs = pairs.join(side(finer, "a", F.col("_parent").alias("_pa")), ["a", "_pa"]).join(side(finer, "b", F.col("_parent").alias("_pb")), ["b", "_pb"])
+        met = materialize(pairs.drop("_pa", "_pb").filter(near <= limit).withColumn("_inside", far <= limit), f"density-split-{level}")
+        sure = met.filter("_inside").select("a", "b").distinct()
+        links = links.union(sure)
+        edge = materialize(met.filter(~F.col("_inside")).drop("_inside").join(sure, ["a", "b"], "left_anti"), f"density-open-{level}")
+    return links
+
+
+def _square(x: Column) -> Column:
+    return x * x
+
+
 def _pairs(probes: DataFrame, targets: DataFrame, grid: _Grid, limit: Column) -> DataFrame:
     """Number of targets within eps of each probe."""
     near = probes.join(targets, list(grid.coarse)).filter(grid.distance() <= limit)
@@ -168,22 +291,22 @@ def _without(points: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return points.join(keys, F.col(key) == F.col("p_key"), "left_anti")
 
 
-def _dense_neighbours(points, dense, probes, grid, key, limit) -> DataFrame:
-    """Number of points of dense cells within eps of each probe (absent: none)."""
-    p = ["p_key"] + [f"p_{i}" for i in range(grid.d)]
+def _met(points, cells, probes, grid, key, limit) -> DataFrame:
+    """(p_key, _node, _n): numbers of points within eps of each probe, in parts, with the ``_node`` of their cell."""
+    p = ["p_key"] + [f"p_{i}" for i in range(grid.d)] + ["_node"]
     box = [f"_h{i}" for i in range(grid.d)]  # cell numbers of a box on its level
-    met = probes.join(dense.withColumnsRenamed(dict(zip(grid.cells, box))), list(grid.coarse))
+    met = probes.join(cells.withColumnsRenamed(dict(zip(grid.cells, box))), list(grid.coarse))
     counted = []
     for level in range(LEVELS + 1):
         met = met.filter(grid.nearest() <= limit).select(*p, *box, "_n", (grid.farthest() <= limit).alias("_inside"))
         met = materialize(met, f"density-boxes-{level}")
-        counted.append(met.filter("_inside").select("p_key", "_n"))
+        counted.append(met.filter("_inside").select("p_key", "_node", "_n"))
         edge = met.filter(~F.col("_inside"))
         # Small boxes are settled point by point, and so is what the last level leaves.
         few = edge.filter(F.col("_n") <= LEAF_POINTS) if level < LEVELS else edge
         located = grid.locate(points.select(key, *grid.coords), level).withColumnsRenamed(dict(zip(grid.cells, box)))
         hits = located.join(_small(few.select(*p, *box)), box).filter(grid.distance() <= limit)
-        counted.append(hits.groupBy("p_key").agg(F.count("*").alias("_n")))
+        counted.append(hits.groupBy("p_key", "_node").agg(F.count("*").alias("_n")))
         edge = edge.filter(F.col("_n") > LEAF_POINTS).select(*p, *box)
         if level == LEVELS or edge.isEmpty():
             break
@@ -191,16 +314,13 @@ def _dense_neighbours(points, dense, probes, grid, key, limit) -> DataFrame:
         finer = grid.locate(points.select(key, *grid.coords), level + 1).withColumns(parent)
         finer = grid.boxes(finer.join(_small(edge.select(*box).distinct()), box, "left_semi")).withColumns(parent)
         met = edge.join(finer, box).drop(*box).withColumnsRenamed(dict(zip(grid.cells, box)))
-    return _sum(counted)
+    out = counted[0]
+    for part in counted[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _small(df: DataFrame) -> DataFrame:
     """Mark a counted small table for broadcast."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-
-def _sum(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("p_key").agg(F.sum("_n").alias("_dense"))

@@ -30,6 +30,69 @@ def test_noise_equals_brute_force(spark, monkeypatch, d, leaf):
     assert got == want and 0 < len(want) < len(x)
 
 
+def _brute_clusters(x: np.ndarray, eps: float, least: int) -> list[int]:
+    near = sum((x[:, None, i] - x[None, :, i]) ** 2 for i in range(x.shape[1])) <= eps * eps
+    core = near.sum(axis=1) >= least
+    out, cluster = np.full(len(x), -1), 0
+    for start in range(len(x)):
+        if not core[start] or out[start] >= 0:
+            continue
+        todo = [start]
+        out[start] = cluster
+        while todo:
+            for k in np.flatnonzero(near[todo.pop()] & (out < 0)):
+                out[k] = cluster
+                if core[k]:
+                    todo.append(k)
+        cluster += 1
+    return out.tolist()
+
+
+@pytest.mark.parametrize("leaf, d", [(256, 2), (2, 2), (2, 5)])
+def test_clusters_equal_brute_force(spark, monkeypatch, leaf, d):
+    """Blobs that touch or nearly do, copies, a ring at the radius, a thin cloud; small leaves force splits."""
+    monkeypatch.setattr(density, "LEAF_POINTS", leaf)
+    rng = np.random.default_rng(d)
+    blobs = [rng.normal(0, 0.08, (60, d)) + np.eye(d)[0] * c for c in (0, 0.6, 1.3, 3.0)]
+    copies = np.repeat(rng.normal(-2, 0.01, (2, d)), 20, axis=0)
+    edge = np.zeros((40, d))
+    edge[:, 1] = 5 + np.repeat([0, 0.3], 20) + rng.normal(0, 1e-4, 40)
+    x = rng.permutation(np.vstack([*blobs, copies, edge, rng.uniform(-4, 4, (120, d))]))
+    cols = [f"x{i}" for i in range(d)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(id=range(len(x))))
+    eps = 0.3 if d == 2 else 0.5
+    got = {r["id"]: r["cluster"] for r in density.clusters(df, "id", cols, eps, 8).collect()}
+    want = _brute_clusters(x, eps, 8)
+    assert [got[i] for i in range(len(x))] == want
+    assert max(want) >= 2 and -1 in want
+
+
+def test_clusters_of_nothing_and_of_noise(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 9.0)], "id long, x double")
+    assert {tuple(r) for r in density.clusters(df, "id", ["x"], 0.5, 2).collect()} == {(1, -1), (2, -1)}
+    assert density.clusters(df.limit(0), "id", ["x"], 0.5, 2).count() == 0
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from gridloom.operators.graph import components
+
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)] + [(int(a), int(b)) for a, b in rng.integers(400, 460, (40, 2))]
+    parent = {}
+
+    def root(a):
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {a: root(a) for a in parent}
+
+
 def test_isolation_forest_finds_the_far_rows(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 1, (970, 3)), rng.normal(9, 1, (30, 3))])
