@@ -55,6 +55,54 @@ def _(spark, sf):
     return spark.read.parquet(path).select("reading_id", "total_load_mw", "year", "month")
 
 
+@check("s04_persisted_table", with_sql("""
+select reading_id, total_load_mw + 1 as total_load_mw, blackout, case when blackout = 1 then reading_id end as blackout_id from grid_readings"""))
+def _(spark, sf):
+    """The table is written, then read, extended and written again under its own name; its view follows."""
+    from gridloom.sources import tables
+
+    name = f"checked_{uuid.uuid4().hex}.grid_readings"
+    spark.sql(f"CREATE DATABASE {name.split('.')[0]} LOCATION '{_folder(spark, 'database')}'")
+    df = readings(spark, sf)
+    tables.register(df.filter("reading_id % 3 > 0"), persist=True, name=name)
+    tables.register(spark.table(name).unionByName(df.filter("reading_id % 3 = 0")), persist=True, name=name)
+    tables.register(spark.table(name).withColumn("total_load_mw", F.col("total_load_mw") + 1), persist=True, name=name)
+    events = spark.table("v_blackout_events").groupBy("datetime", "region", "city", "total_load_mw").agg(F.count("*").alias("n"))
+    out = spark.table(name)
+    out = out.join(events, ["datetime", "region", "city", "total_load_mw"], "left")
+    seen = F.when((F.col("blackout") == 1) & F.col("n").isNotNull(), F.col("reading_id"))
+    return out.select("reading_id", "total_load_mw", "blackout", seen.alias("blackout_id"))
+
+
+@check("s08_comparison_table")
+def _(spark, sf):
+    """Metrics of two models, written as CSV and read again."""
+    from checks.learning import _models, features
+    from gridloom.operators import models
+
+    path = _folder(spark, "comparison")
+    done = models.compare_classifiers(
+        features(spark, sf), models.BLACKOUT_FEATURES, "blackout", "reading_id", names=["logistic_regression", "catboost"], store=_models(spark, sf))
+    models.save_comparison(done, path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+@check("s09_stored_model")
+def _(spark, sf):
+    """A model is stored and loaded; both give each test row the same score."""
+    from checks.learning import _models, features
+    from gridloom.operators import models
+    from gridloom.operators.sampling import stratified_split
+
+    path, rows = _folder(spark, "model"), features(spark, sf)
+    best = models.compare_classifiers(rows, models.BLACKOUT_FEATURES, "blackout", "reading_id", names=["catboost"], store=_models(spark, sf)).best
+    models.save_model(best, path, {"metric": "f1_score"})
+    test = stratified_split(rows, "reading_id", "blackout")[1]
+    again, about = models.load_model(spark, path)
+    both = best.predict(test).select("reading_id", F.col("score").alias("before")).join(again.predict(test).select("reading_id", "score"), "reading_id")
+    return both.select("reading_id", "score", (F.col("score") == F.col("before")).alias("same"), F.lit(about["metric"]).alias("metric"))
+
+
 def _next(c: str, digits: int = 6) -> str:
     onward = "over (order by datetime, reading_id rows between current row and unbounded following)"
     return f"{even(f'coalesce(first_value({c} ignore nulls) {onward}, 0.0::double)', digits)} as {c}"

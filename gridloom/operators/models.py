@@ -9,13 +9,15 @@ from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.boosting import BoostedTrees, Boosting
+from gridloom.operators.boosting import fit as fit_boosted
 from gridloom.operators.encode import Scaler, class_weights, feature_matrix, fit_scaler
 from gridloom.operators.metrics import classification_metrics, regression_metrics
 from gridloom.operators.sampling import chronological_split, stratified_split
@@ -41,15 +43,8 @@ class Preset:
     scaled: bool = False
 
 
-def _boosted(trees: int, depth: int, rate: float, rows: float = 1.0, features: str = "all") -> GBTClassifier:
-    return GBTClassifier(
-        maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows, featureSubsetStrategy=features,
-        seed=SEED, labelCol="label", featuresCol="features", maxMemoryInMB=512,
-    )
-
-
 def classifier_presets(trees: int = 200, n_rows: int | None = None) -> dict[str, Preset]:
-    """Six classifiers; the boosted ones are one Spark learner in four configurations.
+    """Six classifiers; the boosted ones grow by variance, by level, by leaf and in symmetric levels.
 
     ``n_rows`` is the total training weight: the linear penalty is 1 / (C * n).
     """
@@ -66,10 +61,10 @@ def classifier_presets(trees: int = 200, n_rows: int | None = None) -> dict[str,
                 featuresCol="features", maxMemoryInMB=512,
             ), "balanced",
         ),
-        "gradient_boosting": Preset(_boosted(trees, 5, 0.05, 0.8)),
-        "xgboost": Preset(_boosted(trees, 6, 0.05, 0.8, "0.8"), 5.0),
-        "lightgbm": Preset(_boosted(trees, 6, 0.05, 1.0, "0.8"), "balanced"),
-        "catboost": Preset(_boosted(trees, 6, 0.05), "balanced"),
+        "gradient_boosting": Preset(Boosting(trees, 0.05, 5, "variance", rows=0.8)),
+        "xgboost": Preset(Boosting(trees, 0.05, 6, "level", rows=0.8, columns=0.8, least_weight=1.0), 5.0),
+        "lightgbm": Preset(Boosting(trees, 0.05, 6, "leaf", leaves=31, columns=0.8, ridge=0.0, least_rows=20, least_weight=1e-3), "balanced"),
+        "catboost": Preset(Boosting(trees, 0.05, 6, "symmetric", ridge=3.0), "balanced"),
     }
 
 
@@ -81,16 +76,13 @@ def ensemble_presets(trees: int = 100) -> dict[str, Preset]:
                 numTrees=trees, maxDepth=DEEPEST, seed=SEED, labelCol="label", featuresCol="features", maxMemoryInMB=512,
             ), "balanced",
         ),
-        "xgb": Preset(_boosted(trees, 6, 0.3), 5.0),
-        "lgb": Preset(_boosted(trees, 6, 0.1), "balanced"),
+        "xgb": Preset(Boosting(trees, 0.3, 6, "level", least_weight=1.0), 5.0),
+        "lgb": Preset(Boosting(trees, 0.1, DEEPEST, "leaf", leaves=31, ridge=0.0, least_rows=20, least_weight=1e-3), "balanced"),
     }
 
 
 def regressor_presets(trees: int = 200, n_rows: int | None = None, label_std: float = 1.0) -> dict[str, Preset]:
     """Four regressors. Spark divides the linear penalty by the label's deviation, hence ``label_std``."""
-    boosted = GBTRegressor(
-        maxIter=trees, maxDepth=6, stepSize=0.05, seed=SEED, labelCol="label", featuresCol="features", maxMemoryInMB=512
-    )
     return {
         "ridge": Preset(
             LinearRegression(
@@ -104,8 +96,8 @@ def regressor_presets(trees: int = 200, n_rows: int | None = None, label_std: fl
                 maxMemoryInMB=512,
             )
         ),
-        "xgboost_reg": Preset(boosted),
-        "lightgbm_reg": Preset(boosted.copy({boosted.maxBins: 64})),
+        "xgboost_reg": Preset(Boosting(trees, 0.05, 6, "level", least_weight=1.0, loss="squared")),
+        "lightgbm_reg": Preset(Boosting(trees, 0.05, 6, "leaf", leaves=31, ridge=0.0, least_rows=20, least_weight=1e-3, loss="squared")),
     }
 
 
@@ -115,7 +107,7 @@ class Trained:
 
     name: str
     features: list[str]
-    model: PipelineModel
+    model: PipelineModel | BoostedTrees
     scaler: Scaler | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -157,7 +149,11 @@ def train(train_df: DataFrame, features: list[str], target: str, preset: Preset,
     if preset.weights is not None:
         positive = None if preset.weights == "balanced" else preset.weights
         rows = class_weights(rows, "label", "weight", positive)
-        estimator = estimator.copy({estimator.weightCol: "weight"})
+        if not isinstance(estimator, Boosting):
+            estimator = estimator.copy({estimator.weightCol: "weight"})
+    if isinstance(estimator, Boosting):
+        weight = None if preset.weights is None else "weight"
+        return Trained(name, list(features), fit_boosted(rows, list(features), "label", estimator, weight))
     inputs = [f"_s_{f}" for f in features] if scaler else list(features)
     stages = [VectorAssembler(inputCols=inputs, outputCol="features"), estimator]
     return Trained(name, list(features), Pipeline(stages=stages).fit(_scaled(rows, features, scaler)), scaler)
@@ -183,8 +179,10 @@ def feature_importance(trained: Trained | Ensemble, spark: SparkSession, rows: i
     """Largest tree importances or absolute coefficients; of an ensemble, those of its first member."""
     if isinstance(trained, Ensemble):
         trained = trained.members[0]
-    fitted = trained.model.stages[-1]
-    if hasattr(fitted, "featureImportances"):
+    fitted = trained.model if isinstance(trained.model, BoostedTrees) else trained.model.stages[-1]
+    if isinstance(fitted, BoostedTrees):
+        values = fitted.importances
+    elif hasattr(fitted, "featureImportances"):
         values = fitted.featureImportances.toArray()
     elif hasattr(fitted, "coefficients"):
         values = abs(fitted.coefficients.toArray())
@@ -329,10 +327,13 @@ def save_model(model: Trained | Ensemble, path: str, metadata: dict | None = Non
     members = model.members if isinstance(model, Ensemble) else [model]
     spark = SparkSession.active()
     for i, member in enumerate(members):
-        member.model.write().overwrite().save(f"{path}/member-{i}")
+        if isinstance(member.model, BoostedTrees):
+            member.model.save(spark, f"{path}/member-{i}")
+        else:
+            member.model.write().overwrite().save(f"{path}/member-{i}")
     about = {
         "name": model.name, "features": model.features, "ensemble": isinstance(model, Ensemble),
-        "members": [{"name": m.name, "scaler": m.scaler.stats if m.scaler else None} for m in members],
+        "members": [{"name": m.name, "scaler": m.scaler.stats if m.scaler else None, "boosted": isinstance(m.model, BoostedTrees)} for m in members],
     }
     row = spark.createDataFrame([(json.dumps(about), json.dumps(metadata or {}))], "about string, metadata string")
     row.withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
@@ -343,7 +344,8 @@ def load_model(spark: SparkSession, path: str) -> tuple[Trained | Ensemble, dict
     about = json.loads(row["about"])
     members = [
         Trained(
-            m["name"], about["features"], PipelineModel.load(f"{path}/member-{i}"),
+            m["name"], about["features"],
+            BoostedTrees.load(spark, f"{path}/member-{i}") if m.get("boosted") else PipelineModel.load(f"{path}/member-{i}"),
             Scaler({c: tuple(s) for c, s in m["scaler"].items()}) if m["scaler"] else None,
         )
         for i, m in enumerate(about["members"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,34 @@ def overload_events(df: DataFrame) -> DataFrame:
     )
 
 
-def register(df: DataFrame, persist: bool = False) -> None:
-    """Register the readings and their two event views, replacing older ones."""
+def register(df: DataFrame, persist: bool = False, name: str = READINGS) -> None:
+    """Register the readings and their two event views, replacing older ones.
+
+    With ``persist`` the readings become a table in the catalog. They are
+    written beside the old table first, so ``df`` may read that table (to extend
+    it, say), and then take its place; a reader that has opened the old table
+    must ask for it again. A temporary view of that name no longer hides the table.
+    """
     if persist:
-        df.write.mode("overwrite").saveAsTable(READINGS)
-        df = df.sparkSession.table(READINGS)
+        spark = df.sparkSession
+        staged, old = f"{name}_next_{uuid.uuid4().hex}", f"{name}_old_{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").saveAsTable(staged)
+        if "." not in name:
+            spark.catalog.dropTempView(name)
+        there = spark.catalog.tableExists(name)
+        if there:
+            spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+        try:
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        except Exception:
+            if there:
+                spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+            raise
+        if there:
+            spark.sql(f"DROP TABLE {old}")
+        df = spark.table(name)
     else:
-        df.createOrReplaceTempView(READINGS)
+        df.createOrReplaceTempView(name)
     blackout_events(df).createOrReplaceTempView("v_blackout_events")
     overload_events(df).createOrReplaceTempView("v_overload_events")
 

@@ -1,6 +1,7 @@
 """Inputs that earlier gave wrong or lost rows."""
 
 import datetime as dt
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,7 +89,8 @@ def test_spread_computes_nothing(spark, folder):
 
 def test_presets(spark):
     assert models.regressor_presets(200)["random_forest_reg"].estimator.getFeatureSubsetStrategy() == "all"
-    assert models.classifier_presets(200)["lightgbm"].estimator.getSubsamplingRate() == 1.0
+    assert models.classifier_presets(200)["lightgbm"].estimator.rows == 1.0
+    assert len({models.classifier_presets()[n].estimator.grow for n in ("gradient_boosting", "xgboost", "lightgbm", "catboost")}) == 4
     assert models.ensemble_presets()["rf"].estimator.getMaxDepth() == 30
 
 
@@ -170,3 +172,23 @@ def test_short_series_keep_their_steps(spark):
         assert forecast.filter("ts is null").count() == 0
         metrics = {r.series_key: r.rmse for r in series.forecast_metrics(test, forecast).collect()}
         assert metrics["long"] < 2 and metrics["tiny"] is None
+
+
+def test_readings_are_extended_in_place_and_seen(spark):
+    """A table that is read and written again, in front of it an older view of the same name."""
+    from gridloom.sources import tables
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS extended LOCATION '" + tempfile.mkdtemp(prefix="run-", dir="/tmp") + "'")
+    columns = "datetime string, region string, city string, total_load_mw double, available_power_mw double, outage_risk double, load_shedding_mw double, event string, temperature double, transformer_temp double, voltage double, frequency double, blackout int, overload int"
+    row = lambda city, n: ("t", "r", city, 1.0 * n, 2.0, 3.0, 0.0, "e", 1.0, 1.0, 1.0, 1.0, 1, 0)
+    spark.sql("USE extended")
+    try:
+        spark.createDataFrame([row("view", 9)], columns).createOrReplaceTempView(tables.READINGS)
+        tables.register(spark.createDataFrame([row("a", 1)], columns), persist=True)
+        assert [r.city for r in spark.table(tables.READINGS).collect()] == ["a"]
+        tables.register(spark.table(tables.READINGS).union(spark.createDataFrame([row("b", 2)], columns)), persist=True)
+        assert sorted(r.city for r in spark.table(tables.READINGS).collect()) == ["a", "b"]
+        assert sorted(r.city for r in spark.table("v_blackout_events").collect()) == ["a", "b"]
+        assert [t.name for t in spark.catalog.listTables("extended") if not t.isTemporary] == [tables.READINGS]
+    finally:
+        spark.sql("USE default")
