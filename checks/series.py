@@ -123,6 +123,12 @@ def _(spark, sf):
     return S.seasonal_forecast(train, test)
 
 
+@check("t04_seasonal_report")
+def _(spark, sf):
+    train, test = S.split_last(S.prepare_series(readings(spark, sf), key="region"), 48)
+    return S.seasonal_report(train, test)
+
+
 @check("t05_window_forecast")
 def _(spark, sf):
     train, test = S.split_last(S.prepare_series(readings(spark, sf), key="region"), 48)

@@ -288,43 +288,138 @@ def _dated(forecast: DataFrame, freq: str) -> DataFrame:
     return forecast.withColumn(TS, F.col("_end") + _step(freq, F.col("step"))).drop("_end", "step")
 
 
-def seasonal_forecast(train: DataFrame, test: DataFrame, season: int = 24, freq: str = "hour") -> DataFrame:
-    """Forecast by a seasonal autoregression on doubly differenced values.
+def _unmoved(x: np.ndarray, a: float, step: int) -> np.ndarray:
+    """e with e[t] + a e[t - step] = x[t], nothing before the first: the inverse as a product of log2(n) shifts."""
+    out, c, k = x.copy(), -a, step
+    while k < len(out):
+        out[k:] = out[k:] + c * out[:-k]
+        c, k = c * c, 2 * k
+    return out
 
-    w = (1 - B)(1 - B^season) y is regressed on its lags 1, season and
-    season + 1; forecasts run recursively and are integrated back. The band is
-    1.96 times the forecast deviation from the impulse weights. A key whose
-    history is too short for the regression gets its steps with null values.
+
+def _shifted(x: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate([np.zeros(min(k, len(x))), x[: max(len(x) - k, 0)]])
+
+
+def _residuals(w: np.ndarray, p: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray]:
+    """One-step errors of the doubly differenced values and their derivatives by the four coefficients.
+
+    (1 - p0 B)(1 - p1 B^season) w = (1 + p2 B)(1 + p3 B^season) e, from the
+    first value that has all its lags; errors before it count as 0.
+    """
+    ar, sar, ma, sma = p
+    late = lambda k: w[season + 1 - k: len(w) - k]
+    filtered = lambda x: _unmoved(_unmoved(x, sma, season), ma, 1)
+    e = filtered(late(0) - ar * late(1) - sar * late(season) + ar * sar * late(season + 1))
+    far = _shifted(e, season + 1)
+    slopes = (late(1) - sar * late(season + 1), late(season) - ar * late(season + 1), _shifted(e, 1) + sma * far, _shifted(e, season) + ma * far)
+    return e, np.stack([-filtered(x) for x in slopes], axis=1)
+
+
+def _first_guess(w: np.ndarray, season: int) -> np.ndarray | None:
+    """Two regressions: a long autoregression for the errors, then lags of values and errors."""
+    lags = [*range(1, 5), season, season + 1, season + 2, 2 * season]
+    top = max(lags)
+    if len(w) < 2 * top + 2 * len(lags):
+        return None
+    past = np.stack([w[top - k: len(w) - k] for k in lags], axis=1)
+    e = w[top:] - past @ np.linalg.lstsq(past, w[top:], rcond=None)[0]
+    v, back = w[top:], season
+    inputs = np.stack([v[back - 1: len(v) - 1], v[: len(v) - back], e[back - 1: len(e) - 1], e[: len(e) - back]], axis=1)
+    return np.clip(np.linalg.lstsq(inputs, v[back:], rcond=None)[0], -0.9, 0.9)
+
+
+def _least_errors(w: np.ndarray, season: int, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Coefficients with the least sum of squared errors, by Gauss-Newton steps from two starts, and that sum."""
+    best = (np.zeros(4), math.inf)
+    for start in (np.zeros(4), _first_guess(w, season)):
+        if start is None:
+            continue
+        p = start
+        e, slopes = _residuals(w, p, season)
+        total = float(e @ e)
+        for _ in range(rounds):
+            step = np.linalg.lstsq(slopes, -e, rcond=None)[0]
+            rate = 1.0
+            while rate > 1e-4:
+                q = p + rate * step
+                if np.abs(q).max() < 0.999:
+                    f, turned = _residuals(w, q, season)
+                    if f @ f < total:
+                        break
+                rate /= 2
+            else:
+                break
+            gained, p, e, slopes, total = total - float(f @ f), q, f, turned, float(f @ f)
+            if gained <= 1e-10 * total:
+                break
+        if total < best[1]:
+            best = (p, total)
+    return best
+
+
+_FIT = "ar double, seasonal_ar double, ma double, seasonal_ma double, sigma2 double, n long, aic double, bic double"
+
+
+def fit_seasonal(train: DataFrame, season: int = 24) -> DataFrame:
+    """(1,1,1) x (1,1,1,season) per key by the conditional sum of squares: coefficients, error variance, AIC, BIC, last errors.
+
+    A key's history is one row per period, so it is fitted in one group. Keys
+    too short for four errors more than the lags are left out; a series that its
+    differences explain in full has coefficients 0 and no AIC.
     """
-    w = _by_time()
-    lag = lambda c, n: F.lag(c, n).over(w)
-    diffed = train.withColumn("_w", F.col(VALUE) - lag(VALUE, 1) - lag(VALUE, season) + lag(VALUE, season + 1))
-    lags = (1, season, season + 1)
-    rows = diffed.withColumn("x", F.array(*[lag("_w", n) for n in lags], F.col("_w"))).filter(
-        F.forall("x", lambda e: e.isNotNull())
-    )
-    sums = gram(rows).groupBy(KEY).agg(F.collect_list(F.struct("i", "j", "s")).alias("sums"), F.max("n").alias("n"))
-    state = _horizon_rows(train, test).join(sums, KEY, "left").join(_tail(train, 2 * (season + 1)), KEY, "left")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(TS)[VALUE].to_numpy(dtype=float)
+        w = y[season + 1:] - y[season:-1] - y[1: -season] + y[: -season - 1] if len(y) > season + 1 else np.empty(0)
+        n = len(w) - season - 1
+        names = [c.split()[0] for c in _FIT.split(", ")]
+        if n < 4 or len(y) < 2 * (season + 1) or np.isnan(w).any():
+            return pd.DataFrame(columns=[KEY, *names, "errors"])
+        scale = float(np.abs(y).max()) or 1.0
+        p, total = (np.zeros(4), 0.0) if np.abs(w).max() <= 1e-9 * scale else _least_errors(w, season)
+        variance = total / n
+        fit_ = n * (math.log(2 * math.pi * variance) + 1) if variance else None
+        criteria = (fit_ + 2 * 5, fit_ + math.log(n) * 5) if fit_ is not None else (None, None)
+        errors = _residuals(w, p, season)[0][-(season + 1):].tolist() if total else []
+        row = dict(zip(names, [*p.tolist(), variance, n, *criteria]))
+        return pd.DataFrame([{KEY: pdf[KEY].iloc[0], **row, "errors": errors}])
+
+    return train.groupBy(KEY).applyInPandas(fit, f"{KEY} string, {_FIT}, errors array<double>")
+
+
+def seasonal_forecast(train: DataFrame, test: DataFrame, season: int = 24, freq: str = "hour", fitted: DataFrame | None = None) -> DataFrame:
+    """Forecast of (1,1,1) x (1,1,1,season) for the rows of ``test``, with a band of 1.96 deviations from the impulse weights.
+
+    ``fitted`` takes stored coefficients of ``fit_seasonal``. Forecasts run
+    recursively on values and errors, future errors being 0. A key whose history is too
+    short to fit gets its steps with null values.
+    """
+    fitted = fit_seasonal(train, season) if fitted is None else fitted
+    state = _horizon_rows(train, test).join(fitted, KEY, "left").join(_tail(train, 2 * (season + 1)), KEY, "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        if row["sums"] is None or row["n"] < 4 or len(row["tail"]) < 2 * (season + 1):
+        if row["errors"] is None or len(row["tail"]) < 2 * (season + 1):
             return _unknown(row, "forecast", "lower", "upper")
-        m = _matrix(pd.DataFrame([tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in row["sums"]], columns=["i", "j", "s"]))
-        n, steps = int(row["n"]), int(row["_steps"])
-        beta, _, rss = _least_squares(m, [0, 1, 2], n)
-        sigma = math.sqrt(rss / max(n - 3, 1))
+        steps = int(row["_steps"])
+
+        def factor(one: float, seasonal: float) -> np.ndarray:
+            out = np.zeros(season + 2)
+            out[0], out[1], out[season], out[season + 1] = 1.0, one, seasonal, one * seasonal
+            return out
+
         # One recursion on y: the autoregression times both differences.
-        ar = np.zeros(season + 2)
-        ar[0], ar[1], ar[season], ar[season + 1] = 1.0, -beta[0], -beta[1], -beta[2]
-        both = np.zeros(season + 2)
-        both[0], both[1], both[season], both[season + 1] = 1.0, -1.0, -1.0, 1.0
-        weights = -np.convolve(ar, both)[1:]
+        weights = -np.convolve(factor(-row["ar"], -row["seasonal_ar"]), factor(-1.0, -1.0))[1:]
+        moving = factor(row["ma"], row["seasonal_ma"])
         values = list(np.asarray(row["tail"], float))
+        errors = [0.0] * (season + 1) + list(np.asarray(row["errors"], float))
         psi = [1.0]
-        for s in range(steps):
-            values.append(float(np.dot(weights, values[-1 : -len(weights) - 1 : -1])))
-            psi.append(float(np.dot(weights[: len(psi)], psi[::-1][: len(weights)])))
+        for h in range(1, steps + 1):
+            shock = sum(moving[k] * errors[len(errors) + h - 1 - k] for k in range(h, season + 2))
+            values.append(float(np.dot(weights, values[-1 : -len(weights) - 1 : -1])) + shock)
+            psi.append(float(np.dot(weights[: len(psi)], psi[::-1][: len(weights)])) + (moving[h] if h < season + 2 else 0.0))
+        sigma = math.sqrt(row["sigma2"] * row["n"] / max(row["n"] - 4, 1))
         band = 1.96 * sigma * np.sqrt(np.cumsum(np.square(psi[:steps])))
         out = np.array(values[-steps:])
         return pd.DataFrame({KEY: row[KEY], "_end": row["_end"], "step": np.arange(1, steps + 1),
@@ -336,6 +431,13 @@ def seasonal_forecast(train: DataFrame, test: DataFrame, season: int = 24, freq:
     return _dated(done, freq)
 
 
+def seasonal_report(train: DataFrame, test: DataFrame, season: int = 24, freq: str = "hour") -> DataFrame:
+    """Coefficients, variance, AIC and BIC per key with MAE, RMSE and MAPE on the held-out rows."""
+    fitted = materialize(fit_seasonal(train, season), "seasonal-fit")
+    metrics = forecast_metrics(test, seasonal_forecast(train, test, season, freq, fitted))
+    return fitted.drop("errors").join(metrics, KEY)
+
+
 def fit_window_ridge(train: DataFrame, lags: int = 24, horizon: int = 6, alpha: float = 0.5) -> DataFrame:
     """Ridge coefficients per key on the lag windows of the 0..1 scaled series.
 

@@ -112,6 +112,69 @@ def test_seasonal_forecast_is_exact_on_a_pure_cycle(spark):
     assert np.allclose(out["forecast"], out["value"], atol=1e-6)
 
 
+def _simulated(n, p, season, seed):
+    """Values of a (1,1,1) x (1,1,1,season) series and its errors."""
+    ar, sar, ma, sma = p
+    rng = np.random.default_rng(seed)
+    e, w = rng.normal(size=n), np.zeros(n)
+    at = lambda x, t: x[t] if t >= 0 else 0.0
+    for t in range(n):
+        w[t] = ar * at(w, t - 1) + sar * at(w, t - season) - ar * sar * at(w, t - season - 1)
+        w[t] += e[t] + ma * at(e, t - 1) + sma * at(e, t - season) + ma * sma * at(e, t - season - 1)
+    y = np.zeros(n)
+    for t in range(n):
+        y[t] = w[t] + at(y, t - 1) + at(y, t - season) - at(y, t - season - 1)
+    return y, w
+
+
+def test_seasonal_coefficients_are_recovered_and_used(spark):
+    # Both pairs add up to 0.9: the nearer to 0, the less a series says about its coefficients.
+    p, season, n = (0.5, 0.6, 0.4, 0.3), 24, 3000
+    y, w = _simulated(n, p, season, 7)
+    ts = pd.date_range("2024-01-01", periods=n, freq="h")
+    df = spark.createDataFrame(pd.DataFrame({"series_key": "a", "ts": ts, "value": y})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    train, test = series.split_last(df, 30)
+    fit = series.fit_seasonal(train).first()
+    got = np.array([fit.ar, fit.seasonal_ar, fit.ma, fit.seasonal_ma])
+    assert np.abs(got - p).max() < 0.08 and abs(fit.sigma2 - 1) < 0.1
+    held = w[25:-30]
+    least = (series._residuals(held, got, 24)[0] ** 2).sum()
+    assert least <= (series._residuals(held, np.array(p), 24)[0] ** 2).sum()
+    assert all(least <= (series._residuals(held, got + d, 24)[0] ** 2).sum() for d in 0.01 * np.vstack([np.eye(4), -np.eye(4)]))
+    # Errors, criteria and forecasts by plain recursion from the coefficients.
+    v = y[:-30]
+    d = v[25:] - v[24:-1] - v[1:-24] + v[:-25]
+    ar, sar, ma, sma = got
+    e = np.zeros(len(d))
+    for t in range(25, len(d)):
+        e[t] = d[t] - ar * d[t - 1] - sar * d[t - 24] + ar * sar * d[t - 25] - ma * e[t - 1] - sma * e[t - 24] - ma * sma * e[t - 25]
+    assert np.allclose(e[-25:], fit.errors, atol=1e-8)
+    m = len(d) - 25
+    assert fit.n == m and fit.sigma2 == pytest.approx((e**2).sum() / m)
+    assert fit.aic == pytest.approx(m * (np.log(2 * np.pi * fit.sigma2) + 1) + 10)
+    assert fit.bic - fit.aic == pytest.approx(5 * np.log(m) - 10)
+    d, e, v = list(d), list(e), list(v)
+    for _ in range(30):
+        d.append(ar * d[-1] + sar * d[-24] - ar * sar * d[-25] + ma * e[-1] + sma * e[-24] + ma * sma * e[-25])
+        e.append(0.0)
+        v.append(d[-1] + v[-1] + v[-24] - v[-25])
+    out = series.seasonal_forecast(train, test).toPandas().sort_values("ts")
+    assert np.allclose(out["forecast"], v[-30:], rtol=1e-6)
+    assert ((out["lower"] < y[-30:]) & (y[-30:] < out["upper"])).mean() > 0.6
+    report = series.seasonal_report(train, test).first()
+    assert report.mae == pytest.approx(np.abs(np.array(v[-30:]) - y[-30:]).mean(), rel=1e-3) and report.aic == pytest.approx(fit.aic)
+
+
+def test_slopes_of_the_errors(spark):
+    _, w = _simulated(200, (0.4, 0.2, -0.3, 0.5), 6, 3)
+    p = np.array([0.3, 0.1, -0.2, 0.4])
+    _, slopes = series._residuals(w, p, 6)
+    for k in range(4):
+        h = np.eye(4)[k] * 1e-6
+        near = (series._residuals(w, p + h, 6)[0] - series._residuals(w, p - h, 6)[0]) / 2e-6
+        assert np.allclose(slopes[:, k], near, atol=1e-5)
+
+
 def test_short_series_are_left_out(spark, sf):
     train, test, ahead = series.forecast_by_key(readings(spark, sf), "city", steps=24, least=700)
     kept = {r[0] for r in train.select("series_key").distinct().collect()}
