@@ -99,6 +99,35 @@ def _(spark, sf):
     return encode.mutual_information(readings(spark, sf), _KBEST, "blackout").select("feature", half_even(F.col("score"), 6).alias("score"))
 
 
+def _psi(x: str) -> str:
+    """Digamma of a whole number, as SQL."""
+    y = f"({x}+10)::double"
+    return f"(ln({y}) - 1/(2*{y}) - 1/(12*{y}*{y}) + 1/(120*{y}*{y}*{y}*{y}) - (" + " + ".join(f"1/({x}+{i})::double" for i in range(10)) + "))"
+
+
+_BESIDE = ", ".join(f"lag(v, {j}) over w as l{j}, lead(v, {j}) over w as h{j}" for j in (1, 2, 3))
+_CLOSER = " + ".join(f"coalesce((v-l{j} < radius)::int, 0) + coalesce((h{j}-v < radius)::int, 0)" for j in (1, 2, 3))
+
+
+@check("m04_neighbour_information", with_sql(f"""
+select feature, {even(f"greatest(0, {_psi('sum(n)')} + sum(n*({_psi('k')} - {_psi('size')} - {_psi('m')}))/sum(n))")} as score from (
+  select a.*, greatest(case when radius = 0 then same.n else coalesce(h.upto, 0) - coalesce(l.upto, 0) end, a.k)::bigint as m
+  from ends a join totals same on a.feature = same.feature and a.v = same.v
+  asof left join totals h on a.feature = h.feature and a.hi > h.v
+  asof left join totals l on a.feature = l.feature and a.lo >= l.v) group by feature""",
+    long=" union all ".join(f"select '{c}' as feature, blackout as y, {c}::double as v from grid_readings" for c in _KBEST),
+    sized="select * from (select *, count(*) over (partition by feature, y) as size from long) where size > 1",
+    beside=f"select *, {_BESIDE} from sized window w as (partition by feature, y order by v)",
+    radii="select *, list_sort([v-l1, v-l2, v-l3, h1-v, h2-v, h3-v], 'ASC', 'NULLS LAST')[least(3, size - 1)] as radius from beside",
+    ends=f"""select feature, y, v, size, radius, count(*) as n, case when radius = 0 then count(*) else max(1 + {_CLOSER}) end as k,
+      max(case when h1-v = radius then h1 when h2-v = radius then h2 when h3-v = radius then h3 else v + radius end) as hi,
+      min(case when v-l1 = radius then l1 when v-l2 = radius then l2 when v-l3 = radius then l3 else v - radius end) as lo from radii group by all""",
+    totals="select feature, v, n, sum(n) over (partition by feature order by v) as upto from (select feature, v, count(*) as n from sized group by all)"))
+def _(spark, sf):
+    out = encode.neighbour_information(readings(spark, sf), _KBEST, "blackout")
+    return out.select("feature", half_even(F.col("score"), 6).alias("score"))
+
+
 @check("m05_pca")
 def _(spark, sf):
     df, columns, _ = anomaly.prepare(with_energy(readings(spark, sf)))

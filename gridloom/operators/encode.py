@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import logging
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ordered import number_rows
+from gridloom.operators.ordered import bounded_windows, number_rows, running_totals
 from gridloom.operators.products import shifts, sums_by_pair
 from gridloom.operators.profile import numeric_columns
 from gridloom.schema import ENCODED_COLUMNS, TASKS, UNSCALED_COLUMNS
@@ -171,13 +172,93 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
     return joint.select("feature", term.alias("t")).groupBy("feature").agg(F.sum("t").alias("score"))
 
 
+def _digamma(n: Column) -> Column:
+    """Digamma of a whole number above 0: ten steps up, then the asymptotic series."""
+    x = n.cast("double") + 10
+    series = F.log(x) - F.lit(1.0) / (2 * x) - F.lit(1.0) / (12 * x * x) + F.lit(1.0) / (120 * x * x * x * x)
+    return series - sum((F.lit(1.0) / (n + i) for i in range(1, 10)), F.lit(1.0) / n)
+
+
+def neighbour_information(
+    df: DataFrame, columns: list[str], label: str, neighbours: int = 3, block_rows: int | None = None,
+) -> DataFrame:
+    """(feature, score): mutual information of numeric features with a class, in nats, by nearest neighbours.
+
+    A value's radius is its distance to the k-th nearest value of its class (k =
+    ``neighbours``, or all others of a smaller class). The score compares how many
+    rows of the class and of the table lie strictly within that radius, itself
+    included (k rows of the class, if none tie), and is never below 0. Where the
+    radius is 0 the copies of the value are counted instead, so columns of few
+    values need no noise to tell equal ones apart. Values that are null or not
+    finite, rows without a class and classes of one row take no part; a feature
+    with no row left gives no row.
+
+    Equal values are counted before anything is sorted. Radii come from the
+    values next to each other in (feature, class, value) order, the numbers
+    within them from running counts over values and interval ends in one order.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    rows = df.select(F.col(label).alias("y"), F.inline(cells)).filter(F.col("y").isNotNull() & (F.abs("v") < math.inf))
+    counted = rows.groupBy("feature", "y", (F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("n"))
+    counted = materialize(counted, "information-values")
+    sizes = counted.groupBy("feature", "y").agg(F.sum("n").alias("size")).filter("size > 1")
+    reach = range(1, neighbours + 1)
+
+    def beside(window) -> dict[str, Column]:
+        shifted = [F.lag(F.struct("v", "n"), j).over(window) for j in reach] + [F.lead(F.struct("v", "n"), j).over(window) for j in reach]
+        return {"near": F.array_compact(F.array(*shifted))}
+
+    found = bounded_windows(counted.join(small(sizes), ["feature", "y"]), ["v"], beside, ["feature", "y"], neighbours, neighbours, block_rows)
+    wanted = F.least(F.lit(neighbours), F.col("size") - 1)
+    far = F.transform("near", lambda e: F.struct(F.abs(e["v"] - F.col("v")).alias("d"), e["v"].alias("v"), e["n"].alias("n")))
+    found = found.withColumn("near", far)
+
+    def rows_within(d: Column) -> Column:
+        return F.aggregate("near", F.col("n") - 1, lambda total, e: total + F.when(e["d"] <= d, e["n"]).otherwise(0))
+
+    reached = F.array_min(F.transform(F.filter("near", lambda e: rows_within(e["d"]) >= wanted), lambda e: e["d"]))
+    found = found.withColumn("radius", F.when(F.col("n") > wanted, 0.0).otherwise(reached))
+    closer = F.aggregate("near", F.col("n"), lambda total, e: total + F.when(e["d"] < F.col("radius"), e["n"]).otherwise(0))
+    found = found.withColumn("k", closer)
+
+    def end(sign: int) -> Column:
+        """Where the radius ends; the neighbour's own value, if it lies there, is free of rounding."""
+        there = F.filter("near", lambda e: (e["d"] == F.col("radius")) & ((e["v"] - F.col("v")) * sign > 0))
+        return F.when(F.col("radius") == 0, F.col("v")).otherwise(F.coalesce(F.get(there, F.lit(0))["v"], F.col("v") + F.col("radius") * sign))
+
+    # At one place come ends that exclude it (0), values (1), ends that include it (2).
+    point = F.col("radius") == 0
+    upper = F.struct(end(1).alias("at"), F.when(point, 2).otherwise(0).alias("turn"), F.lit(1).alias("sign"))
+    lower = F.struct(end(-1).alias("at"), F.when(point, 0).otherwise(2).alias("turn"), F.lit(-1).alias("sign"))
+    ends = found.select("feature", "y", "v", "n", "size", "k", F.inline(F.array(upper, lower))).withColumn("rows", F.lit(0).cast("long"))
+    values = counted.join(small(sizes.select("feature", "y")), ["feature", "y"], "left_semi")
+    values = values.groupBy("feature", "v").agg(F.sum("n").alias("rows")).select("feature", F.col("v").alias("at"), F.lit(1).alias("turn"), "rows")
+    order = ["feature", "at", "turn", "v"]
+    totals = running_totals(ends.unionByName(values, allowMissingColumns=True), order, {"upto": F.col("rows")}, block_rows)
+    met = totals.filter("sign is not null").groupBy("feature", "y", "v").agg(
+        F.max("n").alias("n"), F.max("size").alias("size"), F.max("k").alias("k"), F.sum(F.col("sign") * F.col("upto")).alias("m"))
+    term = _digamma(F.col("k")) - _digamma(F.col("size")) - _digamma(F.greatest("m", "k"))
+    out = met.groupBy("feature").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * term).alias("terms"))
+    return out.select("feature", F.greatest(F.lit(0.0), _digamma(F.col("rows")) + F.col("terms") / F.col("rows")).alias("score"))
+
+
 def select_k_best(df: DataFrame, columns: list[str], label: str, k: int = 20, task: str = "classification") -> DataFrame:
-    """The k features with the highest score, ranked; nulls count as 0."""
+    """The k features with the highest score, ranked; nulls count as 0.
+
+    Scores are F statistics for a classification, else mutual information by
+    neighbours; a label with fractions is then cut into ten classes of equal width.
+    """
     filled = df.fillna(0, subset=list(columns))
     if task == "classification":
         scores = anova_f(filled, columns, label)
     else:
-        scores = mutual_information(filled, columns, label, label_bins=10)
+        if dict(df.dtypes)[label] in ("float", "double"):
+            ends = df.agg(F.struct(F.min(label).alias("lo"), F.max(label).alias("hi")).alias("s")).scalar()
+            held = F.when(F.col(label).isNotNull(), equal_width_bin(F.col(label), ends["lo"], ends["hi"], 10))
+            filled = filled.withColumn("_class", held)
+        else:
+            filled = filled.withColumn("_class", F.col(label))
+        scores = neighbour_information(filled, columns, "_class")
     ranked = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "feature")))
     return ranked.filter(F.col("rank") <= min(k, len(columns)))
 
