@@ -121,7 +121,7 @@ select feature, {even(f"greatest(0, {_psi('sum(n)')} + sum(n*({_psi('k')} - {_ps
     radii="select *, list_sort([v-l1, v-l2, v-l3, h1-v, h2-v, h3-v], 'ASC', 'NULLS LAST')[least(3, size - 1)] as radius from beside",
     ends=f"""select feature, y, v, size, radius, count(*) as n, case when radius = 0 then count(*) else max(1 + {_CLOSER}) end as k,
       max(case when h1-v = radius then h1 when h2-v = radius then h2 when h3-v = radius then h3 else v + radius end) as hi,
-      min(case when v-l1 = radius then l1 when v-l2 = radius then l2 when v-l3 = radius then l3 else v - radius end) as lo from radii group by all""",
+      min(case when v-l1 = radius then l1 when v-l2 = radius then l2 when v-l3 = radius then l3 else v - radius end) as lo from radii group by feature, y, v, size, radius""",
     totals="select feature, v, n, sum(n) over (partition by feature order by v) as upto from (select feature, v, count(*) as n from sized group by all)"))
 def _(spark, sf):
     out = encode.neighbour_information(readings(spark, sf), _KBEST, "blackout")

@@ -1,6 +1,7 @@
 """Mutual information by neighbours against a brute-force estimator."""
 
 import math
+from functools import cache
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from gridloom.operators import encode
 
 
+@cache
 def _psi(n):
     return -0.57721566490153286 + sum(1.0 / i for i in range(1, n))
 
