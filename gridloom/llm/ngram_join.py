@@ -488,7 +488,8 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     df = profile.filter("n > 0").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     # Only components of more than one document need to be looked up.
     least = df.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows")).filter("_rows > 1").select("comp", "least")
-    df = df.join(least, "comp", "left")
+    # As a written table of known size it is broadcast if small; else adaptive planning may split a hot component's documents.
+    df = df.join(stored(least, "ngram-least"), "comp", "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")]
     if not count_links:
         return df.select(*columns).union(bare.drop("n_links"))
