@@ -110,10 +110,15 @@ def _neighbours(
     numbered = _positions(df, by + order, index)
     size = _block_rows(numbered, 1, block_rows)
     blocked = numbered.withColumn("_block", (F.col("_idx") / F.lit(size)).cast("long"))
+    # Value and time apart: buffers of fixed width are kept in a hash table, structs would be sorted.
+    known = {c: F.when(F.col(c).isNotNull(), F.col("_idx")) for c in columns}
+    parts = {c: {"v": F.col(c), "t": F.col(ts) if ts else F.lit(0)} for c in columns}
+    edges = {"first": F.min_by} | ({"last": F.max_by} if backward else {})
     ends = blocked.groupBy("_block", *by).agg(
-        *[F.min_by(_anchor(ts, c), F.when(F.col(c).isNotNull(), F.col("_idx"))).alias(f"_first_{c}") for c in columns],
-        *[F.max_by(_anchor(ts, c), F.when(F.col(c).isNotNull(), F.col("_idx"))).alias(f"_last_{c}") for c in columns],
-    )
+        *[pick(x, known[c]).alias(f"_{edge}_{p}_{c}") for c in columns for edge, pick in edges.items() for p, x in parts[c].items()])
+    ends = ends.select("_block", *by, *[
+        F.when(F.col(f"_{edge}_v_{c}").isNotNull(), F.struct(F.col(f"_{edge}_t_{c}").alias("t"), F.col(f"_{edge}_v_{c}").alias("v"))).alias(f"_{edge}_{c}")
+        for c in columns for edge in edges])
     # One row per block and key: at most MAX_BLOCKS rows per key.
     behind = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
