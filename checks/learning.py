@@ -277,6 +277,14 @@ def _(spark, sf):
     return anomaly.boundary_flags(df, "reading_id", columns).select("reading_id", "ocsvm_score", "ocsvm_anomaly")
 
 
+@check("a03_one_class_machine")
+def _(spark, sf):
+    from gridloom.operators.boundary import one_class_flags
+
+    df, columns = _prepared(spark, sf)
+    return one_class_flags(df, "reading_id", columns).select("reading_id", "ocsvm_score", "ocsvm_anomaly")
+
+
 _NEAR = ["x", "y", "z"]
 _POINTS = "select event_id as id, value/50 as x, (event_id*37 % 500)/50.0::double as y, (event_id*13 % 60)/10.0::double as z from events"
 
