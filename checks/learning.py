@@ -53,6 +53,29 @@ def _(spark, sf):
     return encode.label_encode(gappy(spark, sf), cols).select("reading_id", *[f"{c}_enc" for c in cols])
 
 
+def _code_of(c: str) -> str:
+    return f"(select {c}, cast(row_number() over (order by {c}) - 1 as int) as code from (select distinct {c} from grid_readings where season = 'S1')) {c}_codes"
+
+
+_ENCODED = ["region", "city", "season", "event"]
+
+
+@check("m01_encode_stream", with_sql(
+    "select reading_id, " + ", ".join(f"coalesce({c}_codes.code, -1) as {c}_enc" for c in _ENCODED) + " from grid_readings "
+    + " ".join(f"left join {_code_of(c)} using ({c})" for c in _ENCODED)))
+def _(spark, sf):
+    """A dictionary of the first season's readings is stored; all readings arrive as a stream and are encoded by it."""
+    from checks.base import table
+    from gridloom.streaming import score
+
+    path = f"{scratch_root(spark).rstrip('/')}/gridloom/encoder-{uuid.uuid4().hex}"
+    encode.fit_encoder(readings(spark, sf).filter("season = 'S1'"), f"{path}/classes", _ENCODED)
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    coded = encode.encode_with(readings(spark, sf, events), encode.load_encoder(spark, f"{path}/classes"))
+    score.write_stream(coded, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("reading_id", *[f"{c}_enc" for c in _ENCODED])
+
+
 _SCALED = ["temperature", "total_load_mw", "voltage", "fuel_cost"]
 
 
@@ -258,6 +281,19 @@ def _(spark, sf):
     return anomaly.isolation_flags(df, "reading_id", columns).select("reading_id", "if_score", "if_anomaly")
 
 
+@check("a01_stored_forest", with_sql("select reading_id, true as same from grid_readings"))
+def _(spark, sf):
+    """A forest is stored and loaded; both give each reading the same score."""
+    from gridloom.operators.forest import IsolationForest, fit_isolation_forest
+
+    df, columns = _prepared(spark, sf)
+    path = f"{scratch_root(spark).rstrip('/')}/gridloom/forest-{uuid.uuid4().hex}"
+    forest = fit_isolation_forest(df, "reading_id", columns)
+    forest.save(spark, path)
+    again = IsolationForest.load(spark, path)
+    return df.select("reading_id", (forest.score(df) == again.score(df)).alias("same"))
+
+
 @check("a01_live_isolation_forest")
 def _(spark, sf):
     out = anomaly.live_anomalies(readings(spark, sf), "reading_id")
@@ -285,6 +321,19 @@ def _(spark, sf):
     return one_class_flags(df, "reading_id", columns).select("reading_id", "ocsvm_score", "ocsvm_anomaly")
 
 
+@check("a03_stored_machine", with_sql("select reading_id, true as same from grid_readings"))
+def _(spark, sf):
+    """A one-class machine is stored and loaded; both give each reading the same score."""
+    from gridloom.operators.boundary import OneClassMachine, fit_one_class
+
+    df, columns = _prepared(spark, sf)
+    path = f"{scratch_root(spark).rstrip('/')}/gridloom/machine-{uuid.uuid4().hex}"
+    machine = fit_one_class(df, "reading_id", columns)
+    machine.save(spark, path)
+    again = OneClassMachine.load(spark, path)
+    return df.select("reading_id", (machine.score(df) == again.score(df)).alias("same"))
+
+
 _NEAR = ["x", "y", "z"]
 _POINTS = "select event_id as id, value/50 as x, (event_id*37 % 500)/50.0::double as y, (event_id*13 % 60)/10.0::double as z from events"
 

@@ -73,6 +73,51 @@ def label_encode(df: DataFrame, columns=ENCODED_COLUMNS) -> DataFrame:
     return df.withColumns(listed)
 
 
+def fit_encoder(df: DataFrame, path: str, columns=ENCODED_COLUMNS) -> DataFrame:
+    """Write the dictionary (column, value, code) of the columns that exist to ``path`` and return it.
+
+    Codes are those of ``label_encode``: the place among the sorted classes of
+    a column. All classes are numbered in one distributed order.
+    """
+    columns = [c for c in columns if c in df.columns]
+    if columns:
+        numbered = materialize(number_rows(classes(df, columns), ["column", "value"], "_n"), "classes")
+        first = numbered.groupBy("column").agg(F.min("_n").alias("_first"))
+        table = numbered.join(small(first), "column").select("column", "value", (F.col("_n") - F.col("_first")).cast("int").alias("code"))
+    else:
+        table = df.sparkSession.createDataFrame([], "column string, value string, code int")
+    table.write.mode("overwrite").parquet(path)
+    return load_encoder(df.sparkSession, path)
+
+
+def load_encoder(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("column string, value string, code int").parquet(path)
+
+
+def encode_with(df: DataFrame, dictionary: DataFrame, unseen: int | None = -1) -> DataFrame:
+    """Add ``<column>_enc`` by a fitted dictionary, for a batch or a stream; ``unseen`` stands for other values.
+
+    A few classes become a literal list, more are joined, by broadcast while
+    the dictionary of the column is small. A column that is missing, here or in
+    the dictionary, is left out.
+    """
+    listed, other = {}, F.lit(unseen).cast("int")
+    sizes = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect() if r["column"] in df.columns}
+    short = [c for c in sorted(sizes) if sizes[c] <= LISTED_CLASSES]
+    lists: dict[str, list[tuple[int, str]]] = {c: [] for c in short}
+    for row in dictionary.filter(F.col("column").isin(short)).collect() if short else ():
+        lists[row["column"]].append((row["code"], row["value"]))
+    for c, found in lists.items():
+        place = F.array_position(F.lit([v for _, v in sorted(found)]), _text(c)).cast("int")
+        listed[f"{c}_enc"] = F.when(place > 0, place - 1).otherwise(other)
+    for c in sorted(set(sizes) - set(short)):
+        mine = dictionary.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        if sizes[c] <= SMALL_DICTIONARY:
+            mine = F.broadcast(mine)
+        df = df.join(mine, _text(c) == F.col("_value"), "left").withColumn(f"{c}_enc", F.coalesce("_code", other)).drop("_value", "_code")
+    return df.withColumns(listed)
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Mean and population deviation per column."""

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import quantiles
@@ -16,6 +16,7 @@ from gridloom.operators.sampling import hash_rank
 from gridloom.session import materialize, spread
 
 _NODE = "tree int, node int, feature int, threshold double, low int, high int, path double"
+_ARRAYS = {"feature": np.int64, "threshold": float, "low": np.int64, "high": np.int64, "path": float}
 
 
 def _mean_path(n: int) -> float:
@@ -115,6 +116,30 @@ class IsolationForest:
 
         return isolation(*[F.col(c) for c in self.columns])
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The nodes as a table, the names of the columns and the size of a tree's sample beside it."""
+        tree, node = np.indices(self.feature.shape)
+        cells = {"tree": tree, "node": node} | {name: getattr(self, name) for name in _ARRAYS}
+        nodes = pd.DataFrame({name: values.ravel() for name, values in cells.items()})
+        spark.createDataFrame(nodes, _NODE).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        about = spark.createDataFrame([(self.columns, self.sample_rows)], "columns array<string>, sample_rows int")
+        about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IsolationForest:
+        about = spark.read.parquet(f"{path}/about").first()
+        return cls(about["columns"], about["sample_rows"], **_arrays(spark.read.parquet(f"{path}/nodes").toPandas()))
+
+
+def _arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Tree x node arrays of a table of nodes."""
+    shape = (int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1)
+    cells = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+    arrays = {name: np.zeros(shape, dtype=kind) for name, kind in _ARRAYS.items()}
+    for name, values in arrays.items():
+        values[cells] = nodes[name].to_numpy()
+    return arrays
+
 
 def fit_isolation_forest(
     df: DataFrame, key: str, columns: list[str], trees: int = 200, rows: int = 256, seed: int = 42,
@@ -133,14 +158,8 @@ def fit_isolation_forest(
         return out
 
     nodes = sample.groupBy("tree").applyInPandas(grow, _NODE).toPandas()
-    shape = (trees, int(nodes["node"].max()) + 1)
-    cells = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
-    arrays = {}
-    for name, kind in (("feature", np.int64), ("threshold", float), ("low", np.int64), ("high", np.int64), ("path", float)):
-        arrays[name] = np.zeros(shape, dtype=kind)
-        arrays[name][cells] = nodes[name].to_numpy()
     used = sample.groupBy("tree").count().agg(F.max("count")).first()[0]
-    return IsolationForest(list(columns), int(used), **arrays)
+    return IsolationForest(list(columns), int(used), **_arrays(nodes))
 
 
 def isolation_flags(
