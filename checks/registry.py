@@ -3,6 +3,7 @@
 # isort: skip_file
 from checks import reports  # noqa: F401
 from checks import tables  # noqa: F401
+from checks import cubes  # noqa: F401
 from checks import features  # noqa: F401
 from checks import quality  # noqa: F401
 from checks import series  # noqa: F401

@@ -50,10 +50,10 @@ def resample(
     """Mean per period and key; with ``gaps`` empty periods appear with a null."""
     name = F.col(key) if key else F.lit("All")
     means = df.groupBy(name.alias(KEY), period_start(F.col(ts), freq).alias(TS)).agg(F.avg(target).alias(VALUE))
-    return _on_spine(means, freq) if gaps else means.filter(F.col(VALUE).isNotNull())
+    return on_spine(means, freq) if gaps else means.filter(F.col(VALUE).isNotNull())
 
 
-def _on_spine(means: DataFrame, freq: str) -> DataFrame:
+def on_spine(means: DataFrame, freq: str) -> DataFrame:
     spine = means.groupBy(KEY).agg(F.min(TS).alias("_a"), F.max(TS).alias("_b")).select(
         KEY, F.explode(F.sequence("_a", "_b", _step(freq))).alias(TS)
     )
