@@ -159,6 +159,22 @@ def _(spark, sf):
     return out.withColumn("explained", F.lit(sum(projection.explained)))
 
 
+@check("m05_pca_moments", """
+select cast(i as int) as i, cast(j as int) as j, 0.0::double as beside, i = j as own from range(1, 9) a(i), range(1, 9) b(j) where i <= j""")
+def _(spark, sf):
+    """Moments of all readings' coordinates: two axes share none, an axis its explained share of the whole variance."""
+    df, columns, _ = anomaly.prepare(with_energy(readings(spark, sf)))
+    projection = encode.fit_pca(df, columns, 8)
+    places = projection.apply(df)
+    total = sum((F.var_pop(c) for c in columns[1:]), F.var_pop(columns[0]))
+    cells = []
+    for i in range(8):
+        for j in range(i, 8):
+            moment = F.covar_pop(f"pc{i + 1}", f"pc{j + 1}") / total - F.lit(float(projection.explained[i]) if i == j else 0.0)
+            cells.append(F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), (half_even(moment, 6) + F.lit(0.0)).alias("beside"), F.lit(i == j).alias("own")))
+    return places.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
 @check("m06_min_max_by_region", with_sql(f"""
 select reading_id, {even('(total_load_mw - lo)/(hi - lo)')} as scaled from grid_readings
 join (select region, min(total_load_mw) as lo, max(total_load_mw) as hi from grid_readings group by 1) using (region)"""))
