@@ -160,9 +160,11 @@ def histogram(df: DataFrame, column: str, bins: int = 50, split: str | None = No
     flat = ends["lo"] == ends["hi"]
     lo = F.when(flat, ends["lo"] - 0.5).otherwise(ends["lo"])
     hi = F.when(flat, ends["hi"] + 0.5).otherwise(ends["hi"])
+    # The share of the range first, then the bins: in another order, values next to an edge round into the other bin.
+    place = (F.col(column).cast("double") - lo) / (hi - lo) * F.lit(float(bins))
     placed = df.filter(F.col(column).isNotNull()).select(
         *([split] if split else []),
-        F.least(F.width_bucket(F.col(column).cast("double"), lo, hi, F.lit(bins)), F.lit(bins)).cast("int").alias("bin"),
+        (F.floor(F.least(place, F.lit(bins - 1.0))) + 1).cast("int").alias("bin"),
     )
     counts = placed.groupBy("bin", *([split] if split else [])).agg(F.count("*").alias("n"))
     width = (hi - lo) / F.lit(float(bins))
@@ -171,7 +173,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50, split: str | None = No
             "bin_from": half_even(lo + (F.col("bin") - 1) * width, 6),
             "bin_to": half_even(lo + F.col("bin") * width, 6),
         }
-    ).orderBy("bin")
+    ).orderBy("bin", *([split] if split else []))
 
 
 def binned_rate(df: DataFrame, column: str, flag: str, bins: int = 5, digits: int = 6) -> DataFrame:

@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,15 @@ def test_histogram_of_one_value(spark):
     assert len(out) == 1 and out[0]["n"] == 2
 
 
+def test_histogram_bins_as_sql_rounds(spark):
+    """58 of 0 to 100 in 50 bins: its share of the range, times the bins, stays under 29; bins times value, divided, does not."""
+    values = [i / 100 for i in range(10001)]
+    got = aggregates.histogram(spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "x double, s int"), "x", 50, "s").collect()
+    want = Counter((min(math.floor(v / 100 * 50) + 1, 50), i % 2) for i, v in enumerate(values))
+    assert {(r["bin"], r["s"]): r["n"] for r in got} == want
+    assert [(r["bin"], r["s"]) for r in got] == sorted(want)
+
+
 def test_rounding_sites(spark):
     from gridloom.functions.rounding import half_even, half_up
 
