@@ -21,7 +21,10 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import mix64, slices
+from gridloom.llm.common import lean, mix64, slices
+
+#: Most bytes of text that are encoded in one step; its arrays take about 40 times as many.
+STEP_BYTES = 1 << 19
 
 # ----------------------------------------------------------- code points
 
@@ -360,7 +363,7 @@ def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[s
     """Rows of a batch in runs of limited text."""
     texts = batch.column(column)
     sizes = np.array([n or 0 for n in pa.compute.binary_length(texts).to_pylist()], dtype=np.int64)
-    for a, b in slices(sizes):
+    for a, b in slices(sizes, STEP_BYTES):
         yield a, b, [t or "" for t in texts.slice(a, b - a).to_pylist()]
 
 
@@ -395,7 +398,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         e.clear()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, offsets array<int>")
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, offsets array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -415,7 +418,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids", "offsets").mapInArrow(run, f"doc_id {kind}, content binary")
+    return tokens.select("doc_id", "ids", "offsets").mapInArrow(lean(run), f"doc_id {kind}, content binary")
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -446,4 +449,4 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,26 @@ def slices(sizes: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def hand_back() -> None:
+    """Returns memory that this Python worker has freed to the system; workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with free memory handed back before and after."""
+
+    def wrapped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
+        yield from run(it)
+        hand_back()
+
+    return wrapped
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "links") -> DataFrame:
     """Connected components of undirected links: (node, component), component the smallest node.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bloom_bits, bloom_build, bloom_test, bloom_test_numpy, components, mix64, slices, stored
+from gridloom.llm.common import bloom_bits, bloom_build, bloom_test, bloom_test_numpy, components, lean, mix64, slices, stored
 from gridloom.llm.shingles import set_hash, text_sets
 
 #: Similar means: 100 * shared shingles >= PERCENT * all shingles of both.
@@ -247,7 +247,7 @@ def _likely(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     asked = bloom_test(F.col("cls"), bloom_build(wanted, F.col("cls"), bits, hashes), bits, hashes)
     brief = profile.filter("n > 0").filter(asked).select("cls", "n", "signature").dropDuplicates(["cls"])
     both = pairs.join(brief.toDF("a", "na", "left"), "a").join(brief.toDF("b", "nb", "right"), "b")
-    return both.mapInArrow(_bounded, "a long, b long")
+    return both.mapInArrow(lean(_bounded), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -258,9 +258,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return pairs
     bits, hashes = bloom_bits(n, 0.01)
     data = bloom_build(wanted, F.col("cls"), bits, hashes)
-    sets = texts.mapInArrow(_sets_of(data, bits, hashes), "cls long, shingles binary")
+    sets = texts.mapInArrow(lean(_sets_of(data, bits, hashes)), "cls long, shingles binary")
     sets = stored(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
-    return pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").mapInArrow(_exact, "a long, b long")
+    return pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").mapInArrow(lean(_exact), "a long, b long")
 
 
 def _tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def _mixed_tiles(tiles: DataFrame, comp: DataFrame, profile: DataFrame) -> DataF
         "side", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")))
     brief = profile.filter("n > 0").select("cls", "signature").dropDuplicates(["cls"])
     large = large.join(brief, "cls").select(*narrow, "signature")
-    pairs = [part.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "cls").mapInArrow(_tiles, "a long, b long") for part in (small, large)]
+    pairs = [part.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "cls").mapInArrow(lean(_tiles), "a long, b long") for part in (small, large)]
     return pairs[0].union(pairs[1]).distinct()
 
 
@@ -342,7 +342,7 @@ def _component_blocks(comp: DataFrame, profile: DataFrame, texts: DataFrame) ->
     n = known.count()
     bits, hashes = bloom_bits(n, 0.01)
     data = bloom_build(known, F.col("cls"), bits, hashes)
-    sets = texts.mapInArrow(_sets_of(data, bits, hashes), "cls long, shingles binary")
+    sets = texts.mapInArrow(lean(_sets_of(data, bits, hashes)), "cls long, shingles binary")
     sets = stored(sets.join(known.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets-of")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     df = known.join(known.groupBy("comp").agg(blocks.alias("blocks")), "comp").withColumn("own", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
@@ -445,10 +445,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every:
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    counted = stored(source.mapInArrow(_count, f"doc_id long, key long, {_PROFILE}"), "ngram-profile")
+    counted = stored(source.mapInArrow(lean(_count), f"doc_id long, key long, {_PROFILE}"), "ngram-profile")
     profile = counted.filter("n is not null").select("doc_id", "key", "cls", "n")
     sketch = spark.sparkContext.broadcast(_sketch(counted))  # COUNTERS * 4 bytes
-    postings = source.select("text").mapInArrow(_rare(sketch), "h long, cls long, n long, place int")
+    postings = source.select("text").mapInArrow(lean(_rare(sketch)), "h long, cls long, n long, place int")
     # A shingle of one class alone leads nowhere.
     w = F.expr("min(cls) over (partition by h) <> max(cls) over (partition by h)")
     tiles = stored(postings.withColumn("_many", w).filter("_many").select("h", "cls", "n", "place").distinct(), "ngram-tiles")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import hand_back, lean, stored
 
 #: Labelled texts that the model is fitted on, at the most (a documented bound); they bound the lexicon, too.
 SAMPLE = 20_000
@@ -337,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not n_pos or not n_neg:
         return Model((), (), frozenset(), (25.0 if n_pos else -25.0, 0.0, 0.0, 0.0, 0.0))
     # A word counts once per word before it, not per text: copies of a text and passages that many share say it in one context only.
-    words = rows.mapInArrow(_contexts, "word string, before long, toxic int").distinct().groupBy("word").agg(
+    words = rows.mapInArrow(lean(_contexts), "word string, before long, toxic int").distinct().groupBy("word").agg(
         F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg"))
     words = stored(words, "toxicity-words")
     n_pos, n_neg = words.agg(F.sum("pos"), F.sum("neg")).first()
@@ -367,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in it:
             yield batch.filter(pa.array([matcher[w] == 0.5 for w in batch.column("word").to_pylist()], pa.bool_()))
 
-    usual = words.filter("neg > 0").filter(lift < LIFT).select("word").mapInArrow(suspects, "word string")
+    usual = words.filter("neg > 0").filter(lift < LIFT).select("word").mapInArrow(lean(suspects), "word string")
     model = Model(model.words, model.stems, frozenset(r["word"] for r in usual.collect()), model.weights)
 
     def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             x = [features(t, matcher)[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
-    got = rows.mapInArrow(measured, "x array<double>, toxic int").groupBy("x", "toxic").count().toPandas()
+    got = rows.mapInArrow(lean(measured), "x array<double>, toxic int").groupBy("x", "toxic").count().toPandas()
     x, y, w = np.array(got["x"].tolist(), dtype=float), got["toxic"].to_numpy(dtype=float), got["count"].to_numpy(dtype=float)
     return Model(model.words, model.stems, model.innocent, tuple(logistic(x, y, w).tolist()))
 
@@ -414,5 +414,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
                 z = sum(a * b for a, b in zip(x, model.weights))
                 rows.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(hits), sum(h[1] for h in hits), sum(h[2] > 0.5 for h in hits)))
             yield pd.DataFrame(rows, columns=["score", "hits", "misspelt", "quoted"])
+        del matcher
+        hand_back()
 
     return docs.withColumn(out, judge(F.col(text)))

@@ -77,3 +77,15 @@ def test_query(spark, sf):
         ids = THEIRS.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_steps_are_short_and_memory_goes_back(monkeypatch):
+    import pyarrow as pa
+
+    from gridloom.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b" * 100_000] * 4 + [None])], ["text"])
+    assert [(a, b) for a, b, _ in bpe._runs(batch, "text")] == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    calls = []
+    monkeypatch.setattr(common, "hand_back", lambda: calls.append(1))
+    assert list(common.lean(iter)([1, 2])) == [1, 2] and len(calls) == 2
