@@ -131,3 +131,25 @@ def test_numbers_nulls_and_no_rows(spark):
     assert none.transform(df).filter("score = 0.5").count() == 201
     one = b.fit(df.filter("y is not null").selectExpr("a", "1 as y"), ["a"], "y", b.Boosting(3))
     assert one.transform(df).filter("score > 0.99").count() == 201
+
+
+@pytest.mark.parametrize("grow", ["variance", "level", "leaf", "symmetric"])
+def test_leaves_of_the_last_level_need_no_rows(grow):
+    """A tree asks for rows once per level that is cut, not for its leaves; many rows find the same leaves as few."""
+    rows, how = some_rows(5000), b.Boosting(1, 0.3, 3, grow, leaves=64, bins=BINS)
+    rows.begin(how, 0)
+    asked = []
+
+    def sums(tree, nodes):
+        leaf = tree.leaf_of(rows.x)
+        assert (leaf == np.concatenate([tree.leaf_of(part) for part in np.array_split(rows.x, 5, axis=1)])).all()
+        asked.append(len(nodes))
+        return list(rows.histograms([np.flatnonzero(leaf == n) for n in nodes], BINS))
+
+    tree = b.grow_tree(sums, how, np.arange(K))
+    # By leaf, the two halves of the tree may be opened one after the other.
+    assert asked == [1, 1, 2] if grow != "leaf" else asked[:2] == [1, 1] and sum(asked) == 4
+    leaf = tree.leaf_of(rows.x)
+    for n in np.unique(leaf):
+        ridge = 0 if grow == "variance" else how.ridge
+        assert tree.value[n] == pytest.approx(-how.rate * rows.g[leaf == n].sum() / (rows.h[leaf == n].sum() + ridge))
