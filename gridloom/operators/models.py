@@ -179,7 +179,8 @@ def train_evaluate_regressor(train_df, test_df, features, target, preset, name)
 
 
 def train_ensemble(train_df: DataFrame, features: list[str], target: str, trees: int = 100) -> Ensemble:
-    members = [train(train_df, features, target, p, n) for n, p in ensemble_presets(trees).items()]
+    presets = ensemble_presets(trees)
+    members = _side_by_side(lambda name: train(train_df, features, target, presets[name], name), presets)
     return Ensemble("ensemble_voting", list(features), members)
 
 

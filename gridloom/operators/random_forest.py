@@ -30,7 +30,11 @@ from gridloom.session import materialize, spread
 #: Nodes whose histograms are summed up together.
 NODES = 256
 #: Cells (rows x columns) that a task of a spread table holds at a time.
-HELD = 1 << 27
+HELD = 1 << 26
+#: Nodes of a level up to which rows are led to their nodes by comparing whole columns.
+WHOLE = 64
+#: Rows of a node, on average, from which nodes are summed up one by one.
+MANY = 2048
 #: Bytes of histograms that one job hands from tasks to tasks; the trees of a level are dealt out to several jobs beyond.
 MOVED = 1 << 31
 #: Poisson counts of mean 1 by the first 16 bits of a hash.
@@ -153,7 +157,7 @@ def best_cuts(h: np.ndarray, subset: np.ndarray, how: Forest) -> dict[str, np.nd
 
 
 class Rows:
-    """Binned rows in memory, in the order of their hashes if ``sort`` is set; a row per column if all columns are wanted, else a row per row."""
+    """Binned rows in memory, in the order of their hashes if ``sort`` is set; by column, and by row too if nodes have columns of their own."""
 
     def __init__(self, blocks: list[dict], k: int, how: Forest, center: float, sort: bool = False):
         x = np.concatenate([np.frombuffer(b["bins"], dtype=np.uint8).reshape(k, -1) for b in blocks], axis=1)
@@ -164,18 +168,48 @@ class Rows:
             x, y, self.u = x[:, order], y[order], self.u[order]
         self.how, self.k, self.n = how, k, len(y)
         self.all = how.slots(k) == k
-        self.x = np.ascontiguousarray(x if self.all else x.T).ravel()
+        self.columns = np.ascontiguousarray(x)
+        self.x = self.columns.ravel() if self.all else np.ascontiguousarray(x.T).ravel()
         self.row, self.column = (1, self.n) if self.all else (k, 1)
         self.y = y.astype(np.int64) if how.classes else y - center
+        self.ones = y.astype(np.uint8) if how.classes else None
 
     def start(self, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows that a tree draws, how often, and their node: the root."""
-        z = (self.u ^ np.uint64((tree + 1) * 0x9E3779B97F4A7C15 + self.how.seed & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        counts = COUNTS.take(z >> np.uint64(48))
+        counts = self.counts(tree)
         rows = np.flatnonzero(counts)
         return rows, counts.take(rows).astype(np.float64), np.zeros(len(rows), dtype=np.int64)
 
+    def counts(self, tree: int) -> np.ndarray:
+        z = (self.u ^ np.uint64((tree + 1) * 0x9E3779B97F4A7C15 + self.how.seed & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return COUNTS.take(z >> np.uint64(48))
+
+    def at_level(self, tree: int, levels: list[Level]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of a tree that are in the due nodes below some levels; while nodes are few, whole columns of bytes are compared."""
+        counts = self.counts(tree)
+        inside, few = {0: counts > 0}, 0
+        for few, level in enumerate(levels):  # noqa: B007
+            if len(level.column) > WHOLE:
+                break
+            below = {}
+            for node, own in inside.items():
+                left, right = level.child[2 * node: 2 * node + 2]
+                if left >= 0 or right >= 0:
+                    low = own & (self.columns[level.column[node]] <= level.cut[node])
+                    below |= {child: part for child, part in ((left, low), (right, own ^ low)) if child >= 0}
+            inside = below
+        else:
+            few = len(levels)
+        at = np.zeros(self.n, dtype=np.uint8)
+        for node, own in inside.items():
+            at += own.view(np.uint8) * np.uint8(node + 1)
+        rows = np.flatnonzero(at)
+        state = rows, counts.take(rows).astype(np.float64), at.take(rows).astype(np.int64) - 1
+        for level in levels[few:]:
+            state = self.descend(state, level)
+        return state
+
     def descend(self, state: tuple[np.ndarray, np.ndarray, np.ndarray], level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the next level; those that reached a leaf are left out."""
         rows, counts, node = state
@@ -194,6 +228,8 @@ class Rows:
             own = np.flatnonzero((node >= first) & (node < first + m))
             rows, counts, node = rows.take(own), counts.take(own), node.take(own) - first
         out = np.empty((m, slots, bins, 2))
+        if len(rows) >= MANY * m and m < 1 << 15:
+            return self._one_by_one(rows, counts, node, subset, out)
         y = self.y.take(rows)
         at_node = (node * 2 + y) * bins if self.how.classes else node * bins
         value, at_row = None if self.how.classes else counts * y, rows * self.row
@@ -208,6 +244,26 @@ class Rows:
         return out
 
 
+    def _one_by_one(self, rows: np.ndarray, counts: np.ndarray, node: np.ndarray, subset: np.ndarray, out: np.ndarray) -> np.ndarray:
+        bins = self.how.bins
+        order = np.argsort(node.astype(np.int16), kind="stable")
+        ends = np.cumsum(np.bincount(node, minlength=len(out)))
+        for j, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+            own, c = rows.take(order[a:b]), counts.take(order[a:b])
+            if self.how.classes:
+                ones = self.ones.take(own).astype(np.intp) * bins
+            else:
+                value = c * self.y.take(own)
+            for s, column in enumerate(subset[j]):
+                at = self.columns[column].take(own)
+                if self.how.classes:
+                    out[j, s] = np.bincount(at + ones, c, 2 * bins).reshape(2, bins).T
+                else:
+                    at = at.astype(np.intp)
+                    out[j, s, :, 0], out[j, s, :, 1] = np.bincount(at, c, bins), np.bincount(at, value, bins)
+        return out
+
+
 def grow(rows: Rows, number: int, base: float) -> Growing:
     """One tree on rows in memory."""
     how, tree, state = rows.how, Growing(rows.how, base), rows.start(number)
@@ -266,9 +322,7 @@ def _grown_spread(table: DataFrame, k: int, how: Forest, base: float, center: fl
         def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in held(it):
                 for number, levels, m in plan:
-                    state, subset = rows.start(number), how.subset(k, number, level, m)
-                    for above in levels:
-                        state = rows.descend(state, above)
+                    state, subset = rows.at_level(number, levels), how.subset(k, number, level, m)
                     for a in range(0, m, NODES):
                         sums = rows.sums(state, subset[a: a + NODES], a)
                         sums = sums.astype(np.float32 if how.classes else np.float64)  # counts of HELD cells are exact

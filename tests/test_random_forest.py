@@ -70,6 +70,28 @@ def test_trees_equal_a_brute_force_grower(how):
         assert counts.mean() == pytest.approx(1 / (1 - np.exp(-1)), abs=0.1)
 
 
+@pytest.mark.parametrize("classes", [True, False])
+def test_rows_found_and_summed_up_either_way(monkeypatch, classes):
+    """Few nodes are found by whole columns and summed up one by one, many by rows: both give the same."""
+    x, z, u = block_of(3000)
+    how = r.Forest(1, 9, 2, "sqrt", 8, classes)
+    rows = r.Rows([{"bins": x.tobytes(), "y": ((z > 6).astype(float) if classes else z).tobytes(), "u": u.tobytes()}], 5, how, 0.0)
+    tree, state = r.grow(rows, 0, 0.5), rows.start(0)
+    for depth in range(len(tree.levels)):
+        if depth:
+            state = rows.descend(state, tree.levels[depth - 1])
+        m = len(tree.levels[depth].column)
+        subset, sums = how.subset(5, 0, depth, m), []
+        for whole in (0, 3, 64):
+            monkeypatch.setattr(r, "WHOLE", whole)
+            assert all((a == b).all() for a, b in zip(rows.at_level(0, tree.levels[:depth]), state))
+        for many in (0, 1 << 40):
+            monkeypatch.setattr(r, "MANY", many)
+            sums.append(rows.sums(state, subset))
+        assert np.allclose(*sums) and sums[0].sum() != 0
+    assert len(tree.levels) > 5
+
+
 @pytest.mark.parametrize("classes", [True, False])
 def test_spread_rows_give_the_same_trees(spark, monkeypatch, classes):
     df, label = table_of(spark), "y" if classes else "z"
