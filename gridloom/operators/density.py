@@ -14,7 +14,8 @@ core, none is noise, and nobody compares them. Only points of the other cells
 Clusters are components of cells with core points. Two cells are linked as
 soon as two of their boxes lie within ``eps`` of each other as a whole; pairs
 of boxes on the edge are split as above, and only between cells that nothing
-else has joined yet.
+else has joined yet; of two groups of joined cells one link is enough. Points
+(or smaller boxes) out of reach of the other box meet nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from gridloom.session import materialize, spread
 #: Splits of a box at the most: beyond, its points differ by less than a 64-bit number can say.
 LEVELS = 24
 LEAF_POINTS = 256
+#: Pairs of points of two boxes up to which the points are compared; boxes with more are split.
+PAIR_POINTS = 1024
 BROADCAST_ROWS = 200_000
 
 
@@ -247,33 +250,43 @@ def _core_links(nodes: DataFrame, core: DataFrame, grid: _Grid, limit: Column, k
     edge = met.filter(~F.col("_inside"))
     if edge.isEmpty():
         return links
-    # Cells that are joined by now need no closer look.
-    root = components(links, "density-first")
+    # Cells that are joined by now need no closer look, and of two groups of joined cells one link is enough.
+    root, groups = components(links, "density-first"), ["_ra", "_rb"]
     for name in "ab":
         edge = edge.join(_small(root.toDF(name, f"_root{name}")), name, "left").withColumn(f"_root{name}", F.coalesce(f"_root{name}", name))
+    edge = edge.withColumns({"_ra": F.least("_roota", "_rootb"), "_rb": F.greatest("_roota", "_rootb")})
     edge = materialize(edge.filter("_roota <> _rootb").drop("_roota", "_rootb", "_inside"), "density-edge")
+    apart = sum([_square(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in grid.coords], F.lit(0.0))
+    cells = ["_cella", "_cellb"]
+
     for level in range(LEVELS + 1):
-        few = edge.filter(F.col("_na") * F.col("_nb") <= LEAF_POINTS**2) if level < LEVELS else edge
+        few = edge.filter(F.col("_na") * F.col("_nb") <= PAIR_POINTS) if level < LEVELS else edge
         located = core.withColumn("_cell", grid.cell_array(level))
-        both = few.select("a", "b", "_cella", "_cellb")
-        for n in "ab":
-            own = [F.col(c).alias(f"{c}_{n}") for c in grid.coords]
-            both = both.join(located.select(F.col("_node").alias(n), F.col("_cell").alias(f"_cell{n}"), *own), [n, f"_cell{n}"])
-        apart = sum([_square(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in grid.coords], F.lit(0.0))
-        links = links.union(both.filter(apart <= limit).select("a", "b").distinct())
-        edge = edge.filter(F.col("_na") * F.col("_nb") > LEAF_POINTS**2)
+        own, gap = {}, {}
+        for n, other in ("ab", "ba"):
+            own[n] = located.select(F.col("_node").alias(n), F.col("_cell").alias(f"_cell{n}"), *[F.col(c).alias(f"{c}_{n}") for c in grid.coords])
+            gap[n] = sum([_square(F.greatest(F.col(f"_lo{i}{other}") - F.col(f"{c}_{n}"), F.col(f"{c}_{n}") - F.col(f"_hi{i}{other}"), F.lit(0.0)))
+                          for i, c in enumerate(grid.coords)], F.lit(0.0))
+        # Points out of reach of the other's box are left out before any two points meet.
+        parts = {n: few.join(own[n], [n, f"_cell{n}"]).filter(gap[n] <= limit).select("a", "b", *cells, *(groups if n == "a" else []), *[f"{c}_{n}" for c in grid.coords]) for n in "ab"}
+        both = parts["a"].join(parts["b"], ["a", "b", *cells])
+        found = materialize(both.filter(apart <= limit).select("a", "b", *groups).distinct(), f"density-near-{level}")
+        links = links.union(found.select("a", "b"))
+        edge = edge.filter(F.col("_na") * F.col("_nb") > PAIR_POINTS).join(found.select(*groups).distinct(), groups, "left_anti")
         if level == LEVELS or edge.isEmpty():
             break
         wanted = edge.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
         finer = core.join(_small(wanted), "_node", "left_semi").withColumn("_cell", grid.cell_array(level + 1))
         finer = finer.groupBy("_node", "_cell").agg(*grid.box_columns())
         finer = materialize(finer.withColumn("_parent", F.transform("_cell", lambda c: F.floor(c / 4))), f"density-finer-{level}")
-        pairs = edge.select("a", "b", F.col("_cella").alias("_pa"), F.col("_cellb").alias("_pb"))
-        pairs = pairs.join(side(finer, "a", F.col("_parent").alias("_pa")), ["a", "_pa"]).join(side(finer, "b", F.col("_parent").alias("_pb")), ["b", "_pb"])
-        met = materialize(pairs.drop("_pa", "_pb").filter(near <= limit).withColumn("_inside", far <= limit), f"density-split-{level}")
-        sure = met.filter("_inside").select("a", "b").distinct()
-        links = links.union(sure)
-        edge = materialize(met.filter(~F.col("_inside")).drop("_inside").join(sure, ["a", "b"], "left_anti"), f"density-open-{level}")
+        own = {n: side(finer, n, F.col("_parent").alias(f"_p{n}")).withColumnsRenamed({f"_cell{n}": f"_own{n}", f"_p{n}": f"_cell{n}"}) for n in "ab"}
+        pairs = {n: edge.select("a", "b", *cells, *groups, *[f"{c}{other}" for c in (*lows, *highs)]) for n, other in ("ab", "ba")}
+        parts = {n: pairs[n].join(own[n], [n, f"_cell{n}"]).filter(near <= limit).select("a", "b", *cells, *(groups if n == "a" else []), *[c for c in own[n].columns if c not in (n, f"_cell{n}")]) for n in "ab"}
+        met = parts["a"].join(parts["b"], ["a", "b", *cells]).filter(near <= limit).drop(*cells).withColumnsRenamed({"_owna": "_cella", "_ownb": "_cellb"})
+        met = materialize(met.withColumn("_inside", far <= limit), f"density-split-{level}")
+        sure = met.filter("_inside").select("a", "b", *groups).distinct()
+        links = links.union(sure.select("a", "b"))
+        edge = materialize(met.filter(~F.col("_inside")).drop("_inside").join(sure.select(*groups).distinct(), groups, "left_anti"), f"density-open-{level}")
     return links
 
 

@@ -143,3 +143,15 @@ def test_literal_vote_keeps_the_sign(spark):
     plain = {r["id"]: r["anomaly_risk_score"] for r in anomaly.vote(df).collect()}
     literal = {r["id"]: r["anomaly_risk_score"] for r in anomaly.vote(df, literal=True).collect()}
     assert plain == {1: 86.67, 2: 0.0} and literal == {1: 56.67, 2: 30.0}
+
+
+def test_cells_on_the_edge_meet_few_points(spark, monkeypatch):
+    """Boxes with more pairs of points than PAIR_POINTS are split, with the clusters of the plain definition."""
+    rng = np.random.default_rng(11)
+    lines = rng.integers(0, 6, 600) * 0.52
+    pts = np.column_stack([rng.uniform(0, 3, 600), lines + rng.uniform(-0.02, 0.02, 600)])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
+    want = _brute_clusters(pts, 0.5, 5)
+    monkeypatch.setattr(density, "PAIR_POINTS", 4)
+    got = density.clusters(df, "id", ["x", "y"], 0.5, 5).toPandas().sort_values("id")["cluster"]
+    assert got.tolist() == want
