@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,6 +111,38 @@ def zscore_mask(df: DataFrame, columns: list[str], threshold: float = 3.0) -> Da
     return df.withColumns(flags)
 
 
+def columns_with_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> list[str]:
+    """Columns with a value outside their quartile limits.
+
+    A sketch proposes two values around each quartile and counts prove them.
+    Where all limits between them agree on the column's extremes, that decides;
+    the other columns get exact quartiles.
+    """
+    if not columns:
+        return []
+    shares, value = [0.2, 0.3, 0.7, 0.8], {c: F.col(c).cast("double") for c in columns}
+    about = df.agg(*[
+        F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, shares, 100).alias("q")).alias(c)
+        for c, v in value.items()]).first()
+    sure = {c: False for c in columns if not about[c]["n"]}
+    plain = [c for c in columns if about[c]["n"] and all(map(math.isfinite, (about[c]["low"], about[c]["high"], *about[c]["q"])))]
+    edges = {c: [F.count_if(value[c] < q if i % 2 == 0 else value[c] <= q) for i, q in enumerate(about[c]["q"])] for c in plain}
+    counts = df.agg(*[F.array(*e).alias(c) for c, e in edges.items()]).first() if plain else {}
+    for c in plain:
+        n, low, high, (a, b, d, e) = about[c]
+        held = all(counts[c][i] <= math.floor(p * (n - 1)) and counts[c][i + 1] > math.ceil(p * (n - 1)) for i, p in ((0, 0.25), (2, 0.75)))
+        slack = 1e-9 * (abs(a) + abs(b) + abs(d) + abs(e))
+        lower = (1 + factor) * a - factor * e - slack, (1 + factor) * b - factor * d + slack
+        upper = (1 + factor) * d - factor * b - slack, (1 + factor) * e - factor * a + slack
+        if held and (low < lower[0] or high > upper[1]):
+            sure[c] = True
+        elif held and low >= lower[1] and high <= upper[0]:
+            sure[c] = False
+    limits = iqr_limits(df, [c for c in columns if c not in sure], factor) if len(sure) < len(columns) else {}
+    found = df.agg(*[F.count_if(_outside(c, limits[c])).alias(c) for c in limits]).first() if limits else {}
+    return [c for c in columns if sure.get(c) or (c in limits and found[c])]
+
+
 def clip_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Hold a column within its physical bounds if it has any quartile outlier.
 
@@ -116,9 +150,7 @@ def clip_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]] | None =
     outlier keeps even values outside the bounds.
     """
     bounds = {c: b for c, b in (bounds or PHYSICAL_BOUNDS).items() if c in df.columns}
-    limits = iqr_limits(df, list(bounds))
-    found = df.agg(*[F.count_if(_outside(c, limits[c])).alias(c) for c in limits]).first() if limits else {}
-    hits = [c for c in limits if found[c]]
+    hits = columns_with_outliers(df, list(bounds))
     return df.withColumns(
         {
             c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(bounds[c][1])), F.lit(bounds[c][0])))

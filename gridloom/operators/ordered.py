@@ -10,16 +10,18 @@ the same as those of the plain window and do not depend on the block length.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import micros
-from gridloom.session import materialize
+from gridloom.session import SMALL_ROWS, materialize
 
-MIN_BLOCK_ROWS = 100_000
+MIN_BLOCK_ROWS = 25_000
 MAX_BLOCKS = 100_000
 _LOW_BITS = 33  # monotonically_increasing_id: partition above, position below
 
@@ -154,17 +156,33 @@ def fill_next(
 ) -> DataFrame:
     """Replace nulls by the next non-null value, then by ``last_resort``.
 
-    The rows are read twice; with ``index`` pass a written table.
+    The rows are read several times; with ``index`` pass a written table. With
+    ``index``, up to SMALL_ROWS rows with nulls get their values from a small
+    table of these rows and the rows after them, and the others are not moved.
     """
     if not columns:
         return df
-    near = _neighbours(df, list(order), list(columns), None, list(by), block_rows, False, index)
-    types = dict(df.dtypes)
+    types, by = dict(df.dtypes), list(by)
     filled = {}
     for c in columns:
         value = F.col(f"_next_{c}")["v"]
         filled[c] = value if last_resort is None else F.coalesce(value, F.lit(last_resort).cast(types[c]))
-    return near.withColumns(filled).select(*df.columns)
+    gap = functools.reduce(operator.or_, [F.col(c).isNull() for c in columns])
+    few = index is not None
+    if few:
+        at = materialize(df.filter(gap).select(F.col(index).alias("_at")).limit(SMALL_ROWS + 1), "gaps")
+        few = at.count() <= SMALL_ROWS
+    if not few:
+        near = _neighbours(df, list(order), list(columns), None, by, block_rows, False, index)
+        return near.withColumns(filled).select(*df.columns)
+    # The value that ends a run of nulls is in the row after a row with nulls.
+    places = at.select(F.explode(F.array(F.col("_at"), F.col("_at") + 1)).alias("_at"))
+    narrow = df.select(*dict.fromkeys([index, *by, *columns]))
+    narrow = materialize(narrow.join(F.broadcast(places), narrow[index] == places["_at"], "left_semi"), "gap-rows")
+    near = _neighbours(narrow, list(order), list(columns), None, by, block_rows, False, index).filter(gap)
+    fills = materialize(near.select(F.col(index).alias("_at"), *[v.alias(f"_fill_{c}") for c, v in filled.items()]), "fills")
+    joined = df.join(F.broadcast(fills), df[index] == fills["_at"], "left")
+    return joined.withColumns({c: F.coalesce(c, f"_fill_{c}") for c in columns}).select(*df.columns)
 
 
 def interpolate_time(

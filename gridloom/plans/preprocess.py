@@ -42,8 +42,10 @@ def build_features(
         rows = clean_basic(handle_outliers(rows.drop(_INDEX), strategy), by + order, _INDEX)
     else:
         rows = handle_outliers(materialize(rows, "imputed"), strategy)
-    rows = with_energy(with_calendar(rows, ts))
-    rows = with_lag_features(rows, order, by, block_rows, _INDEX)
+    # Lags move and sort the rows: what follows from a row alone comes after them.
+    names = with_energy(with_calendar(rows, ts)).columns
+    rows = with_energy(with_calendar(with_lag_features(rows, order, by, block_rows, _INDEX), ts))
+    rows = rows.select(*names, *[c for c in rows.columns if c not in names])
     rows = materialize(label_encode(rows), "features")
     return fill_remaining(rows, order, by, block_rows, _INDEX).drop(_INDEX)
 
