@@ -82,3 +82,18 @@ def test_borders_miss_no_neighbour():
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert ours(QUERIES["op10_embedding_near_dedup"](spark, sf)) == brute(rows)
+
+
+def test_vectors_are_stored_once(spark, monkeypatch):
+    """However many cells a vector may reach, it is written once, and blocks meet without a shuffle of vectors."""
+    held, real = {}, vector_join.stored
+    monkeypatch.setattr(vector_join, "PER_PIVOT", 20)
+    monkeypatch.setattr(vector_join, "BLOCK", 16)
+    monkeypatch.setattr(vector_join, "stored", lambda df, label: held.setdefault(label, real(df, label)))
+    rows = [(i, v) for i, v in vectors() if v]
+    vector_join.range_join(spark.createDataFrame(rows, T)).count()
+    wide = [t for t in held.values() if "v" in t.columns or "u" in t.columns]
+    stored = sum(len(r["ids"]) for r in held["vectors-blocks"].select("ids").collect())
+    assert len(wide) == 1 and stored <= len(rows)
+    assert max(len(r["reach"]) for r in held["vectors-blocks"].select("reach").collect()) > 1
+    assert "Exchange hashpartitioning" not in vector_join._pairs(held["vectors-blocks"])._jdf.queryExecution().toString()
