@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import RDD
 from pyspark.ml.classification import RandomForestClassifier
 
 from gridloom.operators import models
@@ -131,3 +132,39 @@ def test_numbers_few_values_and_no_rows(spark):
     assert r.fit(df.limit(0), ["a"], "y", how).transform(df).filter("prediction = 0").count() == 301
     one = r.fit(df.selectExpr("id", "a", "1 as y"), ["a"], "y", r.Forest(3))
     assert one.transform(df).filter("score = 1").count() == 301
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_all_columns_are_counted_by_codes(monkeypatch, classes):
+    """Where nodes have all columns, several of them share a code; with few rows to a node, columns are counted one by one."""
+    x, z, u = block_of(4000)
+    x = np.concatenate([x, np.zeros((1, 4000), np.uint8), x[:1] % 2])
+    how = r.Forest(1, 6, 2, "all", 8, classes)
+    y = (z > 6).astype(float) if classes else z
+    rows = r.Rows([{"bins": x.tobytes(), "y": y.tobytes(), "u": u.tobytes()}], 7, how, 0.0)
+    assert len(rows.packed) < 5 and all(bits <= r.SHARED for _, bits in rows.codes.groups)
+    tree = r.grow(rows, 0, 0.5)
+    for depth in (0, 3):
+        for piece in (100, 1 << 15):
+            monkeypatch.setattr(r, "PIECE", piece)
+            monkeypatch.setattr(r, "WHOLE", 2)
+            state = some, counts, node = rows.at_level(0, tree.levels[:depth])
+        m = len(tree.levels[depth].column)
+        want = np.zeros((m, 7, 8, 2))
+        for c in range(7):
+            at = (node, c, x[c, some])
+            np.add.at(want, (*at, y[some].astype(int) if classes else 0), counts)
+            if not classes:
+                np.add.at(want, (*at, 1), counts * y[some])
+        for shared in (10, 30):
+            monkeypatch.setattr(r, "SHARED", shared)
+            assert np.allclose(rows.sums(state, how.subset(7, 0, depth, m)), want)
+
+
+def test_a_share_of_rows_is_kept_by_several_tasks(spark, monkeypatch):
+    """Histograms move once per share of the rows, not once per task: trees are divided among the tasks of a share."""
+    monkeypatch.setattr(r, "ALONE", 0)
+    df, parts, real = table_of(spark).repartition(4), [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, *level: parts.append(self.getNumPartitions()) or real(self, *level))
+    model = r.fit(df, NAMES, "z", r.Forest(8, 3, 3, "all", 16, False))
+    assert len(model.trees) == 8 and parts == [min(8, spark.sparkContext.defaultParallelism)]
